@@ -48,6 +48,10 @@ def sample_users(truth: DataFrame, num: int = 1000, seed: int = 1) -> DataFrame:
     return chosen.select("user_id", F.row_number().over(order).alias("position"))
 
 
+def _hits_within(k: int) -> Column:
+    return F.size(F.filter("_hits", lambda rank: rank <= k))
+
+
 def user_metrics(
     recommended: DataFrame, truth: DataFrame, users: DataFrame, cutoffs: Sequence[int] = CUTOFFS
 ) -> DataFrame:
@@ -93,7 +97,7 @@ def user_metrics(
         F.coalesce(F.try_divide(gains, n_hits), F.lit(0.0)).alias("average_precision"),
         recall.alias("recall"),
         *[
-            (F.size(F.filter("_hits", lambda r, k=k: r <= k)) / F.col("n_truth")).alias(f"recall_at_{k}")
+            (_hits_within(k) / F.col("n_truth")).alias(f"recall_at_{k}")
             for k in cutoffs
         ],
     )

@@ -223,17 +223,17 @@ def _topic_lists(spark, folder, n=TOP, **options):
 
 @query
 def topic_recommend(spark, folder):
-    return _rounded(_topic_lists(spark, folder), "score")
+    return _topic_lists(spark, folder)
 
 
 @query
 def topic_recommend_raw(spark, folder):
-    return _rounded(_topic_lists(spark, folder, exclude_history=False), "score")
+    return _topic_lists(spark, folder, exclude_history=False)
 
 
 @query
 def topic_recommend_prf(spark, folder):
-    return _rounded(_topic_lists(spark, folder, prf=40), "score")
+    return _topic_lists(spark, folder, prf=40)
 
 
 # Factors, neighbours, blend ----------------------------------------------------------------
@@ -242,14 +242,14 @@ def topic_recommend_prf(spark, folder):
 @query
 def factor_topk(spark, folder):
     users, items = D.factor_tables(spark, folder)
-    return _rounded(M.factor_topk(users, items, TOP), "score")
+    return M.factor_topk(users, items, TOP)
 
 
 @query
 def user_knn(spark, folder):
     training, test = D.order_training_test(spark, folder)
     rated = training.select("user_id", "article_id", F.lit(1.0).alias("rating"))
-    return _rounded(N.user_knn(rated, V.sample_users(test, SAMPLE, SEED), n=100), "score")
+    return N.user_knn(rated, V.sample_users(test, SAMPLE, SEED), n=100)
 
 
 @query
@@ -270,7 +270,7 @@ def _sources(spark, folder, n):
 @query
 def blend(spark, folder):
     lists = B.tagged(_sources(spark, folder, 3 * TOP))
-    return _rounded(B.blend(lists, TOP, {"factor": 1.0, "topic": 2.0}), "score")
+    return B.blend(lists, TOP, {"factor": 1.0, "topic": 2.0})
 
 
 # Evaluation --------------------------------------------------------------------------------
@@ -384,7 +384,7 @@ def set_similarity(spark, folder):
 def category_recommend(spark, folder):
     model = _category_model(spark, folder)
     history = D.order_revisions(spark, folder).select("user_id", "article_id")
-    return _rounded(C.category_recommend(history, model.members, model.similar, TOP), "score")
+    return C.category_recommend(history, model.members, model.similar, TOP)
 
 
 @query
