@@ -77,9 +77,9 @@ def apply_rules(text: Column, rules) -> Column:
     return text
 
 
-def word_tokens(text: Column, min_length: int = MIN_TOKEN) -> Column:
-    """Runs of word characters with at least ``min_length`` characters."""
-    return F.filter(F.split(text, r"\W+"), lambda t: F.length(t) >= min_length)
+def word_tokens(text: Column) -> Column:
+    """Runs of word characters with at least `MIN_TOKEN` characters."""
+    return F.regexp_extract_all(text, F.lit(rf"\w{{{MIN_TOKEN},}}"), F.lit(0))
 
 
 def whitespace_tokens(text: Column) -> Column:

@@ -22,26 +22,23 @@ def content_articles(articles: DataFrame) -> DataFrame:
     )
 
 
-def _stripped(articles: DataFrame) -> DataFrame:
-    lowered = articles.withColumn("_nfd", T.decompose("text"))
-    return lowered.withColumn("_plain", T.apply_rules(F.lower("_nfd"), T.WIKI_RULES))
+def _plain(text: str):
+    """Stripped text in an array of one. Generators over it evaluate the rules once per row,
+    where a filter on a column would be pushed below it and evaluate them again."""
+    return F.array(T.apply_rules(F.lower(T.decompose(text)), T.WIKI_RULES))
 
 
 def wiki_tokens(articles: DataFrame, stem: bool = True) -> DataFrame:
     """Tokens of wiki markup; texts with open constructs are left to `quarantine`."""
-    good = _stripped(articles).where(T.unbalanced(F.col("_plain")).isNull())
-    tokens = good.select("article_id", T.word_tokens(F.col("_plain")).alias("tokens"))
+    good = F.filter(_plain("text"), lambda plain: T.unbalanced(plain).isNull())
+    tokens = articles.select("article_id", F.explode(F.transform(good, T.word_tokens)).alias("tokens"))
     return tokens.withColumn("tokens", stem_arrays("tokens")) if stem else tokens
 
 
 def quarantine(articles: DataFrame) -> DataFrame:
     """Articles whose markup could not be stripped, with the reason and their raw text."""
-    return (
-        _stripped(articles)
-        .withColumn("reason", T.unbalanced(F.col("_plain")))
-        .where("reason IS NOT NULL")
-        .select("article_id", "title", "text", "reason")
-    )
+    reasons = F.filter(F.transform(_plain("text"), T.unbalanced), lambda reason: reason.isNotNull())
+    return articles.select("article_id", "title", "text", F.explode(reasons).alias("reason"))
 
 
 def html_tokens(pages: DataFrame, stem: bool = True) -> DataFrame:

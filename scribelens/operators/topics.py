@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import fan_out
 from scribelens.functions.ranking import stable, top_k
 
 TOP_TOPICS = 5
@@ -115,7 +116,7 @@ def _scores(
     """Score of every candidate per user; rows of ``known`` are taken out."""
     # From here on a user has at most one row per topic, so grouping by user is safe, and one
     # exchange serves the sums, the exclusion and the final ranking.
-    profile = topic_profile(history, assignments).repartition("user_id")
+    profile = fan_out(topic_profile(history, assignments), "user_id")
     total = F.sum("weight").over(Window.partitionBy("user_id"))
     scored = (
         profile.withColumn("_total", total)
@@ -132,7 +133,7 @@ def _scores(
         seen = known.join(docs, "article_id", "left_semi").select(
             "user_id", "article_id", F.lit(0.0).alias("part"), F.lit(True).alias("_seen")
         )
-        scored = scored.unionByName(seen.repartition("user_id"))
+        scored = scored.unionByName(fan_out(seen, "user_id"))
     grouped = scored.groupBy("user_id", "article_id").agg(
         stable(F.sum("part")).alias("score"), F.max("_seen").alias("_seen")
     )

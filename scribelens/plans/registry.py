@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import spread, stored
 from scribelens.functions.validate import malformed
 from scribelens.operators import articles as A
 from scribelens.operators import blend as B
@@ -152,8 +153,7 @@ def edits_users(spark, folder):
 
 @query
 def edits_for_user(spark, folder):
-    _, test = D.order_training_test(spark, folder)
-    training, _ = D.order_training_test(spark, folder)
+    training, test = D.order_training_test(spark, folder)
     return E.edits_of(training, V.sample_users(test, SAMPLE, SEED))
 
 
@@ -196,29 +196,27 @@ def ground_truth_parsed(spark, folder):
 # Topics ------------------------------------------------------------------------------------
 
 
-def _assignments(spark, folder):
-    return T.top_topics(D.distributions(spark, folder))
 
 
 @query
 def top_topics(spark, folder):
-    return _rounded(_assignments(spark, folder), "weight")
+    return _rounded(T.top_topics(D.distributions(spark, folder)), "weight")
 
 
 @query
 def top_docs_per_topic(spark, folder):
-    return _rounded(T.top_docs_per_topic(_assignments(spark, folder), 3 * TOP), "weight")
+    return _rounded(T.top_docs_per_topic(D.assignments(spark, folder), 3 * TOP), "weight")
 
 
 @query
 def topic_profile(spark, folder):
     training, _ = D.training_test(spark, folder)
-    return _rounded(T.topic_profile(training, _assignments(spark, folder)), "weight")
+    return _rounded(T.topic_profile(training, D.assignments(spark, folder)), "weight")
 
 
 def _topic_lists(spark, folder, n=TOP, **options):
     training, _ = D.training_test(spark, folder)
-    return T.topic_recommend(training, _assignments(spark, folder), n, D.TOPICS, **options)
+    return T.topic_recommend(training, D.assignments(spark, folder), n, D.TOPICS, **options)
 
 
 @query
@@ -278,7 +276,7 @@ def blend(spark, folder):
 
 def _evaluation(spark, folder):
     training, truth = _truth(spark, folder)
-    recommender = TopicRecommender(_assignments(spark, folder), D.TOPICS)
+    recommender = TopicRecommender(D.assignments(spark, folder), D.TOPICS)
     return evaluate(recommender, training, truth, SAMPLE, LIST_LENGTH, SEED)
 
 
@@ -325,7 +323,7 @@ def eval_end_to_end(spark, folder):
     recommender = (
         BlendRecommender()
         .add(FixedLists(M.factor_topk(users, items, 3 * n)), 1.0)
-        .add(TopicRecommender(_assignments(spark, folder), D.TOPICS), 2.0)
+        .add(TopicRecommender(D.assignments(spark, folder), D.TOPICS), 2.0)
     )
     summary = evaluate(recommender, training, truth, SAMPLE, n, SEED).summary()
     return _rounded(summary, *[c for c in summary.columns if c != "processed"])
@@ -429,7 +427,7 @@ def links_resolved(spark, folder):
 
 
 def _documents(spark, folder):
-    return D.table(spark, folder, "documents").select("doc_id", "text")
+    return spread(D.table(spark, folder, "documents")).select("doc_id", "text")
 
 
 @query
@@ -457,7 +455,7 @@ def wiki_tokens(spark, folder):
 
 @query
 def html_tokens(spark, folder):
-    tokens = A.html_tokens(D.table(spark, folder, "pages"), stem=False)
+    tokens = A.html_tokens(spread(D.table(spark, folder, "pages")), stem=False)
     return tokens.select("page_id", F.size("tokens").cast("bigint").alias("n_tokens"), _list("tokens").alias("tokens"))
 
 
@@ -581,9 +579,7 @@ def describe_topics(spark, folder):
 
 def _als(spark, folder):
     training, test = D.order_training_test(spark, folder)
-    path = shared_path(spark, "ratings")
-    E.ratings(training).write.parquet(path)  # the fit reads its input several times
-    return M.train_factors(spark.read.parquet(path)), V.sample_users(test, SAMPLE, SEED)
+    return M.train_factors(E.ratings(training)), V.sample_users(test, SAMPLE, SEED)
 
 
 @query

@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import spread, stored
 from scribelens.operators import edits as E
+from scribelens.operators import topics as T
+from scribelens.session import shared_path
+from scribelens.sinks.tables import write_split
 
 SPLIT_DAY = "21.01.2024"
 ORDERS_SPLIT_DAY = "01.01.2000"
@@ -47,10 +51,16 @@ def clean(spark: SparkSession, folder: str) -> DataFrame:
 def training_test(
     spark: SparkSession, folder: str, day: str = SPLIT_DAY
 ) -> tuple[DataFrame, DataFrame]:
-    """Aggregated training and test edits."""
-    edits = E.with_split(clean(spark, folder), day)
-    parts = (E.aggregate_edits(edits.where(F.col("split") == s)) for s in ("training", "test"))
-    return tuple(parts)
+    """Aggregated training and test edits, stored as the edit job leaves them."""
+    return _stored_split(E.with_split(clean(spark, folder), day))
+
+
+def _stored_split(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    spark = edits.sparkSession
+    path = shared_path(spark, "edits")
+    write_split(E.aggregate_edits(edits, "split"), path)
+    tables = spark.read.parquet(path)
+    return tuple(tables.where(F.col("split") == s).drop("split") for s in ("training", "test"))
 
 
 def revision_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,9 +104,7 @@ def order_revisions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_training_test(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    edits = E.with_split(order_revisions(spark, folder), ORDERS_SPLIT_DAY)
-    parts = (E.aggregate_edits(edits.where(F.col("split") == s)) for s in ("training", "test"))
-    return tuple(parts)
+    return _stored_split(E.with_split(order_revisions(spark, folder), ORDERS_SPLIT_DAY))
 
 
 # Articles ----------------------------------------------------------------------------------
@@ -105,7 +113,7 @@ def order_training_test(spark: SparkSession, folder: str) -> tuple[DataFrame, Da
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     """Documents wrapped in wiki markup; their labels make some of them redirects,
     disambiguation pages or broken markup."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, folder, "documents")).select("doc_id", "text", "lang", "source")
     labels = table(spark, folder, "labels")
     title = F.concat(F.col("source"), F.lit(" page "), F.col("doc_id").cast("string"))
     lead = F.when(
@@ -174,6 +182,11 @@ def distributions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def assignments(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored topic assignments, as a trained model leaves them."""
+    return stored(T.top_topics(distributions(spark, folder)), "assignments")
+
+
 def factor_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Every embedding as a user and as an item."""
     vectors = table(spark, folder, "embeddings").select(
@@ -242,7 +255,7 @@ def link_dump(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_returnflag") == "N", "subcat"
     ).otherwise("file")
     rest = F.concat(F.lit(",'KEY\\n,(x)','2012-01-01 00:00:00','','uca','"), kind, F.lit("')"))
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         F.concat(
             F.lit("INSERT INTO `categorylinks` VALUES ("), F.col("l_partkey").cast("string"), F.lit(","), name,
             rest, F.lit(",("), F.col("l_orderkey").cast("string"), F.lit(","), name, rest, F.lit(";"),

@@ -35,12 +35,16 @@ def _decode(field: Column) -> Column:
 def parse_tuples(lines: DataFrame) -> DataFrame:
     """One row per tuple with the array of its fields; other statements are skipped."""
     values = F.regexp_replace("value", COLUMN_LIST, "INSERT INTO")
-    tuples = lines.where(F.col("value").startswith("INSERT INTO")).select(
-        F.explode(F.regexp_extract_all(values, F.lit(TUPLE), F.lit(0))).alias("t")
+    tuples = F.regexp_extract_all(values, F.lit(TUPLE), F.lit(0))
+
+    def decoded(row: Column) -> Column:
+        inner = F.concat(F.lit(","), F.substring(row, F.lit(2), F.length(row) - 2))
+        return F.transform(F.regexp_extract_all(inner, F.lit(FIELD), F.lit(1)), _decode)
+
+    # Decoding inside the generator: later filters on a field do not decode it again.
+    return lines.where(F.col("value").startswith("INSERT INTO")).select(
+        F.explode(F.transform(tuples, decoded)).alias("fields")
     )
-    inner = F.concat(F.lit(","), F.expr("substring(t, 2, length(t) - 2)"))
-    raw = F.regexp_extract_all(inner, F.lit(FIELD), F.lit(1))
-    return tuples.select(F.transform(raw, _decode).alias("fields"))
 
 
 def categories(lines: DataFrame) -> DataFrame:
