@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import fan_out, stored
+
 EPSILON = 1e-9
 BANDS = 1000
 SLOTS = 64
@@ -93,7 +95,8 @@ def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
     )
     needed = threshold / (1 + threshold) * (F.col("total_a") + F.col("total_b")) - EPSILON
     return (
-        a.join(b, cell)
+        fan_out(a, *cell)
+        .join(fan_out(b, *cell), cell)
         .where((F.col("set_a") < F.col("set_b")) & similar_size)
         .groupBy("set_a", "set_b", "total_a", "total_b")
         .agg(F.sum("weight").alias("_shared"), F.max(F.greatest("tail_a", "tail_b")).alias("_tail"))
@@ -114,7 +117,9 @@ def similar_sets(weighted: DataFrame, members: DataFrame, threshold: float) -> D
         .join(heads.select("article_id"), "article_id", "left_semi")
         .withColumnRenamed("article_id", "set_id")
     )
-    pairs = _candidates(_prefixes(sets, threshold), threshold)
+    # Both inputs are read several times below.
+    sets = stored(sets, "sets")
+    pairs = _candidates(stored(_prefixes(sets, threshold), "prefixes"), threshold)
     shared = (
         pairs.join(
             sets.select(F.col("set_id").alias("set_a"), "category_id", "weight"), "set_a"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import stored
 from scribelens.operators import articles as A
 from scribelens.operators import categories as C
 from scribelens.operators import closure as G
@@ -85,9 +86,9 @@ class CategoryModel:
 
 def build_category_model(edges: DataFrame, links: DataFrame, threshold: float) -> CategoryModel:
     """Tree (src, dst) and links (category_id, article_id) to similar articles."""
-    memberships = C.article_categories(links, G.transitive_closure(edges))
+    memberships = stored(C.article_categories(links, G.transitive_closure(edges)), "memberships")
     weighted = C.weighted_memberships(memberships, C.category_weights(memberships))
-    members = S.article_sets(memberships)
+    members = stored(S.article_sets(memberships), "members")
     return CategoryModel(members, S.similar_sets(weighted, members, threshold))
 
 

@@ -235,9 +235,20 @@ _CTES: dict[str, str] = {
     "memberships": """SELECT a, c FROM links UNION SELECT a, dst FROM links JOIN tree_closure ON c = src""",
     "weights": """SELECT c, count(*) AS n, 1 - count(*) / (SELECT count(DISTINCT a) FROM memberships) AS w
         FROM memberships GROUP BY c""",
+    "part_categories": """SELECT p_partkey AS a, unnest([
+        {'c': 'size ' || p_size, 'p': 'sizes ' || p_size // 10},
+        {'c': 'brand ' || regexp_extract(p_brand, '([0-9]+)', 1),
+         'p': 'brands ' || CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) // 5},
+        {'c': 'look ' || split_part(p_name, ' ', 1), 'p': 'looks'},
+        {'c': 'thing ' || split_part(p_name, ' ', 2), 'p': 'things'},
+        {'c': 'type ' || p_type, 'p': 'types'}]) AS n FROM part""",
+    # Two levels: a category, the group above it and the root above the group.
+    "part_members": """SELECT a, n.c AS c FROM part_categories UNION SELECT a, n.p FROM part_categories
+        UNION SELECT a, split_part(n.p, ' ', 1) FROM part_categories""",
+    "part_weights": """SELECT c, 1 - count(*) / (SELECT count(*) FROM part) AS w FROM part_members GROUP BY c""",
     "sets": """SELECT min(a) OVER (PARTITION BY cs) AS s, a, count(*) OVER (PARTITION BY cs) AS k FROM (
-        SELECT a, list_sort(list(c)) AS cs FROM memberships GROUP BY a)""",
-    "weighted": """SELECT m.a AS s, m.c, w FROM memberships m JOIN weights v ON m.c = v.c JOIN sets t ON t.a = m.a
+        SELECT a, list_sort(list(c)) AS cs FROM part_members GROUP BY a)""",
+    "weighted": """SELECT m.a AS s, m.c, w FROM part_members m JOIN part_weights v ON m.c = v.c JOIN sets t ON t.a = m.a
         WHERE t.a = t.s AND w > 0""",
     "set_total": "SELECT s, sum(w) AS t FROM weighted GROUP BY s",
     "overlap": """SELECT x.s AS p, y.s AS q, sum(x.w) AS o FROM weighted x JOIN weighted y ON x.c = y.c AND x.s < y.s

@@ -34,7 +34,7 @@ SAMPLE = 1000
 SEED = 1
 LIST_LENGTH = 5000
 TOP = 10
-SIMILARITY = 0.55
+SIMILARITY = 0.7
 LDA_TOPICS = 10
 
 _QUERIES: dict[str, Query] = {}
@@ -370,7 +370,7 @@ def article_category_weights(spark, folder):
 
 
 def _category_model(spark, folder):
-    return build_category_model(D.tree(spark, folder), D.links(spark, folder), SIMILARITY)
+    return build_category_model(D.part_tree(spark, folder), D.part_links(spark, folder), SIMILARITY)
 
 
 @query

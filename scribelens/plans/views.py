@@ -5,7 +5,7 @@ Each function takes (spark, folder) and reads whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribelens.functions.layout import spread, stored
@@ -234,6 +234,42 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _category_id(name: Column) -> Column:
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
+
+
+def _part_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Name of each category of a part with the name of the category above it."""
+    size, brand = F.col("p_size"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
+    word = F.split("p_name", " ")
+    pairs = [
+        (F.concat(F.lit("size "), size), F.concat(F.lit("sizes "), F.floor(size / 10))),
+        (F.concat(F.lit("brand "), brand), F.concat(F.lit("brands "), F.floor(brand / 5))),
+        (F.concat(F.lit("look "), word[0]), F.lit("looks")),
+        (F.concat(F.lit("thing "), word[1]), F.lit("things")),
+        (F.concat(F.lit("type "), F.col("p_type")), F.lit("types")),
+    ]
+    rows = F.array(*[F.struct(c.alias("name"), p.alias("above")) for c, p in pairs])
+    return table(spark, folder, "part").select("p_partkey", F.explode(rows).alias("c"))
+
+
+def part_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories of parts below groups, and groups below one root per attribute."""
+    named = _part_categories(spark, folder)
+    lower = named.select(F.col("c.name").alias("a"), F.col("c.above").alias("b"))
+    upper = named.where("c.above LIKE '% %'").select(
+        F.col("c.above").alias("a"), F.split("c.above", " ")[0].alias("b")
+    )
+    both = lower.union(upper).distinct()
+    return both.select(_category_id(F.col("a")).alias("src"), _category_id(F.col("b")).alias("dst"))
+
+
+def part_links(spark: SparkSession, folder: str) -> DataFrame:
+    return _part_categories(spark, folder).select(
+        _category_id(F.col("c.name")).alias("category_id"), F.col("p_partkey").alias("article_id")
+    )
+
+
 def category_dump(spark: SparkSession, folder: str) -> DataFrame:
     """Dump lines of the category table, with escaped quotes and parentheses in the names."""
     return table(spark, folder, "supplier").select(
