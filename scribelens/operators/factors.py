@@ -155,7 +155,7 @@ def _below_head(u, i, first, head, score, n: int, block: int) -> DataFrame:
         return F.when(x > 0, log).otherwise(F.lit(-100_000)).cast("int")
 
     waiting = _blocks_of(
-        u.where("norm > 0").join(bars, "user_id").withColumn("band", band(reach)), "user_id", block
+        u.join(bars, "user_id").withColumn("band", band(reach)), "user_id", block
     )
     rest = _blocks_of(
         i.join(head.select("article_id"), "article_id", "left_anti").withColumn("band", band(F.col("norm"))),
