@@ -98,10 +98,13 @@ def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
         fan_out(a, *cell)
         .join(fan_out(b, *cell), cell)
         .where((F.col("set_a") < F.col("set_b")) & similar_size)
-        .groupBy("set_a", "set_b", "total_a", "total_b")
-        .agg(F.sum("weight").alias("_shared"), F.max(F.greatest("tail_a", "tail_b")).alias("_tail"))
-        .where(F.col("_shared") + F.col("_tail") >= needed)
-        .select("set_a", "set_b", "total_a", "total_b")
+        .groupBy("set_a", "set_b")
+        .agg(
+            F.sum("weight").alias("_shared"),
+            F.max(F.greatest("tail_a", "tail_b") - needed).alias("_open"),
+        )
+        .where(F.col("_shared") + F.col("_open") >= 0)
+        .select("set_a", "set_b")
     )
 
 
@@ -120,17 +123,18 @@ def similar_sets(weighted: DataFrame, members: DataFrame, threshold: float) -> D
     # Both inputs are read several times below.
     sets = stored(sets, "sets")
     pairs = _candidates(stored(_prefixes(sets, threshold), "prefixes"), threshold)
+    totals = sets.groupBy("set_id").agg(F.sum("weight").alias("total"))
     shared = (
         pairs.join(
             sets.select(F.col("set_id").alias("set_a"), "category_id", "weight"), "set_a"
         )
         .join(sets.select(F.col("set_id").alias("set_b"), "category_id"), ["set_b", "category_id"])
         .groupBy("set_a", "set_b")
-        .agg(
-            F.sum("weight").alias("_common"),
-            F.first("total_a").alias("_a"),
-            F.first("total_b").alias("_b"),
-        )
+        .agg(F.sum("weight").alias("_common"))
+        # No partner can have less weight than what is shared, so most pairs end here.
+        .join(totals.select(F.col("set_id").alias("set_a"), F.col("total").alias("_a")), "set_a")
+        .where(F.col("_common") >= threshold * F.col("_a") - EPSILON)
+        .join(totals.select(F.col("set_id").alias("set_b"), F.col("total").alias("_b")), "set_b")
     )
     similarity = F.col("_common") / (F.col("_a") + F.col("_b") - F.col("_common"))
     different = shared.select("set_a", "set_b", similarity.alias("similarity")).where(

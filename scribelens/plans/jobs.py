@@ -59,7 +59,8 @@ def build_category_links(
 ) -> None:
     """SQL dumps to page links, sub-category links and the links that name no category."""
     names = sql_dump.categories(sql_dump.read_lines(spark, category_path, encoding))
-    links = sql_dump.category_links(sql_dump.read_lines(spark, link_path, encoding))
+    # Parsed once, read for every kind.
+    links = stored(sql_dump.category_links(sql_dump.read_lines(spark, link_path, encoding)), "links")
     for kind in ("page", "subcat"):
         wanted = C.split_links(links, kind)
         C.resolve_links(wanted, names).write.mode("overwrite").parquet(f"{out}/{kind}")
@@ -89,7 +90,8 @@ def build_category_model(edges: DataFrame, links: DataFrame, threshold: float) -
     memberships = stored(C.article_categories(links, G.transitive_closure(edges)), "memberships")
     weighted = C.weighted_memberships(memberships, C.category_weights(memberships))
     members = stored(S.article_sets(memberships), "members")
-    return CategoryModel(members, S.similar_sets(weighted, members, threshold))
+    similar = stored(S.similar_sets(weighted, members, threshold), "similar")
+    return CategoryModel(members, similar)
 
 
 @dataclass
@@ -120,7 +122,7 @@ def evaluate(
 
     ``truth`` comes from `ground_truth` or from a file.
     """
-    sample = V.sample_users(truth, num, seed)
+    sample = stored(V.sample_users(truth, num, seed), "sample")
     lists = recommender.recommend(training, sample.select("user_id"), n)
     return Evaluation(sample, V.user_metrics(lists, truth, sample, cutoffs), cutoffs)
 

@@ -173,7 +173,7 @@ def malformed_rows(spark, folder):
 
 def _truth(spark, folder):
     training, test = D.training_test(spark, folder)
-    return training, V.ground_truth(test, training)
+    return training, stored(V.ground_truth(test, training), "truth")
 
 
 @query
@@ -397,7 +397,7 @@ def _dump_links(spark, folder):
 
 @query
 def links_split(spark, folder):
-    parsed = _dump_links(spark, folder)
+    parsed = stored(_dump_links(spark, folder), "links")
     other = C.other_links(parsed).withColumn("part", F.lit("other"))
     subcats = C.split_links(parsed, "subcat").select(
         "from_id", "to_name", F.lit("subcat").alias("kind"), F.lit("subcat").alias("part")
@@ -407,7 +407,7 @@ def links_split(spark, folder):
 
 @query
 def links_resolved(spark, folder):
-    parsed = _dump_links(spark, folder)
+    parsed = stored(_dump_links(spark, folder), "links")
     names = sql_dump.categories(D.category_dump(spark, folder))
     out = None
     for kind in ("page", "subcat"):

@@ -15,6 +15,8 @@ DEFAULTS = {
     # A skewed join is worth splitting even when the split costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Article texts are long: keep the batches handed to Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.ui.enabled": "false",
 }
 
