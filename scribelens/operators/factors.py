@@ -162,14 +162,14 @@ def _below_head(u, i, first, head, score, n: int, block: int) -> DataFrame:
         "article_id",
         block,
     )
-    ub = waiting.groupBy(F.col("band").alias("ub"), F.col("part").alias("up")).count().drop("count")
-    ib = rest.groupBy(F.col("band").alias("ib"), F.col("part").alias("ip")).count().drop("count")
-    open_blocks = ub.join(ib, F.col("ib") >= F.col("ub"))
-    left = waiting.select(
-        F.col("band").alias("ub"), F.col("part").alias("up"), "user_id", "u"
-    ).join(open_blocks, ["ub", "up"])
-    right = rest.select(
-        F.col("band").alias("ib"), F.col("part").alias("ip"), "article_id", "v"
-    ).join(open_blocks, ["ib", "ip"])
+    left = waiting.select(F.col("band").alias("ub"), F.col("part").alias("up"), "user_id", "u")
+    right = rest.select(F.col("band").alias("ib"), F.col("part").alias("ip"), "article_id", "v")
+    user_parts, item_parts = left.select("ub", "up").distinct(), right.select("ib", "ip").distinct()
+    # Only the bands, whose number is bounded, are compared with each other.
+    open_bands = user_parts.select("ub").distinct().join(
+        F.broadcast(item_parts.select("ib").distinct()), F.col("ib") >= F.col("ub")
+    )
+    left = left.join(open_bands, "ub").join(item_parts, "ib")
+    right = right.join(open_bands, "ib").join(user_parts, "ub")
     cell = ["ub", "up", "ib", "ip"]
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(score, SCORED)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 BUCKETS = 51
 MAX_ARTICLE = 51_000_000
-FILES_PER_BUCKET = 32
 
 
 def with_bucket(revisions: DataFrame, buckets: int = BUCKETS, top: int = MAX_ARTICLE) -> DataFrame:
@@ -21,11 +20,11 @@ def with_bucket(revisions: DataFrame, buckets: int = BUCKETS, top: int = MAX_ART
 def write_revision_buckets(
     revisions: DataFrame, path: str, buckets: int = BUCKETS, top: int = MAX_ARTICLE
 ) -> None:
-    """Partitioned revisions; a bucket is spread over several tasks, so a full one is no hot spot."""
-    spread = F.pmod(F.xxhash64("article_id", "user_id", "ts"), F.lit(FILES_PER_BUCKET))
+    """Partitioned revisions. Rebalancing merges small buckets into a task and splits full ones,
+    so files have a sensible size and no bucket is a hot spot."""
     (
         with_bucket(revisions, buckets, top)
-        .repartition("bucket", spread)
+        .hint("rebalance", "bucket")
         .write.mode("overwrite")
         .partitionBy("bucket")
         .parquet(path)
