@@ -166,9 +166,10 @@ def _below_head(u, i, first, head, score, n: int, block: int) -> DataFrame:
     right = rest.select(F.col("band").alias("ib"), F.col("part").alias("ip"), "article_id", "v")
     user_parts, item_parts = left.select("ub", "up").distinct(), right.select("ib", "ip").distinct()
     # Only the bands, whose number is bounded, are compared with each other.
-    open_bands = user_parts.select("ub").distinct().join(
-        F.broadcast(item_parts.select("ib").distinct()), F.col("ib") >= F.col("ub")
+    reachable = user_parts.select(F.col("ub").alias("_u")).distinct().join(
+        F.broadcast(item_parts.select(F.col("ib").alias("_i")).distinct()), F.col("_i") >= F.col("_u")
     )
+    open_bands = reachable.select(F.col("_u").alias("ub"), F.col("_i").alias("ib"))
     left = left.join(open_bands, "ub").join(item_parts, "ib")
     right = right.join(open_bands, "ib").join(user_parts, "ub")
     cell = ["ub", "up", "ib", "ip"]
