@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scribelens.functions import text as T
+from scribelens.functions.stopwords import ENGLISH
 from scribelens.functions.stemming import stem_arrays, stem_terms
 
 REDIRECT = "#REDIRECT"
@@ -63,7 +64,7 @@ def tokenize(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def stop_words(language: str = "english") -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords(language)
+    return ENGLISH if language == "english" else StopWordsRemover.loadDefaultStopWords(language)
 
 
 def remove_stop_words(tokens: DataFrame, words: list[str] | None = None) -> DataFrame:

@@ -7,14 +7,10 @@ force.
 
 from __future__ import annotations
 
-import glob
-import os
 import re
-import zipfile
-
-import pyspark
 
 from scribelens.functions import text as T
+from scribelens.functions.stopwords import ENGLISH
 from scribelens.operators.corpus import VOCABULARY_SIZE
 from scribelens.plans import registry as R
 from scribelens.plans import views as D
@@ -44,11 +40,7 @@ def _words(column: str) -> str:
 
 
 def _stop_words() -> str:
-    """Spark's own English list, read from its jar."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-    return ", ".join("'" + w.strip().replace("'", "''") + "'" for w in words if w.strip())
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 
 
 def _tree(source: str, name: str) -> str:
