@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scribelens.llm import exact_dedup, url_filter
 from scribelens.llm.exact_dedup import op8_exact_dedup
+from scribelens.llm.packing import op6_packing
+from scribelens.llm.quality import op3_quality
 from scribelens.llm.simhash import op9_simhash
 from scribelens.llm.token_counts import op1_token_counts
 from scribelens.llm.url_filter import op2_url_filter
@@ -17,6 +19,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_url_filter": op2_url_filter,
+        "op3_quality": op3_quality,
+        "op6_packing": op6_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash": op9_simhash,
     }
