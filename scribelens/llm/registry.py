@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scribelens.llm import exact_dedup, url_filter
+from scribelens.llm import exact_dedup, line_dedup, url_filter
 from scribelens.llm.exact_dedup import op8_exact_dedup
+from scribelens.llm.line_dedup import op4_line_dedup
 from scribelens.llm.packing import op6_packing
 from scribelens.llm.quality import op3_quality
+from scribelens.llm.sharding import op7_sharding
 from scribelens.llm.simhash import op9_simhash
 from scribelens.llm.token_counts import op1_token_counts
 from scribelens.llm.url_filter import op2_url_filter
@@ -20,7 +22,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_url_filter": op2_url_filter,
         "op3_quality": op3_quality,
+        "op4_line_dedup": op4_line_dedup,
         "op6_packing": op6_packing,
+        "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash": op9_simhash,
     }
@@ -28,4 +32,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def llm_oracles() -> dict[str, str]:
     """Queries without an entry have no SQL equivalent; tests compare them with brute force."""
-    return {"op2_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op2_url_filter": url_filter.ORACLE,
+        "op4_line_dedup": line_dedup.ORACLE,
+        "op8_exact_dedup": exact_dedup.ORACLE,
+    }
