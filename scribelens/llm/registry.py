@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scribelens.llm import exact_dedup, line_dedup, url_filter
+from scribelens.llm.cover_tree import op5_cover_tree
 from scribelens.llm.exact_dedup import op8_exact_dedup
 from scribelens.llm.line_dedup import op4_line_dedup
 from scribelens.llm.packing import op6_packing
@@ -23,6 +24,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
+        "op5_cover_tree": op5_cover_tree,
         "op6_packing": op6_packing,
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
