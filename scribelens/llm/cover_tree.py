@@ -238,7 +238,7 @@ def _pack_blocks(cell: tuple, rows: pa.Table) -> pa.Table:
     radius = float(_chord(x @ centre).max())
     return pa.table(
         {"dim": cell[0:1], "cell": cell[1:2], "block": cell[2:3], "centre": [centre.tolist()], "radius": [radius], "tree": [out.getvalue()]},
-        pa.schema([("dim", pa.int64()), ("cell", pa.int64()), ("block", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("tree", pa.large_binary())]),
+        pa.schema([("dim", pa.int64()), ("cell", pa.int64()), ("block", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("tree", pa.binary())]),
     )
 
 
@@ -298,7 +298,7 @@ def vector_links(prints: DataFrame, cosine: float = COSINE) -> DataFrame:
     todo = (
         heads.join(pairs, ["dim", "cell"])
         .join(other.withColumnRenamed("cell_2", "other"), ["dim", "other"])
-        .where((F.col("cell") < F.col("other")) | (F.col("block") <= F.col("block_2")))
+        .where((F.col("cell") != F.col("other")) | (F.col("block") <= F.col("block_2")))
         .where(gap - F.col("radius") - F.col("radius_2") <= limit + SLACK)
         .select("dim", "cell", "block", "other", "block_2")
     )
