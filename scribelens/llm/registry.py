@@ -11,6 +11,7 @@ from scribelens.llm.cover_tree import op5_cover_tree
 from scribelens.llm.exact_dedup import op8_exact_dedup
 from scribelens.llm.line_dedup import op4_line_dedup
 from scribelens.llm.packing import op6_packing
+from scribelens.llm.pieces import op10_sentencepiece
 from scribelens.llm.quality import op3_quality
 from scribelens.llm.sharding import op7_sharding
 from scribelens.llm.simhash import op9_simhash
@@ -29,6 +30,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash": op9_simhash,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
