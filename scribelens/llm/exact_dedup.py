@@ -94,11 +94,11 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     kept = exact_groups(docs, text, doc_id).where("kept")
     ours = docs.withColumn(
-        "_identity",
+        "__identity__",
         _identity(F.sha2(plain(F.col(text)), 256), F.length(F.coalesce(F.col(text), F.lit(""))), F.col(doc_id)),
     )
-    theirs = kept.select(_identity(F.col("text_sha256"), F.col("n_points"), F.col("doc_id")).alias("_identity"))
-    return ours.join(theirs, "_identity", "left_semi").dropDuplicates(["_identity"]).drop("_identity")
+    theirs = kept.select(_identity(F.col("text_sha256"), F.col("n_points"), F.col("doc_id")).alias("__identity__"))
+    return ours.join(theirs, "__identity__", "left_semi").dropDuplicates(["__identity__"]).drop("__identity__")
 
 
 def _identity(digest: Column, points: Column, doc_id: Column) -> Column:

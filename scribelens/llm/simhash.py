@@ -170,9 +170,9 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         return pa.array([_signed(fingerprint(t, **given)) for t in utf8(texts)], pa.int64())
 
     name = lambda c, fp: F.coalesce(c.cast("string"), F.concat(F.lit("null/"), fp.cast("string")))
-    theirs = kept.select(name(F.col("doc_id"), F.col("fp")).alias("_identity"))
-    ours = docs.withColumn("_identity", name(F.col(doc_id), print_of(F.when(F.col(doc_id).isNull(), F.col(text)))))
-    return ours.join(theirs, "_identity", "left_semi").dropDuplicates(["_identity"]).drop("_identity")
+    theirs = kept.select(name(F.col("doc_id"), F.col("fp")).alias("__identity__"))
+    ours = docs.withColumn("__identity__", name(F.col(doc_id), print_of(F.when(F.col(doc_id).isNull(), F.col(text)))))
+    return ours.join(theirs, "__identity__", "left_semi").dropDuplicates(["__identity__"]).drop("__identity__")
 
 
 def op9_simhash(spark, folder: str) -> DataFrame:

@@ -120,9 +120,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow
     )
     fitting = F.filter(fetched, lambda r: F.regexp_like(subject, r["pattern"]))
     return (
-        parted.withColumn("_best", _best(fitting))
-        .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))})
-        .drop("_best")
+        parted.withColumn("__best__", _best(fitting))
+        .withColumns({"rule": F.col("__best__.rule"), "verdict": F.coalesce(F.col("__best__.verdict"), F.lit(default))})
+        .drop("__best__")
     )
 
 
@@ -147,12 +147,12 @@ def judge_by_table(pages: DataFrame, rules: DataFrame, default: str = "allow", u
         has.join(index, "token")
         .where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("_best"))
+        .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("__best__"))
     )
     return (
         parted.drop("rule", "verdict").join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))})
-        .drop("_best")
+        .withColumns({"rule": F.col("__best__.rule"), "verdict": F.coalesce(F.col("__best__.verdict"), F.lit(default))})
+        .drop("__best__")
     )
 
 
