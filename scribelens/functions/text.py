@@ -1,40 +1,39 @@
 """Column expressions that turn markup into tokens.
 
-Everything but Unicode decomposition and entity decoding is a built-in expression; those two
-run on Arrow batches. Patterns use only syntax that Java and RE2 share.
+Everything but Unicode decomposition, entity decoding and nested markup is a built-in expression;
+those run on Arrow batches. Patterns use only syntax that Java and RE2 share.
 """
 
 from __future__ import annotations
 
 import html
+import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 MIN_TOKEN = 4
-TEMPLATE_DEPTH = 4
-
-# (pattern, replacement, passes); `$1` is the first group. Applied to lower-case text in order.
-_TEMPLATE = (r"\{\{[^{}]*\}\}", " ", TEMPLATE_DEPTH)
-WIKI_RULES = [
-    (r"(?s)<!--.*?-->", " ", 1),
-    (r"<ref[^>]*/>", " ", 1),
-    (r"(?s)<ref[^>]*>.*?</ref>", " ", 1),
-    (r"(?s)<math[^>]*>.*?</math>", " ", 1),
-    (r"(?s)<gallery[^>]*>.*?</gallery>", " ", 1),
-    _TEMPLATE,
-    (r"(?s)\{\|.*?\|\}", " ", 1),
-    (r"\[\[(?:category|file|image):[^\[\]]*\]\]", " ", 1),
-    (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1", 1),
-    (r"\[\[([^\[\]]*)\]\]", "$1", 1),
-    (r"\[https?://[^\s\]]+\s*([^\]]*)\]", "$1", 1),
-    (r"<[^>]+>", " ", 1),
-    (r"&#?[a-z0-9]+;", " ", 1),
-    (r"'{2,}", "", 1),
+
+# (pattern, replacement); `$1` is the first group. Applied to lower-case text in order, the
+# first list before and the second after nested constructs are taken out by `strip_nested`.
+WIKI_TAG_RULES = [
+    (r"(?s)<!--.*?-->", " "),
+    (r"<ref[^>]*/>", " "),
+    (r"(?s)<ref[^>]*>.*?</ref>", " "),
+    (r"(?s)<math[^>]*>.*?</math>", " "),
+    (r"(?s)<gallery[^>]*>.*?</gallery>", " "),
+]
+WIKI_TEXT_RULES = [
+    (r"\[https?://[^\s\]]+\s*([^\]]*)\]", "$1"),
+    (r"<[^>]+>", " "),
+    (r"&#?[a-z0-9]+;", " "),
+    (r"'{2,}", ""),
 ]
+HIDDEN_LINKS = ("category:", "file:", "image:")
+TEMPLATE, TABLE, LINK, BRACE = "template", "table", "link", "brace"
 
 # Elements whose removal joins the words around them; all others separate words.
 INLINE_TAGS = (
@@ -42,18 +41,18 @@ INLINE_TAGS = (
     "strike", "strong", "sub", "sup", "tt", "u",
 )
 HTML_RULES = [
-    (r"(?s)<!--.*?-->", "", 1),
-    (r"(?is)<head[^>]*>.*?</head>", " ", 1),
-    (r"(?is)<script[^>]*>.*?</script>", " ", 1),
-    (r"(?is)<style[^>]*>.*?</style>", " ", 1),
-    (r"(?is)<ref[^>]*/>", "", 1),
-    (r"(?is)<ref[^>]*>.*?</ref>", "", 1),
-    (r"(?i)</?(?:" + "|".join(INLINE_TAGS) + r")(?:\s[^>]*)?/?>", "", 1),
-    (r"<[^>]+>", " ", 1),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<head[^>]*>.*?</head>", " "),
+    (r"(?is)<script[^>]*>.*?</script>", " "),
+    (r"(?is)<style[^>]*>.*?</style>", " "),
+    (r"(?is)<ref[^>]*/>", ""),
+    (r"(?is)<ref[^>]*>.*?</ref>", ""),
+    (r"(?i)</?(?:" + "|".join(INLINE_TAGS) + r")(?:\s[^>]*)?/?>", ""),
+    (r"<[^>]+>", " "),
 ]
 HTML_TEXT_RULES = [
-    (r"\{\{[^\}]+\}\}", "", 1),
-    (r"\[\[Category:([^\]]+)\]\]", "$1", 1),
+    (r"\{\{[^\}]+\}\}", ""),
+    (r"\[\[Category:([^\]]+)\]\]", "$1"),
 ]
 
 
@@ -71,12 +70,99 @@ def decode_and_decompose(text: pa.Array) -> pa.Array:
 
 
 def apply_rules(text: Column, rules) -> Column:
-    for pattern, replacement, passes in rules:
-        for _ in range(passes):
-            text = F.regexp_replace(text, pattern, replacement)
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
+_MARK = re.compile(r"\{+|\}+|\[\[|\]\]|\|\}")
+
+
+def strip_nested(text: str) -> tuple[str, str | None]:
+    """Text without templates, tables and hidden links, other links replaced by their label.
+
+    One pass with a stack of open constructs, so they nest to any depth. Closing marks without
+    an opening one are text. The second value names the outermost construct left open.
+    """
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    at, end = 0, len(text)
+
+    def close(kind: str) -> None:
+        """Close ``kind``; what is open inside it goes with it."""
+        while stack[-1][0] != kind:
+            stack.pop()
+        content = "".join(stack.pop()[1])
+        if kind == LINK and not content.lstrip(" :").startswith(HIDDEN_LINKS):
+            stack[-1][1].append(content.partition("|")[2] if "|" in content else content)
+        elif kind != BRACE:
+            stack[-1][1].append(" ")
+
+    def is_open(kind: str) -> bool:
+        """Whether ``kind`` is the innermost construct but for links and single braces."""
+        for k, _ in reversed(stack):
+            if k not in (LINK, BRACE) or k == kind:
+                return k == kind
+        return False
+
+    while (found := _MARK.search(text, at)) is not None:
+        stack[-1][1].append(text[at : found.start()])
+        at, mark = found.end(), found.group()
+        inside = stack[-1][0]
+        if mark == "[[":
+            stack.append((LINK, []))
+        elif mark == "]]":
+            if inside == LINK:
+                close(LINK)
+            else:
+                stack[-1][1].append(mark)
+        elif mark[0] == "{":
+            if len(mark) == 1 and text[at : at + 1] == "|":
+                stack.append((TABLE, []))
+                at += 1
+                continue
+            for _ in range(len(mark) // 2):
+                stack.append((TEMPLATE, []))
+            if len(mark) % 2:
+                if len(stack) > 1:
+                    stack.append((BRACE, []))
+                else:
+                    stack[-1][1].append("{")
+        elif mark == "|}":
+            if is_open(TABLE) and not text.startswith("|}}", found.start()):
+                close(TABLE)
+            elif is_open(TABLE) and not any(k == TEMPLATE for k, _ in stack):
+                close(TABLE)
+            else:
+                stack[-1][1].append("|")
+                at = found.start() + 1  # the brace may close a template
+        else:
+            left = len(mark)
+            while left:
+                if stack[-1][0] == BRACE and left != 2:
+                    close(BRACE)
+                    left -= 1
+                elif left > 1 and is_open(TEMPLATE):
+                    close(TEMPLATE)
+                    left -= 2
+                elif stack[-1][0] == BRACE:
+                    close(BRACE)
+                    left -= 1
+                else:
+                    stack[-1][1].append("}" * left)
+                    left = 0
+    stack[-1][1].append(text[at:end])
+    left_open = next((k for k, _ in stack if k in (TEMPLATE, TABLE, LINK)), None)
+    return "".join(part for _, parts in stack for part in parts), left_open
+
+
+@F.arrow_udf(StructType([StructField("plain", StringType()), StructField("reason", StringType())]))
+def strip_constructs(text: pa.Array) -> pa.Array:
+    """`strip_nested` of each text; the reason is why a text can't be stripped, or null."""
+    found = [(None, "no text") if t is None else strip_nested(t) for t in text.to_pylist()]
+    plain, reason = zip(*found) if found else ((), ())
+    return pa.StructArray.from_arrays([pa.array(plain, pa.string()), pa.array(reason, pa.string())], ["plain", "reason"])
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of word characters with at least `MIN_TOKEN` characters."""
     return F.regexp_extract_all(text, F.lit(rf"\w{{{MIN_TOKEN},}}"), F.lit(0))
@@ -84,13 +170,3 @@ def word_tokens(text: Column) -> Column:
 
 def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
-
-
-def unbalanced(text: Column) -> Column:
-    """Why stripped markup still holds an open construct, or NULL when it is clean."""
-    return (
-        F.when(text.isNull(), "no text")
-        .when(text.contains("{{") | text.contains("}}"), "template")
-        .when(text.contains("{|") | text.contains("|}"), "table")
-        .when(text.contains("[[") | text.contains("]]"), "link")
-    )

@@ -23,22 +23,25 @@ def content_articles(articles: DataFrame) -> DataFrame:
     )
 
 
-def _plain(text: str):
-    """Stripped text in an array of one. Generators over it evaluate the rules once per row,
-    where a filter on a column would be pushed below it and evaluate them again."""
-    return F.array(T.apply_rules(F.lower(T.decompose(text)), T.WIKI_RULES))
+def _stripped(text: str):
+    """Text without nested constructs and the reason if one is open, in an array of one.
+
+    Generators over it evaluate the rules once per row, where a filter on a column would be
+    pushed below it and evaluate them again."""
+    return F.array(T.strip_constructs(T.apply_rules(F.lower(T.decompose(text)), T.WIKI_TAG_RULES)))
 
 
 def wiki_tokens(articles: DataFrame, stem: bool = True) -> DataFrame:
     """Tokens of wiki markup; texts with open constructs are left to `quarantine`."""
-    good = F.filter(_plain("text"), lambda plain: T.unbalanced(plain).isNull())
-    tokens = articles.select("article_id", F.explode(F.transform(good, T.word_tokens)).alias("tokens"))
+    good = F.filter(_stripped("text"), lambda s: s["reason"].isNull())
+    words = F.transform(good, lambda s: T.word_tokens(T.apply_rules(s["plain"], T.WIKI_TEXT_RULES)))
+    tokens = articles.select("article_id", F.explode(words).alias("tokens"))
     return tokens.withColumn("tokens", stem_arrays("tokens")) if stem else tokens
 
 
 def quarantine(articles: DataFrame) -> DataFrame:
-    """Articles whose markup could not be stripped, with the reason and their raw text."""
-    reasons = F.filter(F.transform(_plain("text"), T.unbalanced), lambda reason: reason.isNotNull())
+    """Articles with a construct that is never closed, with the reason and their raw text."""
+    reasons = F.filter(F.transform(_stripped("text"), lambda s: s["reason"]), lambda reason: reason.isNotNull())
     return articles.select("article_id", "title", "text", F.explode(reasons).alias("reason"))
 
 

@@ -22,11 +22,10 @@ def _day(text: str) -> str:
 
 
 def _regex_chain(column: str, rules) -> str:
-    for pattern, replacement, passes in rules:
-        for _ in range(passes):
-            pat = pattern.replace("'", "''")
-            rep = re.sub(r"\$(\d)", r"\\\1", replacement)
-            column = f"regexp_replace({column}, '{pat}', '{rep}', 'g')"
+    for pattern, replacement in rules:
+        pat = pattern.replace("'", "''")
+        rep = re.sub(r"\$(\d)", r"\\\1", replacement)
+        column = f"regexp_replace({column}, '{pat}', '{rep}', 'g')"
     return column
 
 
@@ -261,13 +260,16 @@ _CTES: dict[str, str] = {
         CASE WHEN quality = 0 THEN '#REDIRECT [[' || source || ']]' || chr(10) ELSE '' END
         || '{{Infobox page|source=' || source || '|lang={{lang|' || lang || '}}}}' || chr(10) || ''''''''
         || source || ' page ' || d.doc_id || ''''''' <!-- draft --><ref name="a">Source & notes</ref>' || chr(10)
-        || text || chr(10) || '{| class="wikitable"' || chr(10) || '| cell' || chr(10) || '|}' || chr(10)
+        || text || replace('~{| class="wikitable"~| cell {{deep|{{deeper|{{still|{{more|{{five|}}}}}}}}}} {| inner~| table~|}~|}~'
+        || '{{cite|title={hidden}}} {{Infobox|data={|~|hidden~|} }}[[File:a.png|thumb|see [[hidden caption]] there]]~', '~', chr(10))
         || '[http://example.org/page outside link] [[Main page|front page]] [[Category:' || lang || ']]<br/>'
         || CASE WHEN toxic = 1 THEN '{{disambiguation}}' WHEN source = 'src17' THEN '{{cite [[open' ELSE '' END AS text
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    # What a reader sees of a page: its words outside all markup.
+    "shown": """SELECT id, c.title, source || ' page ' || doc_id || ' ' || d.text || ' outside link front page' AS plain
+        FROM content c JOIN documents d ON c.id = d.doc_id WHERE NOT ends_with(c.text, '{{cite [[open')""",
     "content": """SELECT * FROM pages_in WHERE ns = 0 AND NOT starts_with(text, '#REDIRECT')
         AND NOT ends_with(text, '{{disambiguation}}')""",
-    "plain": f"SELECT id, title, text, {_regex_chain(_decomposed('lower(text)'), T.WIKI_RULES)} AS plain FROM content",
     "plain_html": f"""SELECT page_id, {_regex_chain(_decomposed(
         "regexp_replace(" + _regex_chain('html', T.HTML_RULES) + ", '&[a-z]+;', ' ', 'g')"), T.HTML_TEXT_RULES)} AS plain
         FROM pages""",
@@ -431,10 +433,10 @@ def all_oracles() -> dict[str, str]:
             FROM link_fields l LEFT JOIN category_fields c ON c.f[2] = l.f[2] WHERE l.f[7] IN ('page', 'subcat')"""),
         "articles_xml": _with("SELECT id AS article_id, CAST(ns AS INT) AS ns, title, text FROM pages_in"),
         "article_filter": _with("SELECT id AS article_id, title, CAST(length(text) AS INT) AS n_chars FROM content"),
-        "article_quarantine": _with("""SELECT id AS article_id, title, text, 'template' AS reason FROM plain
-            WHERE contains(plain, '{{')"""),
+        "article_quarantine": _with("""SELECT id AS article_id, title, text, 'template' AS reason FROM content
+            WHERE ends_with(text, '{{cite [[open')"""),
         "wiki_tokens": _with(
-            f"SELECT id AS article_id, {_LIST} FROM (SELECT id, {_words('plain')} AS tokens FROM plain WHERE NOT contains(plain, '{{{{'))"
+            f"SELECT id AS article_id, {_LIST} FROM (SELECT id, {_words(_decomposed('lower(plain)'))} AS tokens FROM shown)"
         ),
         "html_tokens": _with(f"SELECT page_id, {_LIST} FROM (SELECT page_id, {_words('plain')} AS tokens FROM plain_html)"),
         "tokens": _with(f"SELECT doc_id, {_LIST} FROM cut"),

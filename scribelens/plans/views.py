@@ -127,7 +127,11 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("{{Infobox page|source="), F.col("source"), F.lit("|lang={{lang|"), F.col("lang"),
         F.lit("}}}}\n'''"), title, F.lit("''' <!-- draft --><ref name=\"a\">Source & notes</ref>\n"),
         F.col("text"),
-        F.lit("\n{| class=\"wikitable\"\n| cell\n|}\n[http://example.org/page outside link] [[Main page|front page]]"),
+        F.lit(
+            "\n{| class=\"wikitable\"\n| cell {{deep|{{deeper|{{still|{{more|{{five|}}}}}}}}}} {| inner\n| table\n|}\n|}\n"
+            "{{cite|title={hidden}}} {{Infobox|data={|\n|hidden\n|} }}[[File:a.png|thumb|see [[hidden caption]] there]]"
+        ),
+        F.lit("\n[http://example.org/page outside link] [[Main page|front page]]"),
         F.lit(" [[Category:"), F.col("lang"), F.lit("]]<br/>"),
         tail,
     )

@@ -48,6 +48,8 @@ def test_quarantine_takes_what_tokens_leave(spark):
     kept = A.quarantine(broken).first()
     assert kept.reason == "template" and kept.text == "open {{template"
     assert A.quarantine(article(spark, "fine {{x}}")).isEmpty()
+    assert A.quarantine(article(spark, "open {| table {{x}}")).first().reason == "table"
+    assert A.quarantine(article(spark, "open [[link")).first().reason == "link"
     assert A.quarantine(article(spark, None)).first().reason == "no text"
 
 
