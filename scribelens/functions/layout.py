@@ -7,15 +7,19 @@ from pyspark.sql import DataFrame
 from scribelens.session import shared_path
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores to all cores.
+SMALL = 256 << 20
 
-    For CPU-bound work on small inputs only: a large input has more splits than cores and
-    stays as it is, unshuffled. ``scan`` must be a plain read, which is not run by counting
-    its splits.
+
+def spread(scan: DataFrame, small: int = SMALL) -> DataFrame:
+    """Give a scan with fewer splits than cores to all cores, if it has at most ``small`` bytes.
+
+    For CPU-bound work on small files that cannot be split; anything larger stays as it is,
+    unshuffled. ``scan`` must be a plain read, which is not run by counting its splits; its size
+    is that of its files.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size <= small and scan.rdd.getNumPartitions() < cores else scan
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import stored
+
 SALTS = 64
 SCORE_DIGITS = 9
 
@@ -38,23 +40,22 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def rank_in_group(df: DataFrame, key: str, number: str, rank: str = "rank", width: int = 1024) -> DataFrame:
+def rank_in_group(df: DataFrame, key: str, number: str, rank: str = "rank") -> DataFrame:
     """Rank of each distinct integer ``number`` inside its group, for groups of any size.
 
-    Numbers are cut into ranges of ``width``: a range is ranked on its own and shifted by the
-    count of the ranges before it, so no task sorts more than ``width`` rows of a group.
+    Rows are range-sorted by group and number; a rank is the place in the sorted partition plus
+    the group's rows in the partitions before it. What is summed over a group are its
+    partitions, however sparse the numbers are.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(number) / width))
-    before = (
-        chunked.groupBy(key, "_chunk")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_end", F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk")))
-        .select(key, "_chunk", (F.col("_end") - F.col("_n")).alias("_before"))
-    )
-    local = Window.partitionBy(key, "_chunk").orderBy(number)
+    ordered = df.repartitionByRange(key, number).sortWithinPartitions(key, number)
+    at = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranks")
+    # The upper bits of such an id are the partition, the lower 33 the place in it.
+    at = at.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = at.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))
     return (
-        chunked.withColumn("_local", F.row_number().over(local))
-        .join(before, [key, "_chunk"])
-        .withColumn(rank, F.col("_before") + F.col("_local"))
-        .drop("_chunk", "_local", "_before")
+        at.join(starts, [key, "_part"])
+        .withColumn(rank, F.col("_place") + F.col("_base"))
+        .drop("_at", "_part", "_place", "_base")
     )

@@ -83,11 +83,17 @@ def category_recommend(
         .agg(F.sum(F.col("_rows") * F.col("similarity")).alias("_sum"))
     )
     lengths = history.groupBy("user_id").agg(F.count("*").alias("_n"))
+    # Only the first n of a set meet the users near it. Users who edited in the set meet the
+    # further members in the places of those they edited, n to n plus as many.
     ranked = rank_in_group(members.select("set_id", "article_id", "n_articles"), "set_id", "article_id", "_pos")
+    touched = near.join(per_set.select("user_id", "set_id", "_edited"), ["user_id", "set_id"])
+    further = touched.select(
+        "user_id", "set_id", "_sum", F.explode(F.sequence(F.lit(n + 1), F.col("_edited") + n)).alias("_pos")
+    )
     expanded = (
-        near.join(per_set.select("user_id", "set_id", "_edited"), ["user_id", "set_id"], "left")
-        .join(ranked, "set_id")
-        .where(F.col("_pos") <= n + F.coalesce("_edited", F.lit(0)))
+        near.join(ranked.where(F.col("_pos") <= n), "set_id")
+        .select("user_id", "article_id", "n_articles", "_sum")
+        .unionByName(further.join(ranked, ["set_id", "_pos"]).select("user_id", "article_id", "n_articles", "_sum"))
         .join(edited.select("user_id", "article_id", "_own"), ["user_id", "article_id"], "left")
         .join(lengths, "user_id")
     )

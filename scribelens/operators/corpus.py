@@ -7,6 +7,8 @@ from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import stored
+
 VOCABULARY_SIZE = 10_000
 
 
@@ -26,16 +28,13 @@ def vocabulary(tokens: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     return top.select((F.row_number().over(order) - 1).alias("idx"), "term", "n")
 
 
-def term_counts(tokens: DataFrame, vocab: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """Non-zero counts (doc_id, idx, count). ``size`` bounds the rows of ``vocab``.
+def term_counts(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Non-zero counts (doc_id, idx, count).
 
-    The vocabulary is broadcast because it has at most ``size`` rows; larger ones are joined
-    as Spark sees fit. All tokens of a document sit in one row, so the counts are complete
+    The vocabulary is stored first, so Spark broadcasts it if its true size allows. All tokens of a document sit in one row, so the counts are complete
     before the shuffle.
     """
-    side = vocab.select("term", "idx")
-    if size <= 1_000_000:
-        side = F.broadcast(side)
+    side = stored(vocab.select("term", "idx"), "vocabulary")
     return (
         tokens.select("doc_id", F.explode("tokens").alias("term"))
         .join(side, "term")

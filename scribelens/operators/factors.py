@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import stored
 from scribelens.functions.ranking import stable, top_k
 from scribelens.functions.validate import int32
 from scribelens.session import shared_dir
 
 BLOCK_ROWS = 4096
 BANDS_PER_DOUBLING = 4
+BATCH_USERS = 512  # users scored at once against the head
 SCORED = "user_id BIGINT, article_id BIGINT, score DOUBLE"
 
 
@@ -26,9 +26,15 @@ def train_factors(
     regularization: float = 0.01,
     alpha: float = 1.0,
     seed: int = 1,
+    blocks: int | None = None,
 ) -> ALSModel:
-    """Alternating least squares on (user_id, article_id, rating)."""
+    """Alternating least squares on (user_id, article_id, rating).
+
+    ``blocks`` is the number of user and of item blocks, by default one per core and at least
+    ten: a block's factors must fit a task.
+    """
     shared_dir(ratings.sparkSession)  # lets the iterations checkpoint
+    blocks = blocks or max(10, ratings.sparkSession.sparkContext.defaultParallelism)
     data = ratings.select(
         int32(F.col("user_id")).alias("user"),
         int32(F.col("article_id")).alias("item"),
@@ -42,6 +48,8 @@ def train_factors(
         alpha=alpha,
         seed=seed,
         coldStartStrategy="drop",
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
     ).fit(data)
 
 
@@ -75,27 +83,46 @@ def _norm(features):
     return F.sqrt(F.aggregate(features, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def _best(users: np.ndarray, user_ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, n: int) -> pd.DataFrame:
+    """The n best items of each user; ``item_ids`` ascend, and ties go to the smaller id."""
+    product = np.round(users @ items.T, 9)
+    n = min(n, product.shape[1])
+    bar = np.partition(product, -n, axis=1)[:, -n]
+    row, column = np.nonzero(product >= bar[:, None])
+    score = product[row, column]
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return pd.DataFrame({"user_id": user_ids[row[keep]], "article_id": item_ids[column[keep]], "score": score[keep]})
+
+
 def _best_of_block(n: int):
     def score(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if users.empty or items.empty:
             return pd.DataFrame({"user_id": [], "article_id": [], "score": []})
-        # Ascending ids and a stable sort break ties the same way in every block.
         items = items.sort_values("article_id")
-        ids = items["article_id"].to_numpy()
-        product = np.stack(users["u"].to_numpy()) @ np.stack(items["v"].to_numpy()).T
-        product = np.round(product, 9)
-        best = np.argsort(-product, axis=1, kind="stable")[:, :n]
-        return pd.DataFrame(
-            {
-                "user_id": np.repeat(users["user_id"].to_numpy(), best.shape[1]),
-                "article_id": ids[best].ravel(),
-                "score": np.take_along_axis(product, best, axis=1).ravel(),
-            }
+        return _best(
+            np.stack(users["u"].to_numpy()), users["user_id"].to_numpy(),
+            np.stack(items["v"].to_numpy()), items["article_id"].to_numpy(), n,
         )
 
     return score
 
 
+def _first_lists(users: DataFrame, head: list, n: int) -> DataFrame:
+    """Lists from the head alone, where the users are read: the head goes with the code."""
+    ids = np.array([h[0] for h in head], np.int64)
+    vectors = np.array([h[1] for h in head])
+
+    def score(batches):
+        for batch in batches:
+            for start in range(0, len(batch), BATCH_USERS):
+                part = batch.iloc[start : start + BATCH_USERS]
+                yield _best(np.stack(part["u"].to_numpy()), part["user_id"].to_numpy(), vectors, ids, n)
+
+    return users.select("user_id", "u").mapInPandas(score, SCORED)
+
+
 def _blocks_of(df: DataFrame, key: str, rows: int) -> DataFrame:
     """Hash the rows of each band into blocks of about ``rows`` rows."""
     sizes = df.groupBy("band").agg(F.ceil(F.count("*") / rows).alias("_parts"))
@@ -107,11 +134,13 @@ def _blocks_of(df: DataFrame, key: str, rows: int) -> DataFrame:
 def factor_topk(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_ROWS) -> DataFrame:
     """The ``n`` items with the largest non-negative dot product for every user, exactly.
 
-    No user meets every item. The items with the largest norms give each user a first list;
-    its last score is a bar that, by |u·v| <= |u||v|, rules out all items below a norm. Users
-    and the remaining items are put into bands by bar and by norm (a double spans a fixed
-    number of bands, so their list is small by construction), and only blocks that can still
-    clear the bar are multiplied. A block emits n rows per user, never all pairs.
+    No user meets every item. The ``block`` items with the largest norms (at least n) are scored
+    for every user without a shuffle and give each a first list; its last score is a bar that,
+    by |u·v| <= |u||v|, rules out all items below a norm. Users and the remaining items are put
+    into bands by bar and by norm (a double spans a fixed number of bands, so their list is small
+    by construction), and only blocks that can still clear the bar are multiplied. A block emits
+    n rows per user, never all pairs. The first lists are stored, as lists and bars both need
+    them; that and fetching the head and the list of bands are the jobs that run while planning.
     """
     # Fresh names keep the two sides apart when both derive from one table.
     u = users.select(
@@ -120,23 +149,15 @@ def factor_topk(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_R
     i = items.select(
         F.col("article_id").alias("article_id"), F.col("features").alias("v"), _norm(F.col("features")).alias("norm")
     )
-    head_rows = max(block, n)
-    n_blocks = max(1, math.ceil(users.count() / block))
-    score = _best_of_block(n)
-
-    head = i.orderBy(F.desc("norm"), "article_id").limit(head_rows).drop("norm")
-    copies = head.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    blocked = u.withColumn("b", F.pmod(F.xxhash64("user_id"), F.lit(n_blocks)).cast("int"))
-    first = (
-        blocked.select("b", "user_id", "u")
-        .groupBy("b")
-        .cogroup(copies.groupBy("b"))
-        .applyInPandas(score, SCORED)
-    )
-    if items.count() > head_rows:
-        first = first.unionByName(_below_head(u, i, first, head, score, n, block))
+    head = i.orderBy(F.desc("norm"), "article_id").limit(max(block, n)).select("article_id", "v").collect()
+    head.sort()
+    if not head:
+        return users.sparkSession.createDataFrame([], SCORED + ", rank INT")
+    first = stored(_first_lists(u, head, n), "first-lists")
+    known = users.sparkSession.createDataFrame([(h[0],) for h in head], "article_id BIGINT")
+    every = first.unionByName(_below_head(u, i, first, known, _best_of_block(n), n, block))
     ranked = top_k(
-        first.select("user_id", "article_id", stable(F.col("score")).alias("score")),
+        every.select("user_id", "article_id", stable(F.col("score")).alias("score")),
         ["user_id"],
         [F.desc("score"), F.col("article_id")],
         n,
@@ -158,18 +179,20 @@ def _below_head(u, i, first, head, score, n: int, block: int) -> DataFrame:
         u.join(bars, "user_id").withColumn("band", band(reach)), "user_id", block
     )
     rest = _blocks_of(
-        i.join(head.select("article_id"), "article_id", "left_anti").withColumn("band", band(F.col("norm"))),
+        i.join(F.broadcast(head), "article_id", "left_anti").withColumn("band", band(F.col("norm"))),
         "article_id",
         block,
     )
     left = waiting.select(F.col("band").alias("ub"), F.col("part").alias("up"), "user_id", "u")
     right = rest.select(F.col("band").alias("ib"), F.col("part").alias("ip"), "article_id", "v")
-    user_parts, item_parts = left.select("ub", "up").distinct(), right.select("ib", "ip").distinct()
+    user_parts = left.select(F.col("ub").alias("ub"), F.col("up").alias("up")).distinct()
+    item_parts = right.select(F.col("ib").alias("ib"), F.col("ip").alias("ip")).distinct()
     # Only the bands, whose number is bounded, are compared with each other.
-    reachable = user_parts.select(F.col("ub").alias("_u")).distinct().join(
-        F.broadcast(item_parts.select(F.col("ib").alias("_i")).distinct()), F.col("_i") >= F.col("_u")
+    known = F.array(*[F.lit(b) for b in sorted(r[0] for r in i.select(band(F.col("norm"))).distinct().collect())])
+    user_bands = user_parts.select(F.col("ub").alias("_u")).distinct()
+    open_bands = user_bands.select(
+        F.col("_u").alias("ub"), F.explode(F.filter(known, lambda b: b >= F.col("_u"))).alias("ib")
     )
-    open_bands = reachable.select(F.col("_u").alias("ub"), F.col("_i").alias("ib"))
     left = left.join(open_bands, "ub").join(item_parts, "ib")
     right = right.join(open_bands, "ib").join(user_parts, "ub")
     cell = ["ub", "up", "ib", "ip"]

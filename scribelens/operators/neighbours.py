@@ -9,22 +9,26 @@ from scribelens.functions.ranking import stable, top_k
 
 NEIGHBOURS = 25
 LENGTH = 1000
+PART = 1024  # active users of an article in one row, about
 
 
-def neighbours(edits: DataFrame, active: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def neighbours(edits: DataFrame, active: DataFrame, k: int = NEIGHBOURS, part: int = PART) -> DataFrame:
     """The ``k`` users with the largest cosine similarity for every active user.
 
     ``edits`` holds one row (user_id, article_id, rating) per pair. Every edit meets only the
-    active users of its article, held in one row per article: the work grows with the edits
-    times the active users and no pair of two inactive users is ever formed.
+    active users of its article, held in rows of about ``part`` users: the work grows with the
+    edits times the active users and no pair of two inactive users is ever formed.
     """
     norms = edits.groupBy("user_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("_norm"))
     unit = edits.join(norms, "user_id").select(
         "user_id", "article_id", (F.col("rating") / F.col("_norm")).alias("w")
     )
+    wanted = unit.join(active.select("user_id").distinct(), "user_id", "left_semi")
+    parts = wanted.groupBy("article_id").agg(F.ceil(F.count("*") / part).alias("_parts"))
     per_article = (
-        unit.join(active.select("user_id").distinct(), "user_id", "left_semi")
-        .groupBy("article_id")
+        wanted.join(parts, "article_id")
+        .withColumn("_part", F.pmod(F.xxhash64("user_id"), F.col("_parts")))
+        .groupBy("article_id", "_part")
         .agg(F.collect_list(F.struct("user_id", "w")).alias("actives"))
     )
     similarity = (

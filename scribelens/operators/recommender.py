@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from scribelens.operators import blend as blending
 from scribelens.operators.categories import category_recommend
-from scribelens.operators.factors import recommend_factors
+from scribelens.operators.factors import factor_topk, recommend_factors
 from scribelens.operators.topics import PRF_THRESHOLD, topic_recommend
 
 
@@ -32,16 +32,27 @@ class FactorRecommender:
         return recommend_factors(self.model, users, n)
 
 
+@dataclass
+class FactorTables:
+    """Stored factors (user_id, features) and (article_id, features)."""
+
+    user_table: DataFrame
+    item_table: DataFrame
+
+    def recommend(self, history: DataFrame, users: DataFrame, n: int = 10) -> DataFrame:
+        wanted = self.user_table.join(users.select("user_id").distinct(), "user_id", "left_semi")
+        return factor_topk(wanted, self.item_table, n)
+
+
 @dataclass
 class TopicRecommender:
     assignments: DataFrame
-    topics: int | None = None
     prf: int = PRF_THRESHOLD
     exclude_history: bool = True
 
     def recommend(self, history: DataFrame, users: DataFrame, n: int = 10) -> DataFrame:
         return topic_recommend(
-            _history_of(history, users), self.assignments, n, self.topics, self.prf, self.exclude_history
+            _history_of(history, users), self.assignments, n, self.prf, self.exclude_history
         )
 
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LocalLDAModel
+from pyspark.ml.clustering import LDA, DistributedLDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribelens.functions.layout import fan_out
+from scribelens.functions.layout import fan_out, stored
 from scribelens.functions.ranking import stable, top_k
 
 TOP_TOPICS = 5
 PRF_THRESHOLD = 20
 CANDIDATE_FACTOR = 3
-BROADCAST_ROWS = 1_000_000
 
 
 def top_topics(distributions: DataFrame, top: int = TOP_TOPICS) -> DataFrame:
@@ -64,7 +63,9 @@ def save_topics(model, assignments: DataFrame, path: str) -> None:
 
 
 def save_topic_model(model, path: str) -> None:
-    model.write().overwrite().save(f"{path}/model")
+    """A model fitted by expectation maximisation is saved in its local form."""
+    local = model.toLocal() if isinstance(model, DistributedLDAModel) else model
+    local.write().overwrite().save(f"{path}/model")
 
 
 def save_assignments(assignments: DataFrame, path: str) -> None:
@@ -89,6 +90,11 @@ def describe_topics(model, vocab: DataFrame, terms: int = 3) -> DataFrame:
     return entries.join(vocab, "idx").select("topic", "rank", "term", "weight")
 
 
+def top_documents(assignments: DataFrame, documents: int = 3) -> DataFrame:
+    """Strongest documents per topic of a fitted model: (topic, rank, doc_id, weight)."""
+    return top_docs_per_topic(assignments, documents).select("topic", "rank", "doc_id", "weight")
+
+
 def top_docs_per_topic(assignments: DataFrame, k: int) -> DataFrame:
     return top_k(assignments, ["topic"], [F.desc("weight"), F.col("doc_id")], k)
 
@@ -144,25 +150,22 @@ def topic_recommend(
     history: DataFrame,
     assignments: DataFrame,
     n: int = 10,
-    topics: int | None = None,
     prf: int = PRF_THRESHOLD,
     exclude_history: bool = True,
 ) -> DataFrame:
     """Documents of the topics a user edits, for all users of ``history`` at once.
 
     Users with fewer than ``prf`` articles are scored twice: their best first results join
-    their history. ``topics`` is the number of topics of the model; it bounds the candidates
-    (``topics * 3n`` rows), which are broadcast only within `BROADCAST_ROWS`.
+    their history. Candidates are ``3n`` documents per topic of the model.
 
     ``exclude_history=False`` keeps articles the user has edited already, as the original
     system did by accident.
     """
     depth = CANDIDATE_FACTOR * n
-    candidates = top_docs_per_topic(assignments, depth).select(
-        "topic", "doc_id", F.col("weight").alias("doc_weight")
+    # Both passes read the candidates; once stored, Spark knows their size and picks the join.
+    candidates = stored(
+        top_docs_per_topic(assignments, depth).select("topic", "doc_id", F.col("weight").alias("doc_weight")), "candidates"
     )
-    if topics is not None and topics * depth <= BROADCAST_ROWS:
-        candidates = F.broadcast(candidates)
     known = history.select("user_id", "article_id").distinct()
     enriched = known
     if prf > 0:

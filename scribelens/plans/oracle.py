@@ -337,7 +337,7 @@ _RECOMMENDED = "SELECT u AS user_id, a AS article_id, score, CAST(r AS INT) AS r
 
 
 def all_oracles() -> dict[str, str]:
-    n, long, mixed = R.TOP, R.LIST_LENGTH, 100
+    n, long, mixed = R.TOP, R.LIST_LENGTH, R.LIST_LENGTH
     metrics = [*_topic_lists("lists", long), *_metric_ctes("metrics", "lists")]
     blended = [
         _factor_lists("factor", 3 * mixed),
@@ -368,6 +368,12 @@ def all_oracles() -> dict[str, str]:
         "edits_for_user": _with("SELECT u AS user_id, a AS article_id FROM bought WHERE u IN (SELECT u FROM buyers)"),
         "ratings": _with("""SELECT u AS user_id, a AS article_id, round(log2(sum(bytes)) + 1, 6) AS rating
             FROM split WHERE part = 'training' GROUP BY ALL HAVING sum(bytes) > 0"""),
+        "edits_strict": """SELECT CAST(user_id AS BIGINT) AS user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS article_id,
+            CAST(7 AS BIGINT) AS bytes, CAST(1 AS BIGINT) AS n FROM events WHERE event_type NOT IN ('error', 'signup', 'purchase')""",
+        "edits_malformed": """SELECT CASE event_type WHEN 'error' THEN 'abc' || line WHEN 'signup' THEN line || ',9' ELSE user_id::VARCHAR END AS value,
+            CASE event_type WHEN 'error' THEN 'not an integer' ELSE 'number of fields' END AS reason FROM (SELECT *, user_id || ',' || regexp_extract(props, '([0-9]+)', 1) || ',7,1' AS line FROM events)
+            WHERE event_type IN ('error', 'signup', 'purchase')""",
+        "every_nth_user": _with("SELECT DISTINCT u AS user_id, a AS article_id FROM bought WHERE u % 15 = 0"),
         "malformed_rows": _with("""SELECT value, CAST(len(string_split(value, ',')) AS INT) AS n_fields FROM truth_lines
             WHERE len(string_split(value, ',')) <> 2"""),
         "ground_truth": _with("SELECT u AS user_id, a AS article_id FROM truth"),
@@ -385,7 +391,7 @@ def all_oracles() -> dict[str, str]:
         "topic_recommend_raw": _with(f"{_RECOMMENDED} lists", *_topic_lists("lists", n, exclude=False)),
         "topic_recommend_prf": _with(f"{_RECOMMENDED} lists", *_topic_lists("lists", n, prf=40)),
         "factor_topk": _with(f"{_RECOMMENDED} lists", _factor_lists("lists", n)),
-        "user_knn": _with(f"{_RECOMMENDED} knn WHERE r <= 100"),
+        "user_knn": _with(f"{_RECOMMENDED} knn WHERE r <= 1000"),
         "user_knn_hits": _with("""SELECT u AS user_id, count(*) FILTER ((u, a) IN (SELECT (u, a) FROM bought_later)) AS n_hits,
             count(*) AS n_recommended FROM knn WHERE r <= 1000 GROUP BY u"""),
         "blend": _with(

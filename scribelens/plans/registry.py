@@ -21,7 +21,7 @@ from scribelens.operators import factors as M
 from scribelens.operators import neighbours as N
 from scribelens.operators import similarity as S
 from scribelens.operators import topics as T
-from scribelens.operators.recommender import BlendRecommender, FixedLists, TopicRecommender
+from scribelens.operators.recommender import BlendRecommender, FactorTables, TopicRecommender
 from scribelens.plans import views as D
 from scribelens.plans.jobs import build_category_model, evaluate
 from scribelens.session import shared_path
@@ -163,6 +163,22 @@ def ratings(spark, folder):
     return _rounded(E.ratings(training), "rating")
 
 
+@query
+def edits_strict(spark, folder):
+    return delimited.parse_edits(D.edit_lines(spark, folder), on_error="drop")
+
+
+@query
+def edits_malformed(spark, folder):
+    return delimited.malformed_edits(D.edit_lines(spark, folder))
+
+
+@query
+def every_nth_user(spark, folder):
+    training, _ = D.order_training_test(spark, folder)
+    return E.every_nth_user(training, 15).select("user_id", "article_id")
+
+
 @query
 def malformed_rows(spark, folder):
     return malformed(D.truth_lines(spark, folder), 2)
@@ -216,7 +232,7 @@ def topic_profile(spark, folder):
 
 def _topic_lists(spark, folder, n=TOP, **options):
     training, _ = D.training_test(spark, folder)
-    return T.topic_recommend(training, D.assignments(spark, folder), n, D.TOPICS, **options)
+    return T.topic_recommend(training, D.assignments(spark, folder), n, **options)
 
 
 @query
@@ -240,14 +256,15 @@ def topic_recommend_prf(spark, folder):
 @query
 def factor_topk(spark, folder):
     users, items = D.factor_tables(spark, folder)
-    return M.factor_topk(users, items, TOP)
+    # Blocks smaller than the table, so that the pruned path below the head is taken too.
+    return M.factor_topk(users, items, TOP, block=256)
 
 
 @query
 def user_knn(spark, folder):
     training, test = D.order_training_test(spark, folder)
     rated = training.select("user_id", "article_id", F.lit(1.0).alias("rating"))
-    return N.user_knn(rated, V.sample_users(test, SAMPLE, SEED), n=100)
+    return N.user_knn(rated, V.sample_users(test, SAMPLE, SEED))
 
 
 @query
@@ -276,7 +293,7 @@ def blend(spark, folder):
 
 def _evaluation(spark, folder):
     training, truth = _truth(spark, folder)
-    recommender = TopicRecommender(D.assignments(spark, folder), D.TOPICS)
+    recommender = TopicRecommender(D.assignments(spark, folder))
     return evaluate(recommender, training, truth, SAMPLE, LIST_LENGTH, SEED)
 
 
@@ -319,13 +336,12 @@ def eval_end_to_end(spark, folder):
     """From the raw event log to the summary of a blend of two recommenders."""
     training, truth = _truth(spark, folder)
     users, items = D.factor_tables(spark, folder)
-    n = 100
     recommender = (
         BlendRecommender()
-        .add(FixedLists(M.factor_topk(users, items, 3 * n)), 1.0)
-        .add(TopicRecommender(D.assignments(spark, folder), D.TOPICS), 2.0)
+        .add(FactorTables(users, items), 1.0)
+        .add(TopicRecommender(D.assignments(spark, folder)), 2.0)
     )
-    summary = evaluate(recommender, training, truth, SAMPLE, n, SEED).summary()
+    summary = evaluate(recommender, training, truth, SAMPLE, LIST_LENGTH, SEED).summary()
     return _rounded(summary, *[c for c in summary.columns if c != "processed"])
 
 
@@ -554,15 +570,30 @@ def _features(spark, folder):
 
 @query
 def lda_topics(spark, folder):
+    features, _ = _features(spark, folder)
+    return T.infer_topics(T.train_topics(features, LDA_TOPICS, 10), features)
+
+
+@query
+def lda_sample(spark, folder):
+    """Trained on a seeded sample, inferred for all documents."""
     features, _ = _features(spark, folder)
     return T.infer_topics(T.train_topics(features, LDA_TOPICS, 10, sample=0.5), features)
 
 
+@query
+def top_documents(spark, folder):
+    """Three strongest documents of each topic of a model fitted by expectation maximisation."""
+    features, _ = _features(spark, folder)
+    model = T.train_topics(features, LDA_TOPICS, 10, optimizer="em")
+    return T.top_documents(T.infer_topics(model, features), 3)
+
+
 @query
 def lda_reload(spark, folder):
     """Saved model and assignments, and the documents inferred again by the loaded model."""
     features, _ = _features(spark, folder)
-    model = T.train_topics(features, LDA_TOPICS, 5)
+    model = T.train_topics(features, LDA_TOPICS, 10)
     path = shared_path(spark, "lda")
     T.save_topics(model, T.infer_topics(model, features), path)
     loaded, stored = T.load_topics(spark, path)

@@ -89,6 +89,20 @@ def truth_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def edit_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines ``user,article,bytes,n``; those of three kinds of events are damaged."""
+    user, article = F.col("user_id").cast("string"), F.regexp_extract("props", "([0-9]+)", 1)
+    whole = F.concat_ws(",", user, article, F.lit("7"), F.lit("1"))
+    kind = F.col("event_type")
+    return table(spark, folder, "events").select(
+        F.when(kind == "error", F.concat(F.lit("abc"), whole))
+        .when(kind == "signup", F.concat(whole, F.lit(",9")))
+        .when(kind == "purchase", user)
+        .otherwise(whole)
+        .alias("value")
+    )
+
+
 # Edit history from the order book ----------------------------------------------------------
 
 

@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelens.functions.validate import split_fields
+from scribelens.functions.validate import fields_of, split_fields
 
-EDITS = "user_id BIGINT, article_id BIGINT, bytes BIGINT, n BIGINT"
 TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-def read_edits(spark: SparkSession, *paths: str) -> DataFrame:
+_INTEGER = r"^[+-]?[0-9]{1,18}$"
+
+
+def _edit_fault(parts: Column) -> Column:
+    """Why the fields are no edit, or null."""
+    return F.when(~F.size(parts).between(2, 4), "number of fields").when(
+        F.exists(parts, lambda x: ~x.rlike(_INTEGER)), "not an integer"
+    )
+
+
+def parse_edits(lines: DataFrame, on_error: str = "fail") -> DataFrame:
+    """Edit lines ``user,article[,bytes[,n]]``, all integers.
+
+    ``on_error="fail"`` raises when another line is read, ``"drop"`` leaves it to
+    `malformed_edits`.
+    """
+    if on_error not in ("fail", "drop"):
+        raise ValueError(f"on_error must be 'fail' or 'drop', not {on_error!r}")
+    parts = fields_of(F.col("value"))
+    good = _edit_fault(parts).isNull()
+    if on_error == "drop":
+        lines, checked = lines.where(good), parts
+    else:
+        # The check sits inside every field, so column pruning cannot optimise it away.
+        checked = F.when(good, parts).otherwise(F.raise_error(F.concat(F.lit("Edits malformed: "), "value")))
+    names = ["user_id", "article_id", "bytes", "n"]
+    return lines.select([F.get(checked, F.lit(i)).cast("bigint").alias(name) for i, name in enumerate(names)])
+
+
+def malformed_edits(lines: DataFrame) -> DataFrame:
+    """Lines that are no edits, with the reason."""
+    return lines.select("value", _edit_fault(fields_of(F.col("value"))).alias("reason")).where("reason IS NOT NULL")
+
+
+def read_edits(spark: SparkSession, *paths: str, on_error: str = "fail") -> DataFrame:
     """Edit history: user and article first, then optionally bytes and edit count.
 
     Several files or folders are read as one table, which also concatenates part files.
     """
-    return spark.read.schema(EDITS).csv(list(paths))
+    return parse_edits(spark.read.text(list(paths)), on_error)
 
 
 def parse_revisions(lines: DataFrame, on_error: str = "fail") -> DataFrame:
@@ -37,8 +70,14 @@ def read_revisions(spark: SparkSession, path: str, on_error: str = "fail") -> Da
     return parse_revisions(spark.read.text(path), on_error)
 
 
-def read_user_groups(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("user_id BIGINT, user_group STRING").csv(path)
+def parse_user_groups(lines: DataFrame, on_error: str = "fail") -> DataFrame:
+    """Lines ``user,group``."""
+    fields = split_fields(lines, ["u", "user_group"], on_error, "User groups malformed")
+    return fields.select(F.col("u").cast("bigint").alias("user_id"), "user_group")
+
+
+def read_user_groups(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
+    return parse_user_groups(spark.read.text(path), on_error)
 
 
 def parse_truth(lines: DataFrame, on_error: str = "fail") -> DataFrame:

@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 
 def parse_vectors(lines: DataFrame) -> DataFrame:
-    """Lines ``id;…;(size,[indices],[values])``: first and last field, as arrays."""
+    """Lines ``id;…;(size,[indices],[values])`` or ``id;…;[values]``: first and last field, as
+    arrays. Of dense vectors the entries that are not zero are kept."""
     parts = F.split("value", ";")
     body = F.element_at(parts, -1)
     sparse = r"^\((\d+),\[([^\]]*)\],\[([^\]]*)\]\)$"
+    dense = body.startswith("[")
 
-    def numbers(group: int, kind: str):
-        items = F.filter(F.split(F.regexp_extract(body, sparse, group), ","), lambda x: x != "")
-        return F.transform(items, lambda x: x.cast(kind))
+    def numbers(text, kind: str):
+        return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.cast(kind))
 
+    values = numbers(F.regexp_extract(body, r"^\[([^\]]*)\]$", 1), "double")
+    indexed = F.filter(
+        F.transform(values, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0
+    )
     return lines.select(
         parts[0].cast("bigint").alias("doc_id"),
-        F.regexp_extract(body, sparse, 1).cast("int").alias("size"),
-        numbers(2, "int").alias("indices"),
-        numbers(3, "double").alias("counts"),
+        F.when(dense, F.size(values)).otherwise(F.regexp_extract(body, sparse, 1).try_cast("int")).alias("size"),
+        F.when(dense, F.transform(indexed, lambda e: e["i"]))
+        .otherwise(numbers(F.regexp_extract(body, sparse, 2), "int"))
+        .alias("indices"),
+        F.when(dense, F.transform(indexed, lambda e: e["x"]))
+        .otherwise(numbers(F.regexp_extract(body, sparse, 3), "double"))
+        .alias("counts"),
     )
 
 

@@ -43,6 +43,25 @@ def test_concatenated_parts(spark, tmp_path):
     assert rows(both) == [(1, 1, 5, 1), (2, 1, 7, 2)]
 
 
+def test_malformed_edits_fail_or_are_set_aside(lines):
+    good = ["1,2", "3,4,5", "6,7,8,9", "-1,+2,0,1"]
+    bad = ["abc,5,1,1", "11", "1,2,3,4,5", "1,2,x", "", "1.5,2", "1,,3", "9999999999999999999,1"]
+    assert rows(D.parse_edits(lines(*good))) == [(-1, 2, 0, 1), (1, 2, None, None), (3, 4, 5, None), (6, 7, 8, 9)]
+    assert D.parse_edits(lines(*good, *bad), on_error="drop").count() == 4
+    assert sorted(r.value for r in D.malformed_edits(lines(*good, *bad)).collect()) == sorted(bad)
+    for line in bad:
+        with pytest.raises(Exception, match="malformed"):
+            D.parse_edits(lines(line)).select("user_id").collect()
+    with pytest.raises(ValueError):
+        D.parse_edits(lines("1,2"), on_error="ignore")
+
+
+def test_malformed_groups_fail(lines):
+    assert rows(D.parse_user_groups(lines("1,bot", "2,sysop"))) == [(1, "bot"), (2, "sysop")]
+    with pytest.raises(Exception, match="malformed"):
+        D.parse_user_groups(lines("1,bot,x")).collect()
+
+
 def test_revision_lines(lines):
     ok = D.parse_revisions(lines("5,7,null,true,2012-01-01T13:30:00Z", "5,0,12,false,bad"))
     first, second = ok.collect()

@@ -112,7 +112,7 @@ def test_short_lists_use_the_group_limit(spark):
 
 def test_rank_in_group(spark):
     df = spark.range(4000).selectExpr("id % 3 AS k", "id * 7 AS v")
-    rows = rank_in_group(df, "k", "v", width=100).where("k = 1").orderBy("v").collect()
+    rows = rank_in_group(df, "k", "v").where("k = 1").orderBy("v").collect()
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
 
 

@@ -24,8 +24,8 @@ def test_against_sql(spark, con, name):
 
 def test_every_other_query_is_a_model_or_a_stemmer():
     assert set(all_queries()) - set(ORACLES) == {
-        "als_recommend", "als_reload_recommend", "describe_topics", "lda_reload", "lda_topics",
-        "stem_vocabulary", "vectorize_documents", "wiki_stems",
+        "als_recommend", "als_reload_recommend", "describe_topics", "lda_reload", "lda_sample", "lda_topics",
+        "stem_vocabulary", "top_documents", "vectorize_documents", "wiki_stems",
     }
 
 

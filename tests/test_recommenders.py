@@ -94,7 +94,6 @@ def test_topic_recommender(spark, pairs, prf, exclude):
             pairs(*[(u, d) for u, docs in history.items() for d in docs], (0, next(iter(history[0])))),
             spark.createDataFrame(assignments, "doc_id BIGINT, topic INT, weight DOUBLE"),
             4,
-            8,
             prf,
             exclude,
         )

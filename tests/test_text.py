@@ -118,7 +118,7 @@ def test_counts_and_fitted_vectors_agree(spark):
     tokens = A.remove_stop_words(A.tokenize(docs))
     vocab = K.vocabulary(tokens, 2)
     assert [(r.idx, r.term, r.n) for r in vocab.orderBy("idx").collect()] == [(0, "pear", 3), (1, "apple", 2)]
-    counts = {(r.doc_id, r.idx): r["count"] for r in K.term_counts(tokens, vocab, 2).collect()}
+    counts = {(r.doc_id, r.idx): r["count"] for r in K.term_counts(tokens, vocab).collect()}
     assert counts == {(1, 0): 1, (1, 1): 2, (2, 0): 2}
     model = K.fit_text(docs, 2)
     fitted = {r.doc_id: r.features for r in K.vectorize(model, docs).collect()}
@@ -128,12 +128,13 @@ def test_counts_and_fitted_vectors_agree(spark):
 
 
 def test_vector_lines_round_trip(spark, lines):
-    parsed = vectors.parse_vectors(lines("7;title;(10,[1,4],[2.0,0.5])", "8;(10,[],[])"))
-    first, second = parsed.orderBy("doc_id").collect()
+    parsed = vectors.parse_vectors(lines("7;title;(10,[1,4],[2.0,0.5])", "8;(10,[],[])", "9;x;[0.0,1.5,0.0,2.0]"))
+    first, second, dense = parsed.orderBy("doc_id").collect()
     assert (first.doc_id, first.size, first.indices, first.counts) == (7, 10, [1, 4], [2.0, 0.5])
     assert second.indices == []
+    assert (dense.doc_id, dense.size, dense.indices, dense.counts) == (9, 4, [1, 3], [1.5, 2.0])
     again = vectors.parse_vectors(vector_lines(parsed)).orderBy("doc_id").collect()
-    assert again == [first, second]
+    assert again == [first, second, dense]
     assert [tuple(r) for r in vectors.parse_vocabulary(lines("b,a,c")).collect()] == [(0, "b"), (1, "a"), (2, "c")]
 
 
