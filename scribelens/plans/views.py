@@ -169,24 +169,25 @@ def article_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Page records of a revision dump, one per revision, so that no page grows large."""
+    """Page records of a revision dump; a page holds an article's revisions of one day."""
     registered = F.col("user_id") > 0
     contributor = F.struct(
         F.when(registered, "name").alias("username"),
         F.when(registered, F.col("user_id")).alias("id"),
         F.when(~registered, "::1").alias("ip"),
     )
-    return revisions(spark, folder).select(
-        F.lit("title").alias("title"),
-        "ns",
-        F.col("article_id").alias("id"),
-        F.struct(
-            F.lit(1).alias("id"),
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
-            contributor.alias("contributor"),
-            F.when(F.col("minor"), "").alias("minor"),
-            F.struct(F.col("bytes").alias("_bytes"), F.lit("").alias("_VALUE")).alias("text"),
-        ).alias("revision"),
+    revision = F.struct(
+        F.lit(1).alias("id"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        contributor.alias("contributor"),
+        F.when(F.col("minor"), "").alias("minor"),
+        F.struct(F.col("bytes").alias("_bytes"), F.lit("").alias("_VALUE")).alias("text"),
+    )
+    return (
+        revisions(spark, folder)
+        .groupBy("article_id", "ns", F.to_date("ts").alias("day"))
+        .agg(F.collect_list(revision).alias("revision"))
+        .select(F.lit("title").alias("title"), "ns", F.col("article_id").alias("id"), "revision")
     )
 
 

@@ -50,6 +50,27 @@ def test_edit_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("test", 5, 10, 40, 1), ("training", 5, 10, 101, 2)]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_a_page_with_very_many_revisions(spark, tmp_path, packed):
+    """Read block by block: the ids of a page reach its revisions in other blocks."""
+    one = "<revision><id>1</id><timestamp>2012-01-01T00:00:00Z</timestamp><contributor><id>{}</id></contributor><text bytes=\"3\" /></revision>\n"
+    text = "<mediawiki>\n"
+    for page, n in ((7, 30_000), (8, 1), (9, 30_000)):
+        text += f"<page>\n<title>t</title>\n<ns>0</ns>\n<id>{page}</id>\n" + "".join(one.format(u + 1) for u in range(n)) + "</page>\n"
+    text += "</mediawiki>\n"
+    path = tmp_path / ("h.xml.gz" if packed else "h.xml")
+    with (gzip.open(path, "wt") if packed else open(path, "w")) as out:
+        out.write(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        rows = xml_dump.read_history(spark, str(path))
+        got = rows.groupBy("article_id", "ns").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"), F.min("bytes").alias("b")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == [(7, 0, 30_000, 30_000, 3), (8, 0, 1, 1, 3), (9, 0, 30_000, 30_000, 3)]
+
+
 def test_corpus(spark, tmp_path):
     (tmp_path / "articles.xml").write_text(ARTICLES)
     read = {r.article_id: r.text for r in xml_dump.read_articles(spark, str(tmp_path / "articles.xml")).collect()}

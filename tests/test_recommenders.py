@@ -179,3 +179,23 @@ def test_user_knn_matches_brute_force(spark):
         best = [a for a in sorted(range(25), key=lambda a: (-scores[a], a)) if m[u, a] == 0 and scores[a] > 0][:6]
         assert got[u] == [(a, pytest.approx(scores[a], abs=1e-8)) for a in best]
     assert N.hits(N.user_knn(edits, active, 4, 6), edits).where("n_hits > 0").isEmpty()
+
+
+@pytest.mark.parametrize("optimizer", ["online", "em"])
+def test_topic_models_reload(spark, tmp_path, optimizer):
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(2)
+    data = [(d, Vectors.sparse(12, sorted((i, 1.0 + rng.random()) for i in rng.sample(range(12), 5)))) for d in range(30)]
+    docs = spark.createDataFrame(data, ["doc_id", "features"])
+    model = T.train_topics(docs, 3, 4, optimizer=optimizer)
+    T.save_topic_model(model, str(tmp_path))
+    T.save_assignments(T.infer_topics(model, docs, 3), str(tmp_path))
+    again, kept = T.load_topics(spark, str(tmp_path))
+    assert kept.count() == 90 and T.infer_topics(again, docs, 3).count() == 90
+    assert again.vocabSize() == 12 and again.topicsMatrix().toArray() == pytest.approx(model.topicsMatrix().toArray(), rel=1e-6)
+    best = {(r.topic, r["rank"]): r.weight for r in T.top_documents(kept, 3).collect()}
+    by_topic = {}
+    for r in kept.collect():
+        by_topic.setdefault(r.topic, []).append(r.weight)
+    assert all(best[t, k + 1] == sorted(w, reverse=True)[k] for t, w in by_topic.items() for k in range(3))
