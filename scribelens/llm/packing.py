@@ -6,8 +6,9 @@ key. Documents are range-sorted by key, so neighbours along the curve, which use
 tokens, share sequences. The sorted token streams are joined end to end and cut every `LENGTH`
 ids: only the very last sequence of the corpus is padded.
 
-Ids travel once, packed in two bytes each. Places in the stream are a sum inside each sorted
-partition plus the total of the partitions before it: as many numbers as there are partitions.
+Only keys and lengths are sorted; ids are written once, packed in two bytes each, and meet their
+places by row. A place is a sum inside a sorted partition plus the total of the partitions before
+it: as many numbers as there are partitions.
 """
 
 from __future__ import annotations
@@ -100,8 +101,8 @@ def encoded(docs: DataFrame, vocabulary: bytes, end: int = END, text: str = "tex
 def _placed(batch: pa.RecordBatch, part: int, so_far: int) -> tuple[pa.RecordBatch, int]:
     lengths = batch.column(1).to_numpy()
     ends = so_far + np.cumsum(lengths)
-    columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(ends - lengths), pa.array([part] * len(lengths), pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "ids", "place", "part"]), int(ends[-1]) if len(ends) else so_far
+    columns = [*batch.columns, pa.array(ends - lengths), pa.array([part] * len(lengths), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["row_id", "n", "place", "part"]), int(ends[-1]) if len(ends) else so_far
 
 
 def pack(
@@ -122,9 +123,13 @@ def pack(
     """
     vocabulary = read_vocabulary(vocabulary_path)
     dtype = ByteBpe(vocabulary).dtype
-    ordered = encoded(docs, vocabulary, end, text, doc_id)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(partitions, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    tokens = encoded(docs, vocabulary, end, text, doc_id).withColumn("row_id", F.monotonically_increasing_id())
+    tokens = stored(tokens, "tokens")
+    ordered = (
+        tokens.select("row_id", "key", "doc_id", "n")
+        .repartitionByRange("key", "doc_id")
+        .sortWithinPartitions("key", "doc_id", "row_id")
+    )
 
     def make_placing():
         from pyspark import TaskContext
@@ -139,14 +144,14 @@ def pack(
         return step
 
     placed = stored(
-        map_batches(ordered.select("doc_id", "n", "ids"), make_placing, "doc_id long, n long, ids binary, place long, part int"),
-        "streams",
+        map_batches(ordered.select("row_id", "n"), make_placing, "row_id long, n long, place long, part int", rows=10_000), "places"
     )
     totals = placed.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     # One row per partition of the sort.
-    stream = placed.join(F.broadcast(bases), "part").select("doc_id", "ids", (F.col("place") + F.col("base")).alias("place"))
+    places = placed.join(F.broadcast(bases), "part").select("row_id", (F.col("place") + F.col("base")).alias("place"))
+    stream = tokens.join(places, "row_id").select("doc_id", "ids", "place")
 
     def make_cutting():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
