@@ -16,6 +16,7 @@ from scribelens.operators import edits as E
 from scribelens.operators import evaluate as V
 from scribelens.operators import similarity as S
 from scribelens.operators.recommender import Recommender
+from scribelens.session import scratch
 from scribelens.sinks import tables
 from scribelens.sources import sql_dump, xml_dump
 
@@ -29,9 +30,10 @@ def build_edit_tables(
     partitions: int | None = None,
 ) -> None:
     """Revision dump to training and test aggregates: one plan with one shuffle for the sums."""
-    history = xml_dump.read_history(spark, history_path, partitions)
-    edits = E.with_split(E.clean_revisions(history, user_groups), threshold)
-    tables.write_split(E.aggregate_edits(edits, "split"), out)
+    with scratch(spark):
+        history = xml_dump.read_history(spark, history_path, partitions)
+        edits = E.with_split(E.clean_revisions(history, user_groups), threshold)
+        tables.write_split(E.aggregate_edits(edits, "split"), out)
 
 
 def build_corpus(
@@ -59,12 +61,13 @@ def build_category_links(
 ) -> None:
     """SQL dumps to page links, sub-category links and the links that name no category."""
     names = sql_dump.categories(sql_dump.read_lines(spark, category_path, encoding))
-    # Parsed once, read for every kind.
-    links = stored(sql_dump.category_links(sql_dump.read_lines(spark, link_path, encoding)), "links")
-    for kind in ("page", "subcat"):
-        wanted = C.split_links(links, kind)
-        C.resolve_links(wanted, names).write.mode("overwrite").parquet(f"{out}/{kind}")
-        C.unresolved_links(wanted, names).write.mode("overwrite").parquet(f"{out}/{kind}_unresolved")
+    with scratch(spark):
+        # Parsed once, read for every kind.
+        links = stored(sql_dump.category_links(sql_dump.read_lines(spark, link_path, encoding)), "links")
+        for kind in ("page", "subcat"):
+            wanted = C.split_links(links, kind)
+            C.resolve_links(wanted, names).write.mode("overwrite").parquet(f"{out}/{kind}")
+            C.unresolved_links(wanted, names).write.mode("overwrite").parquet(f"{out}/{kind}_unresolved")
 
 
 @dataclass

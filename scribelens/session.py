@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +53,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the folder of the current `scratch`."""
+    base = _SCRATCH[-1] if _SCRATCH else shared_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables stored inside the block, removed at its end.
+
+    Wrap a job together with the writing of its results: what still reads the stored tables
+    afterwards would fail.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

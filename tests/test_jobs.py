@@ -1,11 +1,14 @@
 import gzip
+import os
 
 import pytest
 
+from scribelens.functions.layout import stored
 from scribelens.functions.ranking import rank_in_group, top_k
 from scribelens.operators import topics as T
 from scribelens.plans import jobs
 from scribelens.plans.registry import all_queries
+from scribelens.session import scratch, shared_dir
 from scribelens.sources import xml_dump
 from pyspark.sql import functions as F
 
@@ -50,6 +53,16 @@ def test_edit_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("test", 5, 10, 40, 1), ("training", 5, 10, 101, 2)]
 
 
+def test_a_job_leaves_no_stored_tables(spark, tmp_path):
+    shared = shared_dir(spark)
+    before = set(os.listdir(shared))
+    with scratch(spark) as folder:
+        kept = stored(spark.range(5), "five")
+        assert kept.count() == 5 and os.listdir(folder)
+    test_edit_tables(spark, tmp_path)
+    assert set(os.listdir(shared)) == before
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_a_page_with_very_many_revisions(spark, tmp_path, packed):
     """Read block by block: the ids of a page reach its revisions in other blocks."""
