@@ -27,9 +27,9 @@ from pyspark.sql.types import DoubleType
 from scribelens.llm.tables import map_batches, read
 
 BITS = 17
-SAMPLE = 12_000  # labelled rows a model is fitted on, at most
+SAMPLE = 8_000  # labelled rows a model is fitted on, at most
 ALPHA, COST, EPOCHS, TOLERANCE = 1.0, 1.0, 30, 0.01
-REMEMBERED = 1 << 20  # words whose hashes a task keeps
+REMEMBERED = 1 << 19  # words whose hashes a task keeps
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)  # odd numbers that mix bits
 
 
