@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from scribelens.llm.tables import map_batches, read
 from scribelens.llm.token_counts import MARK, load, read_model, splits_at_marks
 
-REMEMBERED = 1_000_000  # pre-tokens a task keeps
+REMEMBERED = 600_000  # pre-tokens a task keeps
+AT_ONCE = 30_000  # new pre-tokens whose text is indexed at once
 LONGEST = 64  # longer ones are not kept
+PUNCTUATION = ",.;:!?\"'-|*#%&$()"
+_LETTER = re.compile(r"[^\W\d_]")
 FEW = 48  # edges that are relaxed one by one
 
 
@@ -46,14 +49,12 @@ class Vocabulary:
         self.unk = p.unk_id()
         self.has_bytes = self.unk not in self.bytes
         self.marked = splits_at_marks(p)
-        self.raw = [self.text[i].replace(MARK, " ").encode() if i in self.text else b"" for i in range(n)]
-        for b, i in enumerate(self.bytes):
-            if i != self.unk:
-                self.raw[i] = bytes([b])
         self.longest = max(map(len, self.id))
         self.spines: dict[tuple[str, int], list[str]] = {}
         self.follows: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self.asked, self.answers = np.array([np.iinfo(np.int64).min]), np.array([False])
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merge(self, text: str) -> tuple[list[str], list[tuple[str, str]]]:
         """Merge characters, best score first, then leftmost; also the merges in their order."""
@@ -102,6 +103,27 @@ class Vocabulary:
         return found
 
 
+    def allowed(self, pairs: np.ndarray) -> np.ndarray:
+        """`may_follow` of many pairs; -1 minus a piece asks whether it encodes as itself.
+
+        Answers are kept in sorted order besides; those still missing there are few.
+        """
+        kinds, which = np.unique(pairs, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.asked, kinds), len(self.asked) - 1)
+        answer = self.answers[at]
+        missing = np.flatnonzero(self.asked[at] != kinds)
+        if len(missing):
+            found = [self.alone(-1 - k) if k < 0 else self.may_follow(k) for k in kinds[missing].tolist()]
+            answer[missing] = found
+            self.fresh.append((kinds[missing], np.array(found, bool)))
+            if sum(len(f[0]) for f in self.fresh) > max(2000, len(self.asked) // 8):
+                asked = np.concatenate([self.asked, *(f[0] for f in self.fresh)])
+                answers = np.concatenate([self.answers, *(f[1] for f in self.fresh)])
+                self.asked, first = np.unique(asked, return_index=True)
+                self.answers, self.fresh = answers[first], []
+        return answer[which]
+
+
 class SuffixArray:
     """Suffixes of a text of small integers, sorted by their first ``depth`` entries."""
 
@@ -114,7 +136,7 @@ class SuffixArray:
         for i in range(per):
             packed = (packed << np.uint64(bits)) | padded[i : i + len(packed)]
         words = [packed[at : at + self.n] for at in range(0, depth, per)]
-        self.order = np.lexsort(words[::-1])
+        self.order = np.lexsort(words[::-1]).astype(np.int32)
         self.words = [w[self.order] for w in words]
 
     def _keys(self, rows: np.ndarray, fill: int) -> list[np.ndarray]:
@@ -154,9 +176,9 @@ class Encoder:
         self.v = Vocabulary(model)
         self.memory: dict[str, bytes] = {}
         self.pieces = sorted(self.v.id)
-        self.ids = np.array([self.v.id[p] for p in self.pieces], np.int64)
-        self.sizes = np.array([len(p) for p in self.pieces], np.int64)
-        points = np.full((len(self.pieces), self.v.longest), -1, np.int64)
+        self.ids = np.array([self.v.id[p] for p in self.pieces], np.int32)
+        self.sizes = np.array([len(p) for p in self.pieces], np.int32)
+        points = np.full((len(self.pieces), self.v.longest), -1, np.int32)
         for i, p in enumerate(self.pieces):
             points[i, : len(p)] = [ord(c) for c in p]
         self.points = points
@@ -164,6 +186,14 @@ class Encoder:
         breaks = "" if any("\n" in t for t in self.pieces) else "\n"
         self.part = re.compile(f"{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+|{breaks or MARK}")
 
+        # Neither is a mark of punctuation merged with a letter before it, unless a piece does so.
+        joined = {b for p in self.pieces for a, b in zip(p, p[1:]) if _LETTER.match(a)}
+        free = "".join(re.escape(c) for c in PUNCTUATION if c not in joined)
+        self.seam = re.compile(f"(?<={_LETTER.pattern})(?=[{free}])") if free else None
+
+    def _parts(self, word: str) -> list[str]:
+        return self.seam.split(word) if self.seam else [word]
+
     def split(self, text: str) -> list[str]:
         if not text:
             return []
@@ -175,17 +205,21 @@ class Encoder:
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         parts = [self.split(t) for t in texts]
-        new = list({w for p in parts for w in p} - self.memory.keys())
-        found = dict(zip(new, self._encode_words(new)))
-        kept = {w: ids for w, ids in found.items() if len(w) <= LONGEST}
-        self.memory.update(kept)
-        long = {w: ids for w, ids in found.items() if w not in kept}
-        get = self.memory.get
-        return [b"".join([get(w) or long[w] for w in p]) for p in parts]
+        new = {w: self._parts(w) for w in set().union(*parts).difference(self.memory)}
+        unknown = list(set().union(*new.values()).difference(self.memory))
+        for at in range(0, len(unknown), AT_ONCE):
+            some = unknown[at : at + AT_ONCE]
+            self.memory.update(zip(some, self._encode_words(some)))
+        get = self.memory.__getitem__
+        self.memory.update([(w, b"".join(map(get, xs))) for w, xs in new.items() if len(xs) > 1])
+        packed = [b"".join(map(get, p)) for p in parts]
+        for w in [w for w in (*unknown, *new) if len(w) > LONGEST]:
+            self.memory.pop(w, None)
+        return packed
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First character, last character (excluded) and piece of every occurrence."""
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        points = np.frombuffer(text.encode("utf-32-le"), np.int32)
         seen, codes = np.unique(points, return_inverse=True)
         codes = codes + 1  # 0 ends the text
         at = np.minimum(np.searchsorted(seen, self.points), len(seen) - 1)
@@ -204,18 +238,19 @@ class Encoder:
         v = self.v
         text = "\0".join(words)  # no piece holds the separator, see `_single`
         lengths = np.array([len(w) for w in words])
-        begin = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+        begin = np.concatenate(([0], np.cumsum(lengths + 1)[:-1])).astype(np.int32)
         start, end, piece = self._edges(text)
-        word_of = np.repeat(np.arange(len(words)), lengths + 1)[: len(text)]
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), lengths + 1)[: len(text)]
         # Edges of characters without a piece.
         single = np.zeros(len(text), bool)
         single[start[end - start == 1]] = True
-        lone = np.flatnonzero(~single)
+        lone = np.flatnonzero(~single).astype(np.int32)
         lone = lone[lone < (begin + lengths)[word_of[lone]]]
         start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
-        piece = np.concatenate([piece, np.full(len(lone), v.unknown)])
+        piece = np.concatenate([piece, np.full(len(lone), v.unknown, np.int32)])
         depth = end - begin[word_of[start]]
-        by = np.argsort(depth, kind="stable")
+        # Sorting short integers takes linear time.
+        by = np.argsort(depth.astype(np.uint16) if lengths.max() < 1 << 16 else depth, kind="stable")
         start, end, piece, depth = start[by], end[by], piece[by], depth[by]
         last = np.full(len(text) + 1, -1, np.int64)  # last piece of the encoding up to a place
         size = np.zeros(len(text) + 1, np.int64)
@@ -229,9 +264,7 @@ class Encoder:
                         last[e], size[e] = p, e - s
                 continue
             s, e, p = start[lo:hi], end[lo:hi], piece[lo:hi]
-            pairs = np.where(at_start[s], -1 - p, last[s] * (v.size + 1) + p)
-            kinds, which = np.unique(pairs, return_inverse=True)
-            good = np.array([v.alone(-1 - k) if k < 0 else v.may_follow(k) for k in kinds.tolist()])[which]
+            good = v.allowed(np.where(at_start[s], -1 - p, last[s] * (v.size + 1) + p))
             last[e[good]] = p[good]
             size[e[good]] = (e - s)[good]
         return self._trace(text, begin, begin + lengths, last, size)
@@ -268,8 +301,21 @@ class Encoder:
                 out.append(self.v.unk)
         return np.array(out, "<i4").tobytes()
 
-    def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.v.raw.__getitem__, ids))
+
+class Decoder:
+    """Texts of ids: the bytes of each piece, without the first blank."""
+
+    def __init__(self, model: bytes):
+        p = load(model)
+        n = p.get_piece_size()
+        shown = lambda i: b"" if p.is_control(i) or p.is_unknown(i) else p.id_to_piece(i).replace(MARK, " ").encode()
+        self.raw = [shown(i) for i in range(n)]
+        for b in range(256):
+            if (i := p.piece_to_id(f"<0x{b:02X}>")) != p.unk_id():
+                self.raw[i] = bytes([b])
+
+    def decode(self, ids: list[int]) -> str:
+        raw = b"".join(map(self.raw.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -296,7 +342,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
         return step
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(given, make, "doc_id long, ids array<int>", rows=2000)
+    return map_batches(given, make, "doc_id long, ids array<int>", rows=1000)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -304,10 +350,10 @@ def decode_pieces(encoded: DataFrame, model_path: str | None = None) -> DataFram
     model = read_model(model_path)
 
     def make():
-        encoder = Encoder(model)
+        decoder = Decoder(model)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [encoder.decode(i or ()) for i in batch.column(1).to_pylist()]
+            texts = [decoder.decode(i or ()) for i in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
         return step
