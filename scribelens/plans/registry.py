@@ -35,7 +35,7 @@ SEED = 1
 LIST_LENGTH = 5000
 TOP = 10
 SIMILARITY = 0.7
-LDA_TOPICS = 10
+DESCRIBED_TOPICS = 10
 
 _QUERIES: dict[str, Query] = {}
 
@@ -571,21 +571,21 @@ def _features(spark, folder):
 @query
 def lda_topics(spark, folder):
     features, _ = _features(spark, folder)
-    return T.infer_topics(T.train_topics(features, LDA_TOPICS, 10), features)
+    return T.infer_topics(T.train_topics(features), features)
 
 
 @query
 def lda_sample(spark, folder):
     """Trained on a seeded sample, inferred for all documents."""
     features, _ = _features(spark, folder)
-    return T.infer_topics(T.train_topics(features, LDA_TOPICS, 10, sample=0.5), features)
+    return T.infer_topics(T.train_topics(features, sample=0.5), features)
 
 
 @query
 def top_documents(spark, folder):
     """Three strongest documents of each topic of a model fitted by expectation maximisation."""
     features, _ = _features(spark, folder)
-    model = T.train_topics(features, LDA_TOPICS, 10, optimizer="em")
+    model = T.train_topics(features, optimizer="em")
     return T.top_documents(T.infer_topics(model, features), 3)
 
 
@@ -593,7 +593,7 @@ def top_documents(spark, folder):
 def lda_reload(spark, folder):
     """Saved model and assignments, and the documents inferred again by the loaded model."""
     features, _ = _features(spark, folder)
-    model = T.train_topics(features, LDA_TOPICS, 10)
+    model = T.train_topics(features)
     path = shared_path(spark, "lda")
     T.save_topics(model, T.infer_topics(model, features), path)
     loaded, stored = T.load_topics(spark, path)
@@ -604,7 +604,7 @@ def lda_reload(spark, folder):
 @query
 def describe_topics(spark, folder):
     features, vocab = _features(spark, folder)
-    model = T.train_topics(features, LDA_TOPICS, 10, optimizer="em")
+    model = T.train_topics(features, DESCRIBED_TOPICS, optimizer="em")
     return T.describe_topics(model, vocab, 3)
 
 

@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.ml.clustering import LDA
 
+from scribelens.plans import registry
 from scribelens.plans.oracle import all_oracles
 from scribelens.plans.registry import all_queries
 from tests.compare import connect, difference
@@ -56,3 +58,18 @@ def test_factor_lists_survive_reloading(spark):
 def test_stems_cover_the_vocabulary(spark):
     rows = all_queries()["stem_vocabulary"](spark, FOLDER).collect()
     assert len({r.term for r in rows}) == len(rows) and all(r.stem and len(r.stem) <= len(r.term) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["lda_topics", "lda_sample", "lda_reload", "top_documents"])
+def test_topic_queries_fit_as_many_topics_as_the_operator(spark, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def fit(lda, data):
+        raise Asked(lda.getK())
+
+    monkeypatch.setattr(registry, "_features", lambda spark, folder: (spark.range(1), spark.range(1)))
+    monkeypatch.setattr(LDA, "fit", fit)
+    with pytest.raises(Asked) as asked:
+        all_queries()[name](spark, FOLDER)
+    assert asked.value.args == (400,)
