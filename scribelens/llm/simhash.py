@@ -156,22 +156,29 @@ def near_groups(
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their group, all columns unchanged.
+    """One row of ``docs`` per group, that of the smallest doc_id, all columns unchanged.
 
-    Repeated rows of one doc_id are one document: one of them stays. Rows without doc_id are
-    told apart by their fingerprint; of a group without any doc_id the root stays.
+    A row is known by its doc_id and its fingerprint: rows that share both are one document, and
+    rows of one doc_id whose texts are not close belong to different groups and stay both. Where
+    a group holds its smallest doc_id with several fingerprints, the smallest of these stays; of
+    a group without any doc_id the root stays.
     """
     nameless = F.col("component_id").isNull() & (F.col("fp") == F.col("root"))
-    kept = near_groups(docs, text=text, doc_id=doc_id, **params).where((F.col("doc_id") == F.col("component_id")) | nameless)
+    kept = (
+        near_groups(docs, text=text, doc_id=doc_id, **params)
+        .where((F.col("doc_id") == F.col("component_id")) | nameless)
+        .groupBy("root")
+        .agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
+    )
     given = {k: v for k, v in params.items() if k in ("shingle", "seed")}
 
     @F.arrow_udf(LongType())
     def print_of(texts: pa.Array) -> pa.Array:
         return pa.array([_signed(fingerprint(t, **given)) for t in utf8(texts)], pa.int64())
 
-    name = lambda c, fp: F.coalesce(c.cast("string"), F.concat(F.lit("null/"), fp.cast("string")))
+    name = lambda c, fp: F.concat(F.coalesce(c.cast("string"), F.lit("null")), F.lit("/"), fp.cast("string"))
     theirs = kept.select(name(F.col("doc_id"), F.col("fp")).alias("__identity__"))
-    ours = docs.withColumn("__identity__", name(F.col(doc_id), print_of(F.when(F.col(doc_id).isNull(), F.col(text)))))
+    ours = docs.withColumn("__identity__", name(F.col(doc_id).cast("long"), print_of(F.col(text).cast("string"))))
     return ours.join(theirs, "__identity__", "left_semi").dropDuplicates(["__identity__"]).drop("__identity__")
 
 

@@ -110,6 +110,26 @@ def test_near_stage_keeps_one_document_per_group(spark, cluttered, empty):
     assert rows_of(simhash.drop_near_copies(nameless), "text") == [("a b c d e",), ("v w x y z",)]
 
 
+def test_near_stage_keeps_different_texts_of_one_doc_id(spark):
+    rows = [(3, "a b c d e"), (5, "A b c d e"), (5, "v w x y z"), (5, "v w x y z"), (7, "k l m n o"), (7, "p q r s t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(3, "a b c d e"), (5, "v w x y z"), (7, "k l m n o"), (7, "p q r s t")]
+    assert rows_of(simhash.drop_near_copies(docs), "doc_id", "text") == want
+
+
+def test_near_stage_keeps_one_of_close_texts_of_one_doc_id(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words)]
+    for i in range(400):
+        other = " ".join([*words[:i], "x", *words[i + 1 :]])
+        if 0 < (reference_print(other) ^ reference_print(texts[0])).bit_count() <= 2:
+            texts.append(other)
+            break
+    assert len(texts) == 2
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id bigint, text string")
+    assert simhash.drop_near_copies(docs).count() == 1
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(60)] + [(900, 900)]
