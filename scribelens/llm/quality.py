@@ -7,8 +7,9 @@ fixed number of columns. Each indicator is scaled by the class log-count ratio o
 scaled vector is brought to unit length, and a linear hinge-loss model is fitted by dual
 coordinate descent.
 
-The model is fitted on a bounded sample of labelled rows (`SAMPLE`); the labels of the sample
-are what is broadcast to the scan, so no text is exchanged, neither for fitting nor for scoring.
+The log-count ratios come from counts over all labelled rows outside the held-out fold. Only the
+hinge loss is fitted on a bounded sample (`SAMPLE`), one row per doc_id; its labels are broadcast
+to the scan. Scoring exchanges no text; counting leaves its join with the labels to Spark.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql.types import DoubleType
 from scribelens.llm.tables import map_batches, read
 
 BITS = 17
-SAMPLE = 8_000  # labelled rows a model is fitted on, at most
+SAMPLE = 12_000  # labelled rows the hinge loss is fitted on, at most
 ALPHA, COST, EPOCHS, TOLERANCE = 1.0, 1.0, 30, 0.01
 REMEMBERED = 1 << 19  # words whose hashes a task keeps
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)  # odd numbers that mix bits
@@ -107,17 +108,39 @@ class NGrams:
         return found.astype(np.int32)
 
 
-def log_count_ratios(rows: list[np.ndarray], good: np.ndarray, bits: int = BITS, alpha: float = ALPHA) -> np.ndarray:
-    """Log ratio of the document frequencies of both classes; 0 for columns never seen."""
-    counts = np.zeros((2, 1 << bits))
-    for row, label in zip(rows, good):
-        counts[int(label), row] += 1
-    sizes = np.array([max(1, (~good).sum()), max(1, good.sum())])
+def log_count_ratios(counts: np.ndarray, sizes: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    """Log ratio of the document frequencies of both classes; 0 for columns never seen.
+
+    Row 0 of ``counts`` and ``sizes`` belongs to class 0: documents per column and in all.
+    """
+    sizes = np.maximum(1, sizes)
     smooth = alpha * sizes / sizes.mean()
     return np.log((counts[1] + smooth[1]) / sizes[1]) - np.log((counts[0] + smooth[0]) / sizes[0])
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray, bits: int = BITS, cost: float = COST, epochs: int = EPOCHS, seed: int = 1) -> np.ndarray:
+def class_counts(given: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Documents per class and column, and per class, of all rows of (doc_id, text, quality).
+
+    A task adds its rows up first, so what is exchanged and what reaches the driver is bounded by
+    the number of columns.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, found = NGrams(bits), np.zeros((2, (1 << bits) + 1), np.int64)
+        for batch in batches:
+            for text, quality in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found[int(quality == 1), grams.columns(text or "")] += 1
+                found[int(quality == 1), -1] += 1
+        good, column = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (good, column, found[good, column])], names=["good", "column", "n"])
+
+    summed = given.mapInArrow(run, "good long, column long, n long").groupBy("good", "column").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((2, (1 << bits) + 1))
+    counts[summed["good"].to_numpy(), summed["column"].to_numpy()] = summed["n"].to_numpy()
+    return counts[:, :-1], counts[:, -1]
+
+
+def fit(rows: list[np.ndarray], good: np.ndarray, ratios: np.ndarray, bits: int = BITS, cost: float = COST, epochs: int = EPOCHS, seed: int = 1) -> np.ndarray:
     """Log-count ratios (first row) and hinge-loss weights; the last column is the bias.
 
     Dual coordinate descent: a dual variable between 0 and ``cost`` per row is set to its
@@ -128,7 +151,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, bits: int = BITS, cost: float
         model[1, -1] = 0.0 if not len(rows) else (1.0 if good.all() else -1.0)
         return model
     ratio, weight = model
-    ratio[:-1] = log_count_ratios(rows, good, bits)
+    ratio[:-1] = ratios
     values = [ratio[r] for r in rows]
     values = [v / max(1e-12, math.sqrt(v @ v)) if len(v) else v for v in values]
     sign = np.where(good, 1.0, -1.0)
@@ -171,19 +194,21 @@ def _texts(docs: DataFrame, text: str, doc_id: str, *more: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, quality), those of smallest hash.
+    """Count all rows of ``labels`` (doc_id, quality), fit on at most ``sample`` of smallest hash.
 
     Rows in the held-out fold and null labels are left out. A document labelled twice is good if
-    one of its labels says so. Without rows of both classes the model is a constant.
+    one of its labels says so. Of a doc_id in several rows all are counted, and the one with the
+    smallest columns is fitted. Without rows of both classes the model is a constant.
     """
-    chosen = (
+    known = (
         labels.where(~in_fold(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
-        .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
+        .agg(F.max("quality").cast("int").alias("quality"))
     )
-    given = _texts(docs, text, doc_id).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
+    texts = _texts(docs, text, doc_id).where(~in_fold(F.col("doc_id")))
+    ratios = log_count_ratios(*class_counts(texts.join(known, "doc_id").select("doc_id", "text", "quality"), bits))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    given = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
 
     def make():
         grams = NGrams(bits)
@@ -194,9 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
         return step
 
-    found = map_batches(given, make, "doc_id long, quality int, columns binary").toArrow().sort_by("doc_id")
+    hashed = map_batches(given, make, "doc_id long, quality int, columns binary")
+    # Repeats are folded in every partition before they are exchanged.
+    found = hashed.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("columns").alias("columns")).toArrow().sort_by("doc_id")
     rows = [np.frombuffer(c, np.int32) for c in found["columns"].to_pylist()]
-    return fit(rows, found["quality"].to_numpy() == 1, bits)
+    return fit(rows, found["quality"].to_numpy() == 1, ratios, bits)
 
 
 def scores(docs: DataFrame, model: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

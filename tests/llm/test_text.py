@@ -205,6 +205,26 @@ def test_quality_learns_and_scores_everything(spark, cluttered):
     assert kept.count() == sum(r.score >= 0.5 for r in messy)
 
 
+def test_quality_counts_all_labels_and_fits_one_row_per_document(spark, monkeypatch):
+    made = [(i, f"word{i} {'good' if i % 2 else 'bad'}") for i in range(400)] + [(3, "word3 good")] * 50
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, quality int")
+    given = {}
+    real = quality.fit
+
+    def fit(rows, *more, **named):
+        given["rows"] = len(rows)
+        return real(rows, *more, **named)
+
+    monkeypatch.setattr(quality, "fit", fit)
+    model = quality.train(docs, labels, sample=500)
+    trained = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert given["rows"] == len(trained)
+    few = quality.train(docs, labels, sample=20)
+    assert given["rows"] == 20
+    assert (few[0] == model[0]).all() and quality.SAMPLE == 12_000
+
+
 def test_quality_without_labels_is_constant(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     model = quality.train(docs, labels)
