@@ -182,6 +182,7 @@ class Encoder:
         for i, p in enumerate(self.pieces):
             points[i, : len(p)] = [ord(c) for c in p]
         self.points = points
+        self.alphabet = np.unique(points[points >= 0])
         # A character that no piece holds is never merged, so the line break may end a pre-token.
         breaks = "" if any("\n" in t for t in self.pieces) else "\n"
         self.part = re.compile(f"{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+|{breaks or MARK}")
@@ -220,10 +221,16 @@ class Encoder:
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First character, last character (excluded) and piece of every occurrence."""
         points = np.frombuffer(text.encode("utf-32-le"), np.int32)
-        seen, codes = np.unique(points, return_inverse=True)
-        codes = codes + 1  # 0 ends the text
+        # Characters that no piece holds match none: they share code 1, and 0 ends the text, so
+        # the number of codes is bounded by the vocabulary.
+        known = np.isin(points, self.alphabet)
+        seen, found = np.unique(points[known], return_inverse=True)
+        if not len(seen):
+            return (np.zeros(0, np.int32),) * 3
+        codes = np.ones(len(points), np.int64)
+        codes[known] = found + 2
         at = np.minimum(np.searchsorted(seen, self.points), len(seen) - 1)
-        rows = np.where(seen[at] == self.points, at + 1, 0)
+        rows = np.where(seen[at] == self.points, at + 2, 0)
         rows[self.points < 0] = -1
         usable = (rows != 0).all(axis=1)
         array = SuffixArray(codes, self.v.longest)

@@ -96,6 +96,14 @@ def test_pieces_of_messy_rows(cluttered, empty, piece_library):
     assert pieces.decode_pieces(pieces.encode_pieces(empty)).isEmpty()
 
 
+def test_texts_of_very_many_characters_equal_the_library(piece_library, encoder):
+    every = "".join(chr(c) for c in range(0x21, 0x1A000) if not 0xD800 <= c < 0xE000)
+    rare = "".join(chr(c) for c in range(0x20000, 0x20040))
+    for text in (every + " the end", rare):
+        text = "".join(c for c in text if piece_library.normalize(c).strip(token_counts.MARK) == c)
+        assert np.frombuffer(encoder.encode([text])[0], "<i4").tolist() == piece_library.encode(text)
+
+
 def test_suffix_ranges_are_all_occurrences():
     rng = random.Random(2)
     codes = np.array([rng.randrange(1, 4) for _ in range(500)])
