@@ -108,7 +108,7 @@ class LineIndex:
 
     @staticmethod
     def build(rows: DataFrame) -> LineIndex:
-        """Index of `stored_references`; its size sets the number of shards."""
+        """Index of `stored_references`; its size sets the first number of shards, which grows with the counts."""
         spark = rows.sparkSession
         empty = LineIndex(
             spark.createDataFrame([], "doc_id long, high long, low long, sign int"),
@@ -145,6 +145,9 @@ class LineIndex:
             ceased = self.counts.join(counts, KEY, "left_anti").select(*KEY, F.lit(False).alias("add"))
             changes = became.unionByName(ceased)
         changed = replace(self, log=log, counts=counts)
+        if touched is not None and (n := counts.count()) > SHARD_KEYS * self.shards:
+            grown = replace(changed, shards=1 + 2 * n // SHARD_KEYS)
+            return replace(grown, filters=grown._all_filters())
         return replace(changed, filters=changed._filters(self.filters, changes))
 
     def _filters(self, old: DataFrame, changes: DataFrame) -> DataFrame:
@@ -158,6 +161,11 @@ class LineIndex:
         anew = self._sharded(self.counts.select(*KEY)).join(full, "shard").groupBy("shard").applyInArrow(_build_filter, schema)
         return stored(updated.where("filter IS NOT NULL").unionByName(anew), "filters")
 
+    def _all_filters(self) -> DataFrame:
+        """Filters of all shards, from the exact counts."""
+        keys = self._sharded(self.counts.select(*KEY))
+        return stored(keys.groupBy("shard").applyInArrow(_build_filter, "shard long, filter binary"), "filters")
+
     def repeated(self, rows: DataFrame) -> DataFrame:
         """high, low, first: the keys of ``rows`` found in several documents, verified."""
         keys = self._sharded(rows.select(*KEY).distinct())

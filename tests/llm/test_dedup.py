@@ -194,6 +194,17 @@ def test_cuckoo_filter_adds_finds_and_removes():
     assert not CuckooFilter(8).add(keys[:, 0].copy(), keys[:, 1].copy())
 
 
+def test_shards_grow_with_the_index(spark, empty, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 100)
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some line with number "), F.col("id") % 500).alias("text"))
+    index = line_dedup.LineIndex.build(line_dedup.stored_references(empty))
+    given = line_dedup.stored_references(rows)
+    grown = index.insert(given)
+    assert index.shards == 1 and grown.shards >= 5 and grown.filters.count() == grown.shards
+    assert grown.repeated(given).count() == 500
+    assert grown.delete(given).counts.isEmpty()
+
+
 def test_a_full_filter_is_built_anew(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some line with number "), F.col("id") % 2000).alias("text"))
     small = rows.where("id < 2010").drop("id") if "id" in rows.columns else rows.where("doc_id < 2010")
