@@ -38,3 +38,25 @@ def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """Write a table bucketed and sorted by ``keys`` below the shared folder, and read it back.
+
+    Joins and groups by exactly these keys read it without an exchange, as long as ``buckets`` is
+    not less than ``spark.sql.shuffle.partitions``. The table's entry in the session's catalog is
+    dropped at once; its files stay like those of `stored`.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    entry = f"scribelens_{path.rsplit('-', 1)[1]}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(entry)
+    table = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return table
+
+
+def bucket_count(spark, wanted: int = 1) -> int:
+    """As many buckets as shuffle partitions at least, within what Spark takes."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))), most)
