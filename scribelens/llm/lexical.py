@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from scribelens.functions.layout import stored
 from scribelens.llm.tables import LOWER, UPPER, map_batches, read
@@ -227,8 +228,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, text: str = "text"
         best = _search(table, some, weights, documents, total, top)
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-        names = pa.table({"item": pa.array(range(len(some.ids)), pa.int64()), "item_id": some.ids})
-        named = items.sparkSession.createDataFrame(names).select("item", F.col("item_id").cast(kind))
+        numbers = StructType([StructField("item", LongType()), StructField("item_id", kind)])
+        named = items.sparkSession.createDataFrame(list(enumerate(some.ids)), numbers)
         found.append(ranked.join(named, "item").select("item_id", "rank", "doc_id", "score"))
     if not found:
         return items.select(F.col(item_id).alias("item_id"), F.lit(1).alias("rank"), F.lit(1).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("score")).limit(0)
