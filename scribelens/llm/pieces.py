@@ -1,6 +1,6 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
-The pre-tokens of a batch that are new to the task are joined into one text. Its suffixes are
+The pre-tokens of a batch that are new to the worker are joined into one text. Its suffixes are
 sorted by as many characters as the longest piece has, and every piece of the vocabulary is
 looked up by binary search: the suffixes that start with it are one range, its occurrences. Each
 occurrence is an edge from its first to its last character. Edges are sorted by where they end
@@ -17,16 +17,18 @@ of their own, later replaced by their bytes.
 from __future__ import annotations
 
 import re
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scribelens.llm.tables import map_batches, read
 from scribelens.llm.token_counts import MARK, load, read_model, splits_at_marks
 
-REMEMBERED = 600_000  # pre-tokens a task keeps
+REMEMBERED = 400_000  # pre-tokens a worker keeps
 AT_ONCE = 30_000  # new pre-tokens whose text is indexed at once
 LONGEST = 64  # longer ones are not kept
 PUNCTUATION = ",.;:!?\"'-|*#%&$()"
@@ -169,12 +171,33 @@ class SuffixArray:
         return self._search(self._keys(rows, 0), False), self._search(self._keys(rows, (1 << self.bits) - 1), True)
 
 
+class _Memory(dict):
+    """Entries in two generations: when the younger is full the older is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most // 2, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.older[word]
+        return found
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Those in neither generation."""
+        return words.difference(self).difference(self.older)
+
+    def make_room(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Encodes texts; remembers the ids of pre-tokens."""
 
     def __init__(self, model: bytes):
         self.v = Vocabulary(model)
-        self.memory: dict[str, bytes] = {}
+        self.memory = _Memory(REMEMBERED)
         self.pieces = sorted(self.v.id)
         self.ids = np.array([self.v.id[p] for p in self.pieces], np.int32)
         self.sizes = np.array([len(p) for p in self.pieces], np.int32)
@@ -203,11 +226,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed 32-bit ids of each text."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+        self.memory.make_room()
         parts = [self.split(t) for t in texts]
-        new = {w: self._parts(w) for w in set().union(*parts).difference(self.memory)}
-        unknown = list(set().union(*new.values()).difference(self.memory))
+        new = {w: self._parts(w) for w in self.memory.missing(set().union(*parts))}
+        unknown = list(self.memory.missing(set().union(*new.values())))
         for at in range(0, len(unknown), AT_ONCE):
             some = unknown[at : at + AT_ONCE]
             self.memory.update(zip(some, self._encode_words(some)))
@@ -309,6 +331,18 @@ class Encoder:
         return np.array(out, "<i4").tobytes()
 
 
+_WORKER: dict[bytes, tuple[Encoder, Decoder]] = {}
+
+
+def of_worker(model: bytes) -> tuple[Encoder, Decoder]:
+    """The encoder and decoder that all tasks of a Python worker share; only those of one model are kept."""
+    name = blake2b(model).digest()
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = Encoder(model), Decoder(model)
+    return _WORKER[name]
+
+
 class Decoder:
     """Texts of ids: the bytes of each piece, without the first blank."""
 
@@ -321,35 +355,57 @@ class Decoder:
             if (i := p.piece_to_id(f"<0x{b:02X}>")) != p.unk_id():
                 self.raw[i] = bytes([b])
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
+        self.column = pa.array(self.raw, pa.binary())
+
+    @staticmethod
+    def _text(raw: bytes) -> str:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+    def decode(self, ids: list[int]) -> str:
+        return self._text(b"".join(map(self.raw.__getitem__, ids)))
+
+    def decode_all(self, ids: pa.ListArray) -> list[str]:
+        """The text of each list; a null list is an empty text."""
+        ids = ids.cast(pa.list_(pa.int32()))
+        ids = pc.if_else(ids.is_null(), pa.scalar([], ids.type), ids) if ids.null_count else ids
+        offsets = ids.offsets.to_numpy()
+        pieces = self.column.take(ids.values.slice(offsets[0], offsets[-1] - offsets[0]))
+        lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pieces)
+        joined = pc.binary_join(lists, pa.scalar(b"", pa.binary())).to_pylist()
+        return [self._text(raw) for raw in joined]
+
 
 def _lists(packed: list[bytes]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
-def encode_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model_path: str | None = None) -> DataFrame:
+def encode_pieces(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model_path: str | None = None, decoded: bool = False
+) -> DataFrame:
     """doc_id and ids (array<int>), equal to the library's without begin and end ids.
 
-    Null and empty texts have no ids. Rows are independent: repeated rows and null doc_ids are
-    encoded like others, and other columns are ignored. Nothing is exchanged.
+    With ``decoded`` also decoded_sha256, that of the text the ids stand for. Null and empty texts
+    have no ids. Rows are independent: repeated rows and null doc_ids are encoded like others, and
+    other columns are ignored. Nothing is exchanged.
     """
     model = read_model(model_path)
+    names = ["doc_id", "ids", "decoded_sha256"][: 2 + decoded]
 
     def make():
-        encoder = Encoder(model)
+        encoder, decoder = of_worker(model)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             packed = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            return pa.RecordBatch.from_arrays([batch.column(0), _lists(packed)], names=["doc_id", "ids"])
+            columns = [batch.column(0), _lists(packed)]
+            if decoded:
+                columns.append(pa.array([sha256(t.encode()).hexdigest() for t in decoder.decode_all(columns[1])], pa.string()))
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         return step
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(given, make, "doc_id long, ids array<int>", rows=1000)
+    return map_batches(given, make, "doc_id long, ids array<int>" + ", decoded_sha256 string" * decoded, rows=1000)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -357,10 +413,10 @@ def decode_pieces(encoded: DataFrame, model_path: str | None = None) -> DataFram
     model = read_model(model_path)
 
     def make():
-        decoder = Decoder(model)
+        _, decoder = of_worker(model)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [decoder.decode(i or ()) for i in batch.column(1).to_pylist()]
+            texts = decoder.decode_all(batch.column(1))
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
         return step
@@ -370,7 +426,5 @@ def decode_pieces(encoded: DataFrame, model_path: str | None = None) -> DataFram
 
 def op10_sentencepiece(spark, folder: str) -> DataFrame:
     """Every document encoded, and decoded again from its ids."""
-    encoded = encode_pieces(read(spark, folder, "documents"))
-    return decode_pieces(encoded).select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256")
-    )
+    encoded = encode_pieces(read(spark, folder, "documents"), decoded=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_sha256")
