@@ -7,9 +7,10 @@ fixed number of columns. Each indicator is scaled by the class log-count ratio o
 scaled vector is brought to unit length, and a linear hinge-loss model is fitted by dual
 coordinate descent.
 
-The log-count ratios come from counts over all labelled rows outside the held-out fold. Only the
-hinge loss is fitted on a bounded sample (`SAMPLE`), one row per doc_id; its labels are broadcast
-to the scan. Scoring exchanges no text; counting leaves its join with the labels to Spark.
+The model is fitted on bounded samples of the labelled documents outside the held-out fold, those
+of smallest hash: the log-count ratios on at most `COUNTED`, the hinge loss on at most `SAMPLE` of
+them, one row per doc_id. Their labels, a few MB at most, are broadcast to the scan of the texts;
+no text is ever exchanged.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql.types import DoubleType
 from scribelens.llm.tables import map_batches, read
 
 BITS = 17
-SAMPLE = 12_000  # labelled rows the hinge loss is fitted on, at most
+COUNTED = 200_000  # labelled documents whose n-grams are counted, at most
+SAMPLE = 12_000  # labelled documents the hinge loss is fitted on, at most
 ALPHA, COST, EPOCHS, TOLERANCE = 1.0, 1.0, 30, 0.01
 REMEMBERED = 1 << 19  # words whose hashes a task keeps
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)  # odd numbers that mix bits
@@ -193,8 +195,17 @@ def _texts(docs: DataFrame, text: str, doc_id: str, *more: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
-    """Count all rows of ``labels`` (doc_id, quality), fit on at most ``sample`` of smallest hash.
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    bits: int = BITS,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    counted: int = COUNTED,
+) -> np.ndarray:
+    """Count at most ``counted`` labelled documents (``labels``: doc_id, quality) of smallest hash,
+    fit on at most ``sample`` of them.
 
     Rows in the held-out fold and null labels are left out. A document labelled twice is good if
     one of its labels says so. Of a doc_id in several rows all are counted, and the one with the
@@ -206,9 +217,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         .agg(F.max("quality").cast("int").alias("quality"))
     )
     texts = _texts(docs, text, doc_id).where(~in_fold(F.col("doc_id")))
-    ratios = log_count_ratios(*class_counts(texts.join(known, "doc_id").select("doc_id", "text", "quality"), bits))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    given = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    # Both samples are bounded by their parameter, so they may be broadcast.
+    first = known.orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = lambda n: texts.join(F.broadcast(first.limit(n)), "doc_id").select("doc_id", "text", "quality")
+    ratios = log_count_ratios(*class_counts(chosen(counted), bits))
+    given = chosen(sample)
 
     def make():
         grams = NGrams(bits)
