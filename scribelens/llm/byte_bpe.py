@@ -8,6 +8,10 @@ import re
 import numpy as np
 
 
+LONG_SPACE = 10_000  # white space in a row that the fast encoder, which recurses over it, is given
+_SPACE = re.compile(r"\s+")
+
+
 def read_vocabulary(path: str | None = None) -> bytes:
     if path is None:
         import public_tokenizers
@@ -24,6 +28,13 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def has_long_space(text: str) -> bool:
+    """Whether there are `LONG_SPACE` characters of white space in a row."""
+    if len(text) < LONG_SPACE or len(text) - sum(map(len, text.split())) < LONG_SPACE:
+        return False
+    return any(m.end() - m.start() >= LONG_SPACE for m in _SPACE.finditer(text))
+
+
 class ByteBpe:
     """Encodes texts; ids come packed as integers of ``dtype``."""
 
@@ -37,10 +48,13 @@ class ByteBpe:
         ranks = {bytes(letters[c] for c in p): i for p, i in given["model"]["vocab"].items() if p not in self.special}
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2" if max([*ranks.values(), *self.special.values()]) < 1 << 16 else "<u4")
+        self.file, self.library = vocabulary, None
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def ids(self, text: str) -> list[int]:
         """Strings of special tokens inside the text are those tokens."""
+        if has_long_space(text):
+            return self._library_ids(text)
         if self.cut is None or not any(s in text for s in self.special):
             return self.core.encode_ordinary(text)
         found: list[int] = []
@@ -48,5 +62,15 @@ class ByteBpe:
             found += [self.special[part]] if i % 2 else self.core.encode_ordinary(part)
         return found
 
+    def _library_ids(self, text: str) -> list[int]:
+        """The same ids by the file's own library, slower but safe for any text."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.file.decode())
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def packed(self, text: str) -> bytes:
         return np.array(self.ids(text), self.dtype).tobytes()
