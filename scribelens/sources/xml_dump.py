@@ -1,8 +1,9 @@
 """Readers for the page XML of a wiki dump.
 
-Articles are pages of Spark's XML source. In a history the records are revisions, as a page may
+Both are read as text cut at the end of a record, so plain files and bz2 streams are split among
+tasks. The records of an article dump are pages. In a history they are revisions, as a page may
 have any number of them; ids and namespace of the page are carried along.
-Compressed gzip files are read by one task each; ``partitions`` spreads their rows afterwards.
+Gzip files cannot be split: each is read by one task; ``partitions`` spreads their rows afterwards.
 """
 
 from __future__ import annotations
@@ -26,13 +27,11 @@ TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def _pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return (
-        spark.read.format("xml")
-        .option("rowTag", "page")
-        .option("ignoreSurroundingSpaces", "false")
-        .schema(schema)
-        .load(path)
-    )
+    """One row ``page`` per page."""
+    records = spark.read.option("lineSep", "</page>").text(path).where(F.col("value").contains("<page"))
+    # What stands before the first page is the file's head.
+    page = F.concat(F.regexp_replace("value", r"(?s)^.*?(?=<page[\s>])", ""), F.lit("</page>"))
+    return records.select(F.from_xml(page, schema, {"ignoreSurroundingSpaces": "false"}).alias("page"))
 
 
 def _revisions(spark: SparkSession, path: str) -> DataFrame:
@@ -117,8 +116,8 @@ def read_articles(spark: SparkSession, path: str, partitions: int | None = None)
     if partitions:
         pages = pages.repartition(partitions)
     return pages.select(
-        F.col("id").alias("article_id"),
-        "ns",
-        "title",
-        F.array_join("revision.text", "").alias("text"),
+        F.col("page.id").alias("article_id"),
+        "page.ns",
+        "page.title",
+        F.array_join("page.revision.text", "").alias("text"),
     )

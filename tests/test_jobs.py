@@ -1,5 +1,7 @@
+import bz2
 import gzip
 import os
+import random
 
 import pytest
 
@@ -159,3 +161,42 @@ def test_no_cartesian_products(spark, name):
 def test_filters_reach_the_scan(spark):
     plan = all_queries()["edits_for_user"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "bytes" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", ["articles.xml", "articles.xml.bz2"])
+def test_articles_of_one_file_are_read_by_several_tasks(spark, tmp_path, name):
+    page = "<page><title>T{0}</title><ns>0</ns><id>{0}</id><revision><text>line\n  {1} &lt;page&gt;</text></revision></page>\n"
+    noise = random.Random(1)
+    texts = {i: " ".join(str(noise.random()) for _ in range(40)) for i in range(3000)}
+    whole = "<mediawiki>" + "".join(page.format(i, t) for i, t in texts.items()) + "</mediawiki>"
+    with (bz2.open(tmp_path / name, "wt") if name.endswith("bz2") else open(tmp_path / name, "w")) as out:
+        out.write(whole)
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "300k")
+    try:
+        read = xml_dump.read_articles(spark, str(tmp_path / name))
+        rows = read.select("article_id", "title", "text", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.article_id: r.text for r in rows} == {i: f"line\n  {t} <page>" for i, t in texts.items()} and len(rows) == 3000
+    assert len({r.task for r in rows}) > 1
+
+
+def test_history_in_bz2_is_read_by_several_tasks(spark, tmp_path):
+    noise = random.Random(2)
+    revision = "<revision><id>{0}</id><timestamp>2011-05-05T13:00:00Z</timestamp><contributor><id>{1}</id></contributor><comment>{2}</comment><text bytes=\"{0}\" /></revision>"
+    pages = "".join(
+        f"<page><title>P</title><ns>0</ns><id>{p}</id>"
+        + "".join(revision.format(p * 100 + r, r + 1, noise.random()) for r in range(100)) + "</page>"
+        for p in range(1, 200)
+    )
+    with bz2.open(tmp_path / "h.xml.bz2", "wt") as out:
+        out.write(f"<mediawiki>{pages}</mediawiki>")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "100k")
+    try:
+        assert spark.read.text(str(tmp_path / "h.xml.bz2")).rdd.getNumPartitions() > 1
+        rows = xml_dump.read_history(spark, str(tmp_path / "h.xml.bz2")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.article_id, r.user_id, r.bytes) for r in rows) == [(p, r + 1, p * 100 + r) for p in range(1, 200) for r in range(100)]
