@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -14,7 +16,8 @@ from scribelens.functions.validate import int32
 from scribelens.session import shared_dir
 
 BLOCK_ROWS = 4096
-BANDS_PER_DOUBLING = 4
+CELLS = 256  # directions of the upper level of the tree of items
+NODES = 1 << 16  # nodes of the lower level, about, at most
 BATCH_USERS = 512  # users scored at once against the head
 SCORED = "user_id BIGINT, article_id BIGINT, score DOUBLE"
 
@@ -96,21 +99,131 @@ def _best(users: np.ndarray, user_ids: np.ndarray, items: np.ndarray, item_ids:
     return pd.DataFrame({"user_id": user_ids[row[keep]], "article_id": item_ids[column[keep]], "score": score[keep]})
 
 
-def _best_of_block(n: int):
-    def score(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if users.empty or items.empty:
-            return pd.DataFrame({"user_id": [], "article_id": [], "score": []})
-        items = items.sort_values("article_id")
-        return _best(
-            np.stack(users["u"].to_numpy()), users["user_id"].to_numpy(),
-            np.stack(items["v"].to_numpy()), items["article_id"].to_numpy(), n,
-        )
+def _units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and lengths; a zero vector has the direction 0."""
+    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    return vectors / np.where(norms > 0, norms, 1.0)[:, None], norms
 
-    return score
 
+@dataclass(frozen=True)
+class Cones:
+    """Nodes of one level of the tree: a direction each, and the widest and longest of its items."""
+
+    centres: np.ndarray
+    cosines: np.ndarray  # of the angle between the centre and the item farthest from it
+    norms: np.ndarray
+
+    def bounds(self, units: np.ndarray) -> np.ndarray:
+        """What a user of length 1 can score at most in each node: rows are users.
+
+        An item is at least as far from the user as the centre is, less the node's angle.
+        """
+        near = np.clip(units @ self.centres.T, -1.0, 1.0)
+        cosines = np.clip(self.cosines - 1e-9, -1.0, 1.0)
+        apart = near * cosines + np.sqrt(1 - near * near) * np.sqrt(1 - cosines * cosines)
+        return np.where(near >= cosines, 1.0, apart + 1e-9) * self.norms
+
+
+@dataclass(frozen=True)
+class ConeTree:
+    """Two levels: cells around a few directions, and in each the nodes that hold the items."""
+
+    cells: Cones
+    nodes: Cones
+    cell_of: np.ndarray
+
+    def open_nodes(self, users: np.ndarray, bars: np.ndarray) -> np.ndarray:
+        """Which nodes (columns) can hold a score of at least the bar for each user (rows)."""
+        units, norms = _units(users)
+        # A score is rounded to 9 digits, so the bar is lowered by more than that.
+        lowest = (np.maximum(bars, 0.0) - 1e-8)[:, None]
+        cells = self.cells.bounds(units) * norms[:, None] >= lowest
+        found = np.zeros((len(users), len(self.cell_of)), bool)
+        some = np.flatnonzero(cells.any(axis=0)[self.cell_of])
+        if len(some):
+            part = Cones(self.nodes.centres[some], self.nodes.cosines[some], self.nodes.norms[some])
+            found[:, some] = cells[:, self.cell_of[some]] & (part.bounds(units) * norms[:, None] >= lowest)
+        return found
 
-def _first_lists(users: DataFrame, head: list, n: int) -> DataFrame:
-    """Lists from the head alone, where the users are read: the head goes with the code."""
+
+def _placed(items: DataFrame, pivots: dict[int, np.ndarray], key: str | None, into: str) -> DataFrame:
+    """Add the nearest pivot's number (among those of the row's ``key``) and the cosine to it."""
+    pivots = {k: _units(p)[0] for k, p in pivots.items()}
+
+    def place(batches):
+        for batch in batches:
+            units, _ = _units(np.stack(batch["v"].to_numpy()))
+            nearest, cosine = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            groups = {0: np.arange(len(batch))} if key is None else batch.groupby(key).indices
+            for k, at in groups.items():
+                near = units[at] @ pivots[k].T
+                nearest[at] = near.argmax(axis=1)
+                cosine[at] = near[np.arange(len(at)), nearest[at]]
+            yield batch.assign(**{into: nearest, f"{into}_cos": cosine})
+
+    return items.mapInPandas(place, f"{_ddl(items)}, {into} int, {into}_cos double")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
+def _first_by_hash(items: DataFrame, most: int) -> np.ndarray:
+    return np.array([r.v for r in items.orderBy(F.xxhash64("article_id"), "article_id").limit(most).select("v").collect()])
+
+
+def cone_tree(items: DataFrame, block: int) -> tuple[ConeTree, DataFrame]:
+    """The tree of (article_id, v, norm), and the items with the number of their ``node``.
+
+    Cells form around `CELLS` items of smallest hash; a cell that holds more than a block gets as
+    many directions of its own, twice over, and a direction with more than a block of items (copies
+    of one vector, say) is cut into several nodes. The nodes' summaries are collected: at most
+    `NODES` of them and of cells and directions, as the block grows with the items.
+    """
+    centre = _first_by_hash(items, CELLS)
+    placed = stored(_placed(items, {0: centre}, None, "cell"), "cells")
+    sizes = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    block = max(block, 4 * sum(sizes.values()) // NODES)
+    wanted = {c: 2 * n // block for c, n in sizes.items()}
+    shares = items.sparkSession.createDataFrame([(c, k / sizes[c]) for c, k in wanted.items()], "cell int, share double")
+    drawn = F.pmod(F.xxhash64("article_id", F.lit(1)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    # One row per cell is broadcast; about as many directions as wanted are drawn.
+    chosen = placed.join(F.broadcast(shares), "cell").where(drawn)
+    directions = {c: [centre[c]] for c in sizes}
+    for r in chosen.select("cell", "v").orderBy("article_id").collect():
+        directions[r.cell].append(r.v)
+    fine = stored(_placed(placed, {c: np.array(v) for c, v in directions.items()}, "cell", "part"), "parts")
+    counts = fine.groupBy("cell", "part").agg(F.ceil(F.count("*") / block).alias("_cuts"))
+    cut = fine.join(counts, ["cell", "part"]).withColumn("cut", F.pmod(F.xxhash64("article_id"), F.col("_cuts")).cast("int"))
+    key = ["cell", "part", "cut"]
+    summary = cut.groupBy(*key).agg(
+        F.min("part_cos").alias("cos"), F.min("cell_cos").alias("cell_cos"), F.max("norm").alias("norm")
+    )
+    nodes = sorted(summary.collect(), key=lambda r: (r.cell, r.part, r.cut))
+    cells = sorted({r.cell for r in nodes})
+    of_cell = {c: [r for r in nodes if r.cell == c] for c in cells}
+    tree = ConeTree(
+        Cones(
+            _units(np.array([centre[c] for c in cells]))[0],
+            np.array([min(r.cell_cos for r in of_cell[c]) for c in cells]),
+            np.array([max(r.norm for r in of_cell[c]) for c in cells]),
+        ),
+        Cones(
+            _units(np.array([directions[r.cell][r.part] for r in nodes]))[0],
+            np.array([r.cos for r in nodes]),
+            np.array([r.norm for r in nodes]),
+        ),
+        np.array([cells.index(r.cell) for r in nodes]),
+    )
+    numbers = items.sparkSession.createDataFrame(
+        [(r.cell, r.part, r.cut, i) for i, r in enumerate(nodes)], "cell int, part int, cut int, node int"
+    )
+    return tree, cut.join(numbers, key).select("node", "article_id", "v")
+
+
+def _first_pass(users: DataFrame, head: list, tree: ConeTree | None, n: int) -> DataFrame:
+    """Where the users are read: their lists from the head alone (rows without ``node``), and for
+    each batch of users and node the users to whom the node is open, packed into one row."""
     ids = np.array([h[0] for h in head], np.int64)
     vectors = np.array([h[1] for h in head])
 
@@ -118,44 +231,77 @@ def _first_lists(users: DataFrame, head: list, n: int) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), BATCH_USERS):
                 part = batch.iloc[start : start + BATCH_USERS]
-                yield _best(np.stack(part["u"].to_numpy()), part["user_id"].to_numpy(), vectors, ids, n)
+                matrix, own = np.stack(part["u"].to_numpy()), part["user_id"].to_numpy()
+                best = _best(matrix, own, vectors, ids, n)
+                yield best.assign(node=pd.array([None] * len(best), "Int32"), users=0, ids=None, vectors=None)
+                if tree is not None:
+                    bars = best.groupby("user_id", sort=False)["score"].min().reindex(own).to_numpy()
+                    yield _packets(matrix, own, tree.open_nodes(matrix, bars))
 
-    return users.select("user_id", "u").mapInPandas(score, SCORED)
+    return users.select("user_id", "u").mapInPandas(score, f"{SCORED}, node int, users int, ids binary, vectors binary")
 
 
-def _blocks_of(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Hash the rows of each band into blocks of about ``rows`` rows."""
-    sizes = df.groupBy("band").agg(F.ceil(F.count("*") / rows).alias("_parts"))
-    return df.join(F.broadcast(sizes), "band").withColumn(
-        "part", F.pmod(F.xxhash64(key), F.col("_parts"))
-    ).drop("_parts")
+def _packets(matrix: np.ndarray, ids: np.ndarray, is_open: np.ndarray) -> pd.DataFrame:
+    rows = []
+    for node in np.flatnonzero(is_open.any(axis=0)):
+        at = np.flatnonzero(is_open[:, node])
+        rows.append((None, None, None, node, len(at), ids[at].tobytes(), matrix[at].tobytes()))
+    return pd.DataFrame(rows, columns=["user_id", "article_id", "score", "node", "users", "ids", "vectors"])
 
 
-def factor_topk(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_ROWS) -> DataFrame:
-    """The ``n`` items with the largest non-negative dot product for every user, exactly.
+def _best_of_node(n: int):
+    def score(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        if users.empty or items.empty:
+            return pd.DataFrame({"user_id": [], "article_id": [], "score": []})
+        items = items.sort_values("article_id")
+        vectors, article_ids = np.stack(items["v"].to_numpy()), items["article_id"].to_numpy()
+        found = []
+        for ids, packed in zip(users["ids"], users["vectors"]):
+            ids = np.frombuffer(ids, np.int64)
+            found.append(_best(np.frombuffer(packed).reshape(len(ids), -1), ids, vectors, article_ids, n))
+        return pd.concat(found)
 
-    No user meets every item. The ``block`` items with the largest norms (at least n) are scored
-    for every user without a shuffle and give each a first list; its last score is a bar that,
-    by |u·v| <= |u||v|, rules out all items below a norm. Users and the remaining items are put
-    into bands by bar and by norm (a double spans a fixed number of bands, so their list is small
-    by construction), and only blocks that can still clear the bar are multiplied. A block emits
-    n rows per user, never all pairs. The first lists are stored, as lists and bars both need
-    them; that and fetching the head and the list of bands are the jobs that run while planning.
-    """
+    return score
+
+
+def _prepared(users: DataFrame, items: DataFrame, n: int, block: int):
+    """Users, the head of the items, and the tree of those below the head (or None) with them."""
     # Fresh names keep the two sides apart when both derive from one table.
-    u = users.select(
-        F.col("user_id").alias("user_id"), F.col("features").alias("u"), _norm(F.col("features")).alias("norm")
-    )
+    u = users.select(F.col("user_id").alias("user_id"), F.col("features").alias("u"))
     i = items.select(
         F.col("article_id").alias("article_id"), F.col("features").alias("v"), _norm(F.col("features")).alias("norm")
     )
-    head = i.orderBy(F.desc("norm"), "article_id").limit(max(block, n)).select("article_id", "v").collect()
-    head.sort()
+    most = max(block, n)
+    head = i.orderBy(F.desc("norm"), "article_id").limit(most + 1).select("article_id", "v", "norm").collect()
+    below = len(head) > most
+    first = sorted((h.article_id, h.v) for h in head[:most])
+    if not below:
+        return u, first, None, None
+    last = head[most - 1]
+    rest = (F.col("norm") < last.norm) | ((F.col("norm") == last.norm) & (F.col("article_id") > last.article_id))
+    return u, first, *cone_tree(i.where(rest), block)
+
+
+def factor_topk(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """The ``n`` items with the largest non-negative dot product for every user, exactly.
+
+    The ``block`` items with the largest norms (at least n) are scored for every user where the
+    users are read, and give each a first list; its last score is a bar. The items below are held
+    in a tree of cones (`cone_tree`), of which every node has an upper bound for a user's scores
+    from the angle between them; users descend it in batches, and only nodes that can clear a
+    user's bar are multiplied with that user. Both sides of a node are spread over groups of
+    about a block of users. A node emits n rows per user, never all pairs.
+
+    The users' pass is stored, as lists and open nodes are read from it; that and building the
+    tree are the jobs that run while planning.
+    """
+    u, head, tree, rest = _prepared(users, items, n, block)
     if not head:
         return users.sparkSession.createDataFrame([], SCORED + ", rank INT")
-    first = stored(_first_lists(u, head, n), "first-lists")
-    known = users.sparkSession.createDataFrame([(h[0],) for h in head], "article_id BIGINT")
-    every = first.unionByName(_below_head(u, i, first, known, _best_of_block(n), n, block))
+    passed = stored(_first_pass(u, head, tree, n), "first-pass")
+    every = passed.where("node IS NULL").select("user_id", "article_id", "score")
+    if tree is not None:
+        every = every.unionByName(_of_nodes(passed.where("node IS NOT NULL"), rest, n, block))
     ranked = top_k(
         every.select("user_id", "article_id", stable(F.col("score")).alias("score")),
         ["user_id"],
@@ -165,35 +311,25 @@ def factor_topk(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_R
     return ranked.where("score >= 0")
 
 
-def _below_head(u, i, first, head, score, n: int, block: int) -> DataFrame:
-    bars = first.groupBy("user_id").agg(F.min("score").alias("bar"), F.count("*").alias("_n"))
-    # A score is rounded to 9 digits, so the bar is lowered by more than that.
-    bar = F.greatest(F.col("bar"), F.lit(0.0)) - F.lit(1e-8)
-    reach = F.when((bar > 0) & (F.col("_n") >= n), bar / F.col("norm")).otherwise(F.lit(0.0))
-
-    def band(x):
-        log = F.floor(F.log2(x) * BANDS_PER_DOUBLING)
-        return F.when(x > 0, log).otherwise(F.lit(-100_000)).cast("int")
-
-    waiting = _blocks_of(
-        u.join(bars, "user_id").withColumn("band", band(reach)), "user_id", block
-    )
-    rest = _blocks_of(
-        i.join(F.broadcast(head), "article_id", "left_anti").withColumn("band", band(F.col("norm"))),
-        "article_id",
-        block,
+def _of_nodes(packets: DataFrame, items: DataFrame, n: int, block: int) -> DataFrame:
+    groups = packets.groupBy("node").agg(F.ceil(F.sum("users") / block).cast("int").alias("_groups"))
+    left = (
+        packets.join(groups, "node")
+        .withColumn("group", F.pmod(F.xxhash64("ids"), F.col("_groups")).cast("int"))
+        .select(F.col("node").alias("n"), F.col("group").alias("g"), "ids", "vectors")
     )
-    left = waiting.select(F.col("band").alias("ub"), F.col("part").alias("up"), "user_id", "u")
-    right = rest.select(F.col("band").alias("ib"), F.col("part").alias("ip"), "article_id", "v")
-    user_parts = left.select(F.col("ub").alias("ub"), F.col("up").alias("up")).distinct()
-    item_parts = right.select(F.col("ib").alias("ib"), F.col("ip").alias("ip")).distinct()
-    # Only the bands, whose number is bounded, are compared with each other.
-    known = F.array(*[F.lit(b) for b in sorted(r[0] for r in i.select(band(F.col("norm"))).distinct().collect())])
-    user_bands = user_parts.select(F.col("ub").alias("_u")).distinct()
-    open_bands = user_bands.select(
-        F.col("_u").alias("ub"), F.explode(F.filter(known, lambda b: b >= F.col("_u"))).alias("ib")
+    right = items.join(groups, "node").select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("group"), "article_id", "v"
     )
-    left = left.join(open_bands, "ub").join(item_parts, "ib")
-    right = right.join(open_bands, "ib").join(user_parts, "ub")
-    cell = ["ub", "up", "ib", "ip"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(score, SCORED)
+    return left.groupBy("n", "g").cogroup(right.groupBy("node", "group")).applyInPandas(_best_of_node(n), SCORED)
+
+
+def open_share(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_ROWS) -> float:
+    """The share of all pairs of users and items below the head that `factor_topk` multiplies."""
+    u, head, tree, rest = _prepared(users, items, n, block)
+    if tree is None:
+        return 0.0
+    visits = _first_pass(u, head, tree, n).where("node IS NOT NULL").groupBy("node").agg(F.sum("users").alias("users"))
+    sizes = rest.groupBy("node").agg(F.count("*").alias("items"))
+    multiplied = visits.join(sizes, "node").agg(F.sum(F.col("users") * F.col("items"))).first()[0] or 0
+    return multiplied / (u.count() * rest.count())

@@ -13,6 +13,7 @@ from scribelens.functions.ranking import stable, top_k
 TOP_TOPICS = 5
 PRF_THRESHOLD = 20
 CANDIDATE_FACTOR = 3
+STEP = 4  # a step of a topic list is so many times as long as the one before
 
 
 def top_topics(distributions: DataFrame, top: int = TOP_TOPICS) -> DataFrame:
@@ -116,36 +117,128 @@ def topic_profile(history: DataFrame, assignments: DataFrame) -> DataFrame:
     )
 
 
+def ranked_lists(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (topic, doc_id, doc_weight) laid out for reading by falling weight, and their steps.
+
+    A document that is in ``lists`` of the topic lists scores at most ``lists`` times its largest
+    contribution. So the entries of a topic are divided by that number, sorted by falling weight
+    and cut into steps of growing length; a row of the second table has the largest and smallest
+    weight of a step, and how many documents have their largest weight there. Both tables are
+    bounded by the number of topics and of candidates per topic.
+    """
+    own = Window.partitionBy("doc_id")
+    falling = [F.desc("doc_weight"), F.col("doc_id")]
+    marked = candidates.select(
+        "topic",
+        "doc_id",
+        "doc_weight",
+        (F.row_number().over(own.orderBy(F.desc("doc_weight"), "topic")) == 1).alias("first"),
+        F.count("*").over(own).alias("lists"),
+        F.collect_list(F.struct("topic", "doc_weight")).over(own).alias("entries"),
+    )
+    place = F.row_number().over(Window.partitionBy("topic", "lists").orderBy(*falling))
+    lists = stored(marked.withColumn("step", F.floor(F.log2(place) / F.log2(F.lit(STEP))).cast("int")), "lists")
+    steps = lists.groupBy("topic", "lists", "step").agg(
+        F.max("doc_weight").alias("high"), F.min("doc_weight").alias("low"), F.count_if("first").alias("firsts")
+    )
+    return lists, stored(steps, "steps")
+
+
+def open_steps(profile: DataFrame, steps: DataFrame, seen: DataFrame | None, n: int) -> DataFrame:
+    """The steps of the topic lists a user has to read to find the ``n`` best documents exactly.
+
+    Read by falling contribution, steps are known to hold ever more documents that score at least
+    the contribution of the step's last entry. Where they are ``n`` and as many as the user has
+    seen (``seen``: user_id, _seen), that contribution is a bar that all the best reach. A step is
+    left unread if even its first entry, counted once for every list its document is in, is below
+    the bar. Columns: user_id, topic, weight, total, lists, step, bar.
+    """
+    every = Window.partitionBy("user_id")
+    reached = profile.withColumn("total", F.sum("weight").over(every)).join(steps, "topic")
+    wanted = F.lit(n)
+    if seen is not None:
+        reached = reached.join(seen, "user_id", "left")
+        wanted = F.coalesce("_seen", F.lit(0)) + n
+    falling = every.orderBy(F.desc("_low"), "topic", "lists", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = reached.withColumn("_low", F.col("weight") * F.col("low")).withColumn("_held", F.sum("firsts").over(falling))
+    bar = F.max(F.when(F.col("_held") >= wanted, F.col("_low"))).over(every)
+    # Scores are rounded to 9 digits, so the bar is lowered by more than that.
+    barred = held.withColumn("bar", F.coalesce(bar, F.lit(0.0)) - F.lit(1e-8) * F.col("total"))
+    return barred.where(F.col("weight") * F.col("high") * F.col("lists") >= F.col("bar")).select(
+        "user_id", "topic", "weight", "total", "lists", "step", "bar"
+    )
+
+
+def _read(opened: DataFrame, lists: DataFrame) -> DataFrame:
+    """The entries of the opened steps that can reach the bar."""
+    entries = opened.join(lists, ["topic", "lists", "step"])
+    return entries.where(F.col("weight") * F.col("doc_weight") * F.col("lists") >= F.col("bar"))
+
+
+def _seen_candidates(known: DataFrame, lists: DataFrame) -> DataFrame:
+    docs = lists.select(F.col("doc_id").alias("article_id")).distinct()
+    return fan_out(known.select("user_id", "article_id").join(docs, "article_id", "left_semi"), "user_id")
+
+
 def _scores(
-    history: DataFrame, assignments: DataFrame, candidates: DataFrame, known: DataFrame | None
+    history: DataFrame, assignments: DataFrame, candidates: tuple[DataFrame, DataFrame], known: DataFrame | None, n: int
 ) -> DataFrame:
-    """Score of every candidate per user; rows of ``known`` are taken out."""
+    """Exact scores of the candidates that can be among a user's ``n`` best; rows of ``known`` are
+    taken out.
+
+    A document in one topic list is scored by its entry. One in several is read once and meets
+    the user's weights of all its topics.
+    """
+    lists, steps = candidates
     # From here on a user has at most one row per topic, so grouping by user is safe, and one
-    # exchange serves the sums, the exclusion and the final ranking.
+    # exchange serves the steps, the exclusion and the final ranking.
     profile = fan_out(topic_profile(history, assignments), "user_id")
-    total = F.sum("weight").over(Window.partitionBy("user_id"))
-    scored = (
-        profile.withColumn("_total", total)
-        .join(candidates, "topic")
-        .select(
-            "user_id",
-            F.col("doc_id").alias("article_id"),
-            (F.col("weight") * F.col("doc_weight") / F.col("_total")).alias("part"),
-            F.lit(False).alias("_seen"),
-        )
-    )
+    gone = counted = None
     if known is not None:
-        docs = candidates.select(F.col("doc_id").alias("article_id")).distinct()
-        seen = known.join(docs, "article_id", "left_semi").select(
-            "user_id", "article_id", F.lit(0.0).alias("part"), F.lit(True).alias("_seen")
-        )
-        scored = scored.unionByName(fan_out(seen, "user_id"))
+        gone = _seen_candidates(known, lists)
+        counted = gone.groupBy("user_id").agg(F.count("*").alias("_seen"))
+    read = _read(open_steps(profile, steps, counted, n), lists)
+    article = F.col("doc_id").alias("article_id")
+    part = (F.col("weight") * F.col("doc_weight") / F.col("total")).alias("part")
+    alone = read.where("lists = 1").select("user_id", article, part)
+    shared = (
+        read.where("lists > 1")
+        .groupBy("user_id", "doc_id")
+        .agg(F.first("entries").alias("entries"), F.first("total").alias("total"))
+        .select("user_id", "doc_id", "total", F.explode("entries").alias("e"))
+        .select("user_id", "doc_id", "total", "e.topic", "e.doc_weight")
+        .join(profile, ["user_id", "topic"])
+        .select("user_id", article, part)
+    )
+    scored = alone.unionByName(shared).withColumn("_seen", F.lit(False))
+    if gone is not None:
+        taken = gone.select("user_id", "article_id", F.lit(0.0).alias("part"), F.lit(True).alias("_seen"))
+        scored = scored.unionByName(taken)
     grouped = scored.groupBy("user_id", "article_id").agg(
         stable(F.sum("part")).alias("score"), F.max("_seen").alias("_seen")
     )
     return grouped.where("NOT _seen").drop("_seen")
 
 
+def scoring_work(history: DataFrame, assignments: DataFrame, n: int = 10) -> DataFrame:
+    """What `topic_recommend` forms per user in its last pass without feedback: ``steps`` looked at,
+    ``entries`` formed, and ``candidates``, the entries of all lists of the user's topics."""
+    known = history.select("user_id", "article_id").distinct()
+    lists, steps = ranked_lists(_candidates(assignments, n))
+    profile = fan_out(topic_profile(known, assignments), "user_id")
+    counted = _seen_candidates(known, lists).groupBy("user_id").agg(F.count("*").alias("_seen"))
+    read = _read(open_steps(profile, steps, counted, n), lists).groupBy("user_id").agg(F.count("*").alias("entries"))
+    sizes = lists.groupBy("topic").agg(F.count("*").alias("_n"), F.countDistinct("lists", "step").alias("_steps"))
+    whole = profile.join(sizes, "topic").groupBy("user_id").agg(F.sum("_steps").alias("steps"), F.sum("_n").alias("candidates"))
+    return whole.join(read, "user_id")
+
+
+def _candidates(assignments: DataFrame, n: int) -> DataFrame:
+    """The best ``3n`` documents of every topic."""
+    best = top_docs_per_topic(assignments, CANDIDATE_FACTOR * n)
+    return best.select("topic", "doc_id", F.col("weight").alias("doc_weight"))
+
+
 def topic_recommend(
     history: DataFrame,
     assignments: DataFrame,
@@ -156,22 +249,19 @@ def topic_recommend(
     """Documents of the topics a user edits, for all users of ``history`` at once.
 
     Users with fewer than ``prf`` articles are scored twice: their best first results join
-    their history. Candidates are ``3n`` documents per topic of the model.
+    their history. Candidates are ``3n`` documents per topic of the model; a user reads them by
+    falling weight only as far as they can be among the best (see `open_steps`).
 
     ``exclude_history=False`` keeps articles the user has edited already, as the original
     system did by accident.
     """
-    depth = CANDIDATE_FACTOR * n
-    # Both passes read the candidates; once stored, Spark knows their size and picks the join.
-    candidates = stored(
-        top_docs_per_topic(assignments, depth).select("topic", "doc_id", F.col("weight").alias("doc_weight")), "candidates"
-    )
+    candidates = ranked_lists(_candidates(assignments, n))
     known = history.select("user_id", "article_id").distinct()
     enriched = known
     if prf > 0:
         sizes = known.groupBy("user_id").agg(F.count("*").alias("_size")).where(F.col("_size") < prf)
         short = known.join(sizes, "user_id").drop("_size")
-        first = _scores(short, assignments, candidates, None)
+        first = _scores(short, assignments, candidates, None, prf)
         feedback = (
             top_k(first, ["user_id"], [F.desc("score"), F.col("article_id")], prf, "_rank")
             .join(sizes, "user_id")
@@ -179,5 +269,5 @@ def topic_recommend(
             .select("user_id", "article_id")
         )
         enriched = known.unionByName(feedback).distinct()
-    scored = _scores(enriched, assignments, candidates, known if exclude_history else None)
+    scored = _scores(enriched, assignments, candidates, known if exclude_history else None, n)
     return top_k(scored, ["user_id"], [F.desc("score"), F.col("article_id")], n)

@@ -199,3 +199,88 @@ def test_topic_models_reload(spark, tmp_path, optimizer):
     for r in kept.collect():
         by_topic.setdefault(r.topic, []).append(r.weight)
     assert all(best[t, k + 1] == sorted(w, reverse=True)[k] for t, w in by_topic.items() for k in range(3))
+
+
+# How much work the recommenders do
+
+
+def test_topic_lists_are_read_only_as_far_as_needed(spark, pairs):
+    """Users with a few strong topics among many: most entries of the others are never formed."""
+    rng = random.Random(11)
+    assignments = []
+    for d in range(4000):
+        topics = rng.sample(range(40), 3)
+        assignments += [(d, t, w) for t, w in zip(topics, (0.5 + rng.random() / 2, 0.1 * rng.random(), 0.1 * rng.random()))]
+    model = spark.createDataFrame(assignments, "doc_id BIGINT, topic INT, weight DOUBLE")
+    history = pairs(*[(u, rng.randrange(4000)) for u in range(30) for _ in range(25)])
+    work = T.scoring_work(history, model, 30).collect()
+    assert len(work) == 30
+    formed, whole = sum(r.steps + r.entries for r in work), sum(r.candidates for r in work)
+    assert formed < whole / 3
+
+
+def clustered(rng, n, clusters=40, width=0.05):
+    """Vectors of length 1 around a few directions."""
+    centres = rng.normal(size=(clusters, 16))
+    found = centres[rng.integers(0, clusters, n)] + width * rng.normal(size=(n, 16))
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+
+def test_cones_prune_items_of_equal_norm(spark):
+    rng = np.random.default_rng(3)
+    items = clustered(rng, 3000)
+    users = items[rng.integers(0, 3000, 60)]
+    u, i = factor_frames(spark, users, items)
+    got = ranked(M.factor_topk(u, i, 5, 64))
+    scores = np.round(users @ items.T, 9)
+    for k in range(60):
+        best = sorted(range(3000), key=lambda j: (-scores[k, j], j))[:5]
+        assert got[k] == [(j, pytest.approx(scores[k, j], abs=1e-8)) for j in best]
+    assert M.open_share(u, i, 5, 64) < 0.25
+
+
+def test_cones_hold_copies_and_zero_vectors(spark):
+    """A third of the items are one vector, so one direction has several nodes."""
+    rng = np.random.default_rng(4)
+    items = rng.normal(size=(90, 4))
+    items[::3] = items[0]
+    items[1] = 0.0
+    users = np.concatenate([rng.normal(size=(9, 4)), np.zeros((1, 4))])
+    got = ranked(M.factor_topk(*factor_frames(spark, users, items), 12, 4))
+    scores = np.round(users @ items.T, 9)
+    for k in range(10):
+        best = sorted(range(90), key=lambda j: (-scores[k, j], j))[:12]
+        assert got[k] == [(j, pytest.approx(scores[k, j], abs=1e-8)) for j in best if scores[k, j] >= 0]
+
+
+def hot_edits(spark, users=300):
+    """Groups of users with articles of their own, and one article that a third of all edits are of."""
+    rng = random.Random(12)
+    rows = {(u, 1000 * (u // 10) + 2 + rng.randrange(6)): 1.0 for u in range(users) for _ in range(6)}
+    rows.update({(u, 0): 1.0 for u in range(users)})
+    rows.update({(u, 1): 0.2 for u in range(0, users, 2)})
+    return rows, spark.createDataFrame([(u, a, r) for (u, a), r in rows.items()], "user_id BIGINT, article_id BIGINT, rating DOUBLE")
+
+
+@pytest.mark.parametrize("hot", [20, 100, 200, 10_000])
+def test_neighbours_through_hot_articles(spark, hot):
+    rated, edits = hot_edits(spark)
+    columns = {a: j for j, a in enumerate(sorted({a for _, a in rated}))}
+    m = np.zeros((300, len(columns)))
+    for (u, a), r in rated.items():
+        m[u, columns[a]] = r
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    active = spark.createDataFrame([(0,), (33,), (155,)], "user_id BIGINT")
+    near = defaultdict(list)
+    for r in N.neighbours(edits, active, k=5, hot=hot).orderBy("user_id", "rank").collect():
+        near[r.user_id].append((r.neighbour_id, pytest.approx(r.similarity, abs=1e-8)))
+    for u in (0, 33, 155):
+        sims = np.round(unit @ unit[u], 9)
+        assert near[u] == [(v, pytest.approx(sims[v], abs=1e-8)) for v in sorted((v for v in range(300) if v != u), key=lambda v: (-sims[v], v))[:5]]
+
+
+def test_a_hot_article_forms_few_pairs(spark):
+    _, edits = hot_edits(spark, 3000)
+    active = spark.range(0, 3000, 100).selectExpr("id AS user_id")
+    every = N.pairs_formed(edits, active, 5, hot=10**9)
+    assert every > 30 * 2900 and N.pairs_formed(edits, active, 5, hot=100) < every / 10
