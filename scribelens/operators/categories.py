@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scribelens.functions.layout import stored
 from scribelens.functions.ranking import rank_in_group, stable, top_k
 
 
@@ -31,6 +32,26 @@ def category_weights(memberships: DataFrame) -> DataFrame:
     )
 
 
+def category_weights_of(links: DataFrame, closure: DataFrame) -> DataFrame:
+    """`category_weights` of (article_id, category_id) links and the closure of the tree.
+
+    No pair of article and ancestor is formed: the articles of a category are bitmaps, a row for
+    every range of ids it has articles in, and those of its descendants are merged into them.
+    """
+    bits = links.select(
+        "category_id",
+        F.bitmap_bucket_number("article_id").alias("range"),
+        F.bitmap_bit_position("article_id").alias("bit"),
+    )
+    own = stored(bits.groupBy("category_id", "range").agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmaps")
+    inherited = own.join(closure, own.category_id == closure.src).select(F.col("dst").alias("category_id"), "range", "bits")
+    merged = own.unionByName(inherited).groupBy("category_id", "range").agg(F.bitmap_or_agg("bits").alias("bits"))
+    every = own.groupBy("range").agg(F.bitmap_or_agg("bits").alias("bits"))
+    total = every.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))).first()[0]
+    counted = merged.groupBy("category_id").agg(F.sum(F.bitmap_count("bits")).alias("n_articles"))
+    return counted.select("category_id", "n_articles", (1 - F.col("n_articles") / F.lit(total)).alias("weight"))
+
+
 def weighted_memberships(memberships: DataFrame, weights: DataFrame) -> DataFrame:
     return memberships.join(weights.select("category_id", "weight"), "category_id").select(
         "article_id", "category_id", "weight"

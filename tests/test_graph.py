@@ -130,3 +130,51 @@ def test_model_round_trip(spark, tmp_path):
     model.save(str(tmp_path / "m"))
     again = CategoryModel.load(spark, str(tmp_path / "m"))
     assert found(again.similar) == found(model.similar) and found(again.members) == found(model.members)
+
+
+def brute_classes(rows):
+    pairs = brute_closure(rows)
+    nodes = {n for r in rows for n in r}
+    return {n: min([n, *(m for m in nodes if (n, m) in pairs and (m, n) in pairs)]) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components_and_condensed_closure(spark, seed):
+    rng = random.Random(seed)
+    n = (6, 20, 40, 40)[seed]
+    rows = [(rng.randrange(n), rng.randrange(n)) for _ in range(n + 6 * seed)]
+    classes = brute_classes(rows)
+    closure = G.condensed_closure(edges(spark, *rows))
+    assert found(closure.members) == set(classes.items()) and closure.members.count() == len(classes)
+    assert found(closure.pairs()) == brute_closure(rows) and closure.pairs().count() == len(brute_closure(rows))
+    assert found(closure.reach) == {(classes[a], classes[b]) for a, b in brute_closure(rows)}
+
+
+def test_many_pairs_are_closed_by_classes(spark):
+    rows = [(i, (i + 1) % 30) for i in range(30)] + [(7, 40), (40, 41)]
+    assert found(G.transitive_closure(edges(spark, *rows), growth=3)) == brute_closure(rows)
+
+
+def test_no_edges_have_no_closure(spark):
+    none = edges(spark, (1, 2)).limit(0)
+    assert G.transitive_closure(none).isEmpty() and G.condensed_closure(none).members.isEmpty()
+
+
+def test_ring_of_many_nodes_is_one_class(spark):
+    n = 100_000
+    ring = spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst")
+    closure = G.condensed_closure(ring)
+    assert closure.members.where("component = 0").count() == n
+    assert found(closure.reach) == {(0, 0)}
+
+
+def test_weights_from_bitmaps(spark):
+    rng = random.Random(6)
+    tree = [(i, i // 2) for i in range(1, 30)]
+    links = sorted({(rng.randrange(30), rng.choice([rng.randrange(50), 32768 * rng.randrange(1, 40)])) for _ in range(200)})
+    e, l = edges(spark, *tree), spark.createDataFrame(links, "category_id BIGINT, article_id BIGINT")
+    closure = G.transitive_closure(e)
+    plain = C.category_weights(C.article_categories(l, closure))
+    of = C.category_weights_of(l, closure)
+    assert found(of.select("category_id", "n_articles")) == found(plain.select("category_id", "n_articles"))
+    assert {r[0]: r[2] for r in of.collect()} == pytest.approx({r[0]: r[2] for r in plain.collect()})
