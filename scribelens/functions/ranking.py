@@ -40,14 +40,15 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def rank_in_group(df: DataFrame, key: str, number: str, rank: str = "rank") -> DataFrame:
-    """Rank of each distinct integer ``number`` inside its group, for groups of any size.
+def rank_in_group(df: DataFrame, key: str, number: str | Sequence[str], rank: str = "rank") -> DataFrame:
+    """Rank of each row inside its group by distinct ``number`` (or columns), for groups of any size.
 
     Rows are range-sorted by group and number; a rank is the place in the sorted partition plus
     the group's rows in the partitions before it. What is summed over a group are its
     partitions, however sparse the numbers are.
     """
-    ordered = df.repartitionByRange(key, number).sortWithinPartitions(key, number)
+    numbers = [number] if isinstance(number, str) else list(number)
+    ordered = df.repartitionByRange(key, *numbers).sortWithinPartitions(key, *numbers)
     at = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranks")
     # The upper bits of such an id are the partition, the lower 33 the place in it.
     at = at.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from scribelens.operators import evaluate as V
@@ -87,3 +90,68 @@ def test_report(pairs, fixed, tmp_path):
     running = evaluation.running().orderBy("processed").collect()
     assert [r.processed for r in running] == [1, 2, 3]
     assert running[-1].avg_recall == pytest.approx(summary.avg_recall)
+
+
+def upper(values):
+    return sorted(values)[len(values) // 2] if values else None
+
+
+@pytest.mark.parametrize("bins", [32, 1024])
+def test_medians_by_histograms(spark, bins):
+    rng = random.Random(bins)
+    columns = {
+        "same": [0.25] * 301,
+        "few": [rng.choice([0.0, 0.5, 1.0]) for _ in range(301)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-3, 3) * rng.random() for _ in range(301)],
+        "huge": [rng.choice([-1.7e308, 1.7e308, 0.0, 5e-324]) for _ in range(301)],
+        "close": [1.0 + i * 2**-52 for i in rng.sample(range(1000), 301)],
+        "holes": [None if i % 3 else float(i) for i in range(301)],
+        "none": [None] * 301,
+    }
+    names = list(columns)
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} DOUBLE" for c in names)).repartition(3)
+    want = {c: upper([v for v in vs if v is not None]) for c, vs in columns.items()}
+    assert V.upper_medians(df, names, bins) == want
+    assert V.upper_medians(df.limit(0), names, bins) == dict.fromkeys(names)
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 4096])
+def test_running_medians_of_blocks(spark, block):
+    rng = random.Random(block)
+    series = {
+        "random": [rng.random() for _ in range(120)],
+        "rising": [float(i) for i in range(120)],
+        "falling": [float(-i) for i in range(120)],
+        "steps": [float(rng.choice([0, 1]) + 5 * (i > 60)) for i in range(120)],
+        "short": [0.5, 0.1, 0.9],
+    }
+    rows = [(m, i + 1, v) for m, vs in series.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "name STRING, processed BIGINT, value DOUBLE").repartition(4)
+    got = {(r["name"], r.processed): r.median for r in V.running_medians(df, block).collect()}
+    assert got == {(m, i + 1): upper(vs[: i + 1]) for m, vs in series.items() for i in range(len(vs))}
+
+
+def test_running_medians_of_many_users(spark):
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'m' AS name", "id + 1 AS processed", "pmod(xxhash64(id), 1000003) / 1000.0D AS value")
+    got = V.running_medians(df, 4096).toPandas().set_index("processed")["median"]
+    values = df.orderBy("processed").toPandas()["value"].to_numpy()
+    assert len(got) == n
+    for i in [1, 2, 4095, 4096, 4097, 77_777, 500_000, 999_999, n]:
+        assert got[i] == np.sort(values[:i])[i // 2]
+
+
+def test_running_report_of_several_blocks(spark):
+    rng = random.Random(8)
+    names = [*V.AVERAGED, *[f"recall_at_{k}" for k in V.CUTOFFS]]
+    rows = [(u, *[rng.random() for _ in names]) for u in range(50)]
+    metrics = spark.createDataFrame(rows, "user_id BIGINT, " + ", ".join(f"{m} DOUBLE" for m in names))
+    # Every second position has no metrics.
+    sample = spark.createDataFrame([(u, 2 * u + 1) for u in range(50)] + [(90 + u, 2 * u + 2) for u in range(50)], "user_id BIGINT, position INT")
+    whole = {r.processed: r for r in V.running_report(metrics, sample, block=4096).collect()}
+    cut = {r.processed: r for r in V.running_report(metrics, sample, block=4).collect()}
+    assert whole.keys() == cut.keys() == set(range(1, 51))
+    for i in range(1, 51):
+        assert cut[i].user_id == whole[i].user_id == i - 1
+        assert cut[i].median_recall == whole[i].median_recall == upper([r[1 + names.index("recall")] for r in rows[:i]])
+        assert cut[i].avg_precision == pytest.approx(sum(r[1] for r in rows[:i]) / i)
