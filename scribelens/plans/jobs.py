@@ -56,6 +56,11 @@ def build_corpus(
     return model
 
 
+def write_truth_vectors(store: DataFrame, truth: DataFrame, path: str) -> None:
+    """Lines ``id;vector`` of the stored vectors (`corpus.vector_store`) of the documents in the truth."""
+    tables.write_vector_lines(corpus.documents_in_truth(store, truth), path)
+
+
 def build_category_links(
     spark: SparkSession, category_path: str, link_path: str, out: str, encoding: str = "UTF-8"
 ) -> None:

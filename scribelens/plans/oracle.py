@@ -220,9 +220,9 @@ _CTES: dict[str, str] = {
         row_number() OVER (PARTITION BY doc_id ORDER BY abs(CAST(x AS DOUBLE)) DESC, topic) AS r FROM entries) WHERE r <= 5""",
     "docs_of_topic": """SELECT topic, doc_id, weight,
         row_number() OVER (PARTITION BY topic ORDER BY weight DESC, doc_id) AS r FROM assignments""",
-    "tree": "SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier WHERE s_suppkey > 0",
-    "graph": "SELECT src, dst FROM tree UNION SELECT s_suppkey, CAST(s_nationkey AS BIGINT) FROM supplier",
-    "links": "SELECT DISTINCT l_suppkey AS c, l_partkey AS a FROM lineitem",
+    "tree": "SELECT s_suppkey + 1 AS src, (s_suppkey + 1) // 2 AS dst FROM supplier",
+    "graph": "SELECT src, dst FROM tree UNION SELECT s_suppkey + 1, CAST(s_nationkey AS BIGINT) + 1 FROM supplier",
+    "links": "SELECT DISTINCT l_suppkey + 1 AS c, l_partkey AS a FROM lineitem",
     "memberships": """SELECT a, c FROM links UNION SELECT a, dst FROM links JOIN tree_closure ON c = src""",
     "weights": """SELECT c, count(*) AS n, 1 - count(*) / (SELECT count(DISTINCT a) FROM memberships) AS w
         FROM memberships GROUP BY c""",
@@ -413,7 +413,7 @@ def all_oracles() -> dict[str, str]:
         "eval_summary": _with(_summary_select("metrics"), *metrics),
         "eval_running": _with(_running_select("metrics"), *metrics),
         "eval_end_to_end": _with(_summary_select("metrics"), *blended),
-        "category_edges": "SELECT s_suppkey AS child, s_suppkey // 2 AS parent FROM supplier WHERE s_suppkey > 0",
+        "category_edges": "SELECT s_suppkey + 1 AS child, (s_suppkey + 1) // 2 AS parent FROM supplier",
         "transitive_closure": _with("SELECT src, dst FROM graph_closure"),
         "closure_reflexive": _with(
             "SELECT src, dst FROM tree_closure UNION SELECT src, src FROM tree UNION SELECT dst, dst FROM tree"
@@ -450,6 +450,10 @@ def all_oracles() -> dict[str, str]:
             coalesce(string_agg(k.term, ' ' ORDER BY k.pos), '') AS tokens
             FROM documents c LEFT JOIN kept k ON k.doc_id = c.doc_id GROUP BY c.doc_id"""),
         "vocabulary": _with("SELECT idx, term, n FROM vocab"),
+        "vocabulary_reread": _with("""SELECT CAST(generate_subscripts(terms, 1) - 1 AS INT) AS idx, unnest(terms) AS term FROM (
+            SELECT regexp_split_to_array(string_agg(term, ' ' ORDER BY idx), '[^a-zA-Z0-9_]+') AS terms FROM vocab)"""),
+        "vectorize_documents": _with("""SELECT d.doc_id, CAST(count(c.idx) AS INT) AS n_terms,
+            CAST(coalesce(sum(c.n), 0) AS DOUBLE) AS n_tokens FROM documents d LEFT JOIN counts c ON c.doc_id = d.doc_id GROUP BY d.doc_id"""),
         "term_counts": _with('SELECT doc_id, idx, n AS "count" FROM counts'),
         "doc_vectors_parsed": _with('SELECT doc_id, idx, CAST(n AS DOUBLE) AS "count" FROM counts'),
         "docs_in_truth": _with('SELECT doc_id, idx, n AS "count" FROM counts WHERE doc_id IN (SELECT a FROM truth)'),

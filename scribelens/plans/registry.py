@@ -23,7 +23,7 @@ from scribelens.operators import similarity as S
 from scribelens.operators import topics as T
 from scribelens.operators.recommender import BlendRecommender, FactorTables, TopicRecommender
 from scribelens.plans import views as D
-from scribelens.plans.jobs import build_category_model, evaluate
+from scribelens.plans.jobs import build_category_model, evaluate, write_truth_vectors
 from scribelens.session import shared_path
 from scribelens.sinks import tables
 from scribelens.sources import delimited, sql_dump, vectors, xml_dump
@@ -35,7 +35,6 @@ SEED = 1
 LIST_LENGTH = 5000
 TOP = 10
 SIMILARITY = 0.7
-DESCRIBED_TOPICS = 10
 
 _QUERIES: dict[str, Query] = {}
 
@@ -72,7 +71,9 @@ def revisions_parsed(spark, folder):
 
 @query
 def revisions_clean(spark, folder):
-    return D.clean(spark, folder)
+    path = shared_path(spark, "groups")
+    tables.write_lines(D.group_lines(spark, folder), path)
+    return E.clean_revisions(D.revisions(spark, folder), delimited.read_user_groups(spark, path))
 
 
 @query
@@ -256,8 +257,7 @@ def topic_recommend_prf(spark, folder):
 @query
 def factor_topk(spark, folder):
     users, items = D.factor_tables(spark, folder)
-    # Blocks smaller than the table, so that the pruned path below the head is taken too.
-    return M.factor_topk(users, items, TOP, block=256)
+    return M.factor_topk(users, items, TOP)
 
 
 @query
@@ -375,7 +375,8 @@ def article_categories(spark, folder):
 
 @query
 def category_weights(spark, folder):
-    return _rounded(C.category_weights(_memberships(spark, folder)), "weight")
+    weights = C.category_weights_of(D.links(spark, folder), G.transitive_closure(D.tree(spark, folder)))
+    return _rounded(weights, "weight")
 
 
 @query
@@ -520,11 +521,17 @@ def term_counts(spark, folder):
 
 
 @query
-def doc_vectors_parsed(spark, folder):
-    """Count vectors written as text lines and parsed back."""
-    # A vector has at most as many entries as the vocabulary has terms.
+def vocabulary_reread(spark, folder):
+    """The vocabulary written as one line of one file and read back by the reader of such files."""
+    path = shared_path(spark, "vocabulary-line")
+    tables.write_single_file(tables.vocabulary_line(K.vocabulary(_kept(spark, folder))), path)
+    return vectors.read_vocabulary(spark, path)
+
+
+def _vectors(spark, folder):
+    """Sparse vectors; one has at most as many entries as the vocabulary has terms."""
     entries = F.array_sort(F.collect_list(F.struct("idx", F.col("count").cast("double").alias("count"))))
-    rows = (
+    return (
         _counts(spark, folder)
         .groupBy("doc_id")
         .agg(entries.alias("e"))
@@ -535,14 +542,23 @@ def doc_vectors_parsed(spark, folder):
             F.col("e.count").alias("counts"),
         )
     )
-    parsed = vectors.vector_entries(vectors.parse_vectors(tables.vector_lines(rows)))
+
+
+@query
+def doc_vectors_parsed(spark, folder):
+    """Count vectors written as text lines and parsed back."""
+    parsed = vectors.vector_entries(vectors.parse_vectors(tables.vector_lines(_vectors(spark, folder))))
     return parsed.select("doc_id", F.col("term_idx").cast("bigint").alias("idx"), "count")
 
 
 @query
 def docs_in_truth(spark, folder):
+    """Stored vectors joined with the truth, written as lines and read back."""
     _, truth = _truth(spark, folder)
-    return K.documents_in_truth(term_counts(spark, folder), truth)
+    path = shared_path(spark, "truth-vectors")
+    write_truth_vectors(K.vector_store(_vectors(spark, folder)), truth, path)
+    entries = vectors.vector_entries(vectors.read_vectors(spark, path))
+    return entries.select("doc_id", F.col("term_idx").cast("bigint").alias("idx"), F.col("count").cast("bigint").alias("count"))
 
 
 # Models ------------------------------------------------------------------------------------
@@ -604,7 +620,7 @@ def lda_reload(spark, folder):
 @query
 def describe_topics(spark, folder):
     features, vocab = _features(spark, folder)
-    model = T.train_topics(features, DESCRIBED_TOPICS, optimizer="em")
+    model = T.train_topics(features, optimizer="em")
     return T.describe_topics(model, vocab, 3)
 
 

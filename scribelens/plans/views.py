@@ -44,6 +44,13 @@ def user_groups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def group_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines ``user,group``; every third user is in a second group."""
+    groups = user_groups(spark, folder)
+    more = groups.where("user_id % 3 = 0").withColumn("user_group", F.lit("editor"))
+    return groups.unionByName(more).select(F.concat_ws(",", F.col("user_id").cast("string"), "user_group").alias("value"))
+
+
 def clean(spark: SparkSession, folder: str) -> DataFrame:
     return E.clean_revisions(revisions(spark, folder), user_groups(spark, folder))
 
@@ -220,35 +227,33 @@ def factor_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 # Categories --------------------------------------------------------------------------------
 
 
+# Suppliers are the nodes 1, 2, …: node 0, the root above them, is the parent of the first.
+
+
+def _node(key: str) -> Column:
+    return F.col(key).cast("bigint") + 1
+
+
 def tree_lines(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    return (
-        table(spark, folder, "supplier")
-        .where("s_suppkey > 0")
-        .select(F.concat_ws(",", key.cast("string"), F.expr("s_suppkey div 2").cast("string")).alias("value"))
-    )
+    edge = F.array(F.col("src").cast("string"), F.col("dst").cast("string"))
+    return tree(spark, folder).select(F.array_join(edge, ",").alias("value"))
 
 
 def tree(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        table(spark, folder, "supplier")
-        .where("s_suppkey > 0")
-        .select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 2").alias("dst"))
-    )
+    node = table(spark, folder, "supplier").select(_node("s_suppkey").alias("src"))
+    return node.select("src", F.expr("src div 2").alias("dst"))
 
 
 def cyclic_graph(spark: SparkSession, folder: str) -> DataFrame:
     """The tree plus an edge from each supplier to the node of its nation."""
-    extra = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst")
-    )
+    extra = table(spark, folder, "supplier").select(_node("s_suppkey").alias("src"), _node("s_nationkey").alias("dst"))
     return tree(spark, folder).union(extra)
 
 
 def links(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "lineitem")
-        .select(F.col("l_suppkey").alias("category_id"), F.col("l_partkey").alias("article_id"))
+        .select(_node("l_suppkey").alias("category_id"), F.col("l_partkey").alias("article_id"))
         .distinct()
     )
 

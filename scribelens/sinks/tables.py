@@ -55,6 +55,21 @@ def vector_lines(vectors: DataFrame) -> DataFrame:
     )
 
 
+def write_vector_lines(vectors: DataFrame, path: str) -> None:
+    """Vectors as text, one line each, as `sources.vectors.read_vectors` takes them."""
+    write_lines(vector_lines(vectors), path)
+
+
+def vocabulary_line(vocabulary: DataFrame) -> DataFrame:
+    """The terms of a vocabulary in one line; there are as many as its size, a parameter, says."""
+    placed = F.array_sort(F.collect_list(F.struct("idx", "term")))
+    return vocabulary.agg(F.array_join(F.transform(placed, lambda t: t["term"]), " ").alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    lines.write.mode("overwrite").text(path)
+
+
 def write_pages(pages: DataFrame, path: str, compression: str = "none") -> None:
     """Page records as dump XML, for tests and exchange."""
     (

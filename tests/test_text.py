@@ -1,10 +1,14 @@
+import random
+from collections import Counter
+
 import pytest
 
 from scribelens.functions.stemming import porter2
 from scribelens.operators import articles as A
 from scribelens.operators import corpus as K
 from scribelens.sources import sql_dump, vectors
-from scribelens.sinks.tables import vector_lines
+from scribelens.plans.jobs import write_truth_vectors
+from scribelens.sinks.tables import vector_lines, vocabulary_line, write_single_file
 
 
 def article(spark, text, ns=0):
@@ -163,3 +167,54 @@ def test_dump_encoding(spark, tmp_path):
     (tmp_path / "d.sql").write_bytes("INSERT INTO t VALUES (1,'Café')\n".encode("latin-1"))
     got = sql_dump.categories(sql_dump.read_lines(spark, str(tmp_path / "d.sql"), "ISO-8859-1"))
     assert got.first().name == "Café"
+
+
+@pytest.mark.parametrize("capacity", [3, 40, 400, None])
+def test_vocabulary_from_summaries(spark, capacity):
+    """Summaries too small to prove anything, small ones that need a second scan, and large ones."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(d, rng.choices(words, [1 / (i + 1) ** 1.5 for i in range(300)], k=60)) for d in range(80)]
+    tokens = spark.createDataFrame(docs, "doc_id BIGINT, tokens ARRAY<STRING>").repartition(4)
+    counts = Counter(w for _, ws in docs for w in ws)
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10]
+    got = K.vocabulary(tokens, 10, capacity).orderBy("idx").collect()
+    assert [(r.term, r.n) for r in got] == want and [r.idx for r in got] == list(range(10))
+
+
+def test_vocabulary_of_nothing(spark):
+    tokens = spark.createDataFrame([(1, [])], "doc_id BIGINT, tokens ARRAY<STRING>")
+    assert K.vocabulary(tokens).isEmpty() and K.vocabulary(tokens.limit(0)).isEmpty()
+
+
+def test_fitted_vectors_use_the_ordered_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "pear plum fig the"), (2, "fig plum"), (3, "pear apple")], "doc_id BIGINT, text STRING")
+    model = K.fit_text(docs, 2)
+    assert [r.term for r in K.fitted_vocabulary(model, docs).orderBy("idx").collect()] == ["fig", "pear"]
+    assert {r.doc_id: r.features.toArray().tolist() for r in K.vectorize(model, docs).collect()} == {1: [1, 1], 2: [1, 0], 3: [0, 1]}
+
+
+def test_stored_vectors_are_joined_without_an_exchange(spark, pairs, tmp_path):
+    rows = [(d, 10, [d % 10], [float(d)]) for d in range(200)]
+    store = K.vector_store(spark.createDataFrame(rows, "doc_id BIGINT, size INT, indices ARRAY<INT>, counts ARRAY<DOUBLE>"))
+    truth = pairs(*[(u, 3 * u) for u in range(90)], (1, 3), (7, 10_000))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = K.documents_in_truth(store, truth)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 67
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # The plan is printed from the top, the vectors before the truth.
+    assert "Exchange" not in plan[: plan.index("Bucketed: true")] and "Exchange" in plan
+    write_truth_vectors(store, truth, str(tmp_path / "lines"))
+    again = vectors.vector_entries(vectors.read_vectors(spark, str(tmp_path / "lines")))
+    assert sorted(tuple(r) for r in again.collect()) == [(d, d % 10, float(d)) for d in range(0, 200, 3)]
+
+
+def test_vocabulary_line_is_one_file(spark, tmp_path):
+    tokens = spark.createDataFrame([(1, ["b", "a", "b"])], "doc_id BIGINT, tokens ARRAY<STRING>")
+    write_single_file(vocabulary_line(K.vocabulary(tokens)), str(tmp_path / "v"))
+    assert len(list((tmp_path / "v").glob("part-*"))) == 1
+    assert [tuple(r) for r in vectors.read_vocabulary(spark, str(tmp_path / "v")).collect()] == [(0, "b"), (1, "a")]
