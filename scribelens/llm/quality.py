@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -154,16 +155,17 @@ def fit(rows: list[np.ndarray], good: np.ndarray, ratios: np.ndarray, bits: int
         return model
     ratio, weight = model
     ratio[:-1] = ratios
-    values = [ratio[r] for r in rows]
-    values = [v / max(1e-12, math.sqrt(v @ v)) if len(v) else v for v in values]
+    # Scaled vectors are made anew for every step: kept, they would take twice the room of the rows.
+    norm = [max(1e-12, math.sqrt(v @ v)) for v in map(ratio.__getitem__, rows)]
     sign = np.where(good, 1.0, -1.0)
-    size = np.array([v @ v + 1.0 for v in values])
+    size = np.array([v @ v + 1.0 for v in (ratio[r] / k for r, k in zip(rows, norm))])
     dual = np.zeros(len(rows))
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            row, v, y = rows[i], values[i], sign[i]
+            row, y = rows[i], sign[i]
+            v = ratio[row] / norm[i]
             slope = y * (weight[row] @ v + weight[-1]) - 1.0
             new = min(max(dual[i] - slope / size[i], 0.0), cost)
             step = new - dual[i]
@@ -234,9 +236,16 @@ def train(
 
     hashed = map_batches(given, make, "doc_id long, quality int, columns binary")
     # Repeats are folded in every partition before they are exchanged.
-    found = hashed.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("columns").alias("columns")).toArrow().sort_by("doc_id")
-    rows = [np.frombuffer(c, np.int32) for c in found["columns"].to_pylist()]
-    return fit(rows, found["quality"].to_numpy() == 1, ratios, bits)
+    found = hashed.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("columns").alias("columns")).toArrow()
+    order = pc.sort_indices(found["doc_id"]).to_numpy()
+    rows = _rows_of(found["columns"])
+    good = found["quality"].to_numpy() == 1
+    return fit([rows[i] for i in order], good[order], ratios, bits)
+
+
+def _rows_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The packed rows as views on the column's memory."""
+    return [np.frombuffer(value.as_buffer(), np.int32) for chunk in column.chunks for value in chunk]
 
 
 def scores(docs: DataFrame, model: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
