@@ -1,16 +1,19 @@
-"""Near-duplicate vectors by dual traversal of cover trees; exact threshold pairs.
+"""Near-duplicate vectors by dual traversal of a cover tree; exact threshold pairs.
 
 Distances are chords between unit vectors, so a cosine of at least t is a chord of at most
-sqrt(2 - 2t). The upper levels of the tree are pivots chosen from a bounded sample; every vector
-goes to its nearest pivot's cell, and a cell is cut into blocks of bounded size. Each block holds
-a tree of nested levels: a node of one level is cut into nodes of half the radius, down to single
-vectors, and knows its true covering radius.
-
-Pairs of cells, then of blocks, then of nodes are dropped when their centres are farther apart
-than both radii and the threshold together. Pairs of nodes that lie within the threshold as a
-whole are linked by their sizes without looking further. What is left at the last level is
-compared vector by vector in double precision. A task gives back the number of links of each
-vector and a spanning forest of the links, never the pairs themselves.
+sqrt(2 - 2t). The tree is grown from the top: a node that holds too many vectors is cut by a net,
+centres from a bounded sample of its vectors whose radius is halved until there are enough, and
+every vector goes to its nearest centre. Rounds go on until a node has at most a block of vectors;
+one that its own net cannot divide, all copies nearly, is cut by hash. A node knows its true
+covering radius. Inside a block the levels go on, down to single vectors.
+
+Both sides descend together, level by level, as tables of node pairs: a pair is dropped when its
+centres are farther apart than both radii and the threshold together. The pairs of blocks left
+over lie on a grid whose cells hold `GRID` times `GRID` of them, so a block is sent once for
+`GRID` partners. Inside, pairs of nodes that lie within the threshold as a whole are linked by
+their sizes without looking further, and what is left at the last level is compared vector by
+vector in double precision. A task gives back the number of links of each vector and a spanning
+forest of the links, never the pairs themselves.
 
 Equal vectors are one row with a count throughout.
 """
@@ -22,23 +25,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribelens.functions.layout import stored
 from scribelens.llm.components import components
-from scribelens.llm.tables import attach, map_batches, read, with_run
+from scribelens.llm.tables import attach, read, with_run
 
 COSINE = 0.95
-BLOCK = 4096  # vectors per block, about
-SAMPLE = 4096  # vectors the pivots are chosen from, at most
-PIVOTS = 1024  # at most
+BLOCK = 4096  # vectors per block, about; fewer where they are long
+BLOCK_VALUES = 1 << 20  # components in a block, about
+FANOUT, SAMPLED = 64, 8  # centres a node is cut by, at most, and vectors drawn for each
+ROUNDS = 7  # cuts on the way down, at most
+GRID = 8  # blocks on each side of a cell of the grid of block pairs
 RADII = (1.0, 0.5, 0.25, 0.125)
 SLACK = 1e-7  # keeps rounding from pruning or including a pair that the exact test decides
 CHUNK = 1 << 20  # distances held at once
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Scaled by a power of two first, so that no square is beyond a double."""
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
@@ -205,109 +212,200 @@ def _valid(embedding: Column) -> Column:
     return F.coalesce(~F.exists(embedding, bad) & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return unit(np.array(column.to_pylist(), np.float64))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64)
+
+
+def _ball(x: np.ndarray) -> tuple[list[float], float]:
+    """A centre of unit rows and the radius that covers them."""
+    centre = x.mean(axis=0)
+    norm = math.sqrt(centre @ centre)
+    centre = centre / norm if norm > 1e-9 else x[0]
+    return centre.tolist(), float(np.sqrt(np.maximum(1 + centre @ centre - 2 * x @ centre, 0)).max())
+
+
+def _centres(node: tuple, sample: pa.Table) -> pa.Table:
+    """A net over a node's sample, as many centres as are wanted."""
+    rows = unit(_matrix(sample.sort_by("vec_id")["embedding"]))
+    net = pivots_of(rows, sample["wanted"][0].as_py())
+    return pa.table({"at": node[0:1], "net": [net.ravel().tolist()]}, pa.schema([("at", pa.int64()), ("net", pa.list_(pa.float64()))]))
+
+
+def _cut(key: tuple, rows: pa.Table, net: pa.Table) -> pa.Table:
+    """The node each vector goes to: its nearest centre's."""
+    x = unit(_matrix(rows["embedding"]))
+    centres = np.array(net["net"][0].as_py()).reshape(-1, x.shape[1])
+    child = (x @ centres.T).argmax(axis=1)
+    node = pa.array(key[0].as_py() * FANOUT + child)
+    return rows.select(["vec_id", "n", "embedding"]).append_column("node", node).append_column("root", rows["root"])
+
 
+ROWS = "vec_id long, n long, embedding array<double>, node long, root long"
 
-def _assigned(prints: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """vec_id, n, embedding, cell (length of the vector and number of its pivot), far."""
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lengths = np.array([len(e) for e in batch.column(2)], np.int64)
-            cell, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for d in np.unique(lengths):
-                at = np.flatnonzero(lengths == d)
-                dots = _matrix(batch.column(2).take(pa.array(at))) @ pivots[int(d)].T
-                cell[at] = dots.argmax(axis=1)
-                far[at] = _chord(dots.max(axis=1))
-            columns = [*batch.columns, pa.array(lengths), pa.array(cell), pa.array(far)]
-            return pa.RecordBatch.from_arrays(columns, names=["vec_id", "n", "embedding", "dim", "cell", "far"])
+def grown(prints: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The vectors with their last node, and per round the table of (node, parent).
+
+    ``prints``: vec_id, n, embedding. Vectors of different lengths have roots of their own. A node
+    that needs no cut is its own child.
+    """
+    length = F.size("embedding").cast("long")
+    now = stored(prints.select("vec_id", "n", F.col("embedding").cast("array<double>").alias("embedding"), length.alias("node"), length.alias("root")), "nodes")
+    steps: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        sizes = now.groupBy("node", "root").agg(F.count("*").alias("size"))
+        most = F.least(F.lit(block), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_VALUES) / F.col("root"))))
+        large = stored(sizes.withColumn("most", most).where("size > most"), "large-nodes")
+        if large.isEmpty():
+            break
+        wanted = F.least(F.lit(FANOUT), F.ceil(2 * F.col("size") / F.col("most"))).cast("int")
+        large = large.withColumn("wanted", wanted).withColumn("share", F.col("wanted") * SAMPLED / F.col("size"))
+        salts = F.ceil(F.col("size") / (4 * F.col("most"))).cast("int")  # groups of a few blocks
+        joined = now.join(large.select("node", "wanted", "share", salts.alias("salts")), "node")
+        drawn = F.pmod(F.xxhash64("vec_id", F.lit(len(steps))), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+        sample = joined.where(drawn).select("node", "vec_id", "embedding", "wanted")
+        nets = sample.groupBy("node").applyInArrow(_centres, "at long, net array<double>")
+        # One centre divides nothing.
+        nets = stored(nets.join(large.select(F.col("node").alias("at"), "root"), "at").where(F.size("net") > F.col("root")).drop("root"), "nets")
+        if nets.isEmpty():
+            break
+        spread = nets.join(large.select(F.col("node").alias("at"), salts.alias("salts")), "at").select(
+            "at", "net", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part")
+        )
+        salted = joined.join(nets.select(F.col("at").alias("node")), "node", "left_semi").withColumn(
+            "salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")
+        )
+        cut = salted.groupBy("node", "salt").cogroup(spread.groupBy("at", "part")).applyInArrow(_cut, ROWS)
+        rest = now.join(nets.select(F.col("at").alias("node")), "node", "left_anti")
+        # Numbers of nodes are those of their paths, so a node that stays moves on as its first child.
+        kept = rest.withColumn("node", F.col("node") * FANOUT)
+        now = stored(cut.unionByName(kept.select("vec_id", "n", "embedding", "node", "root")), "nodes")
+        steps.append(now.select("node").distinct().withColumn("parent", F.expr(f"node DIV {FANOUT}")))
+    return now, steps
 
-        return step
 
-    return map_batches(prints, make, "vec_id long, n long, embedding array<double>, dim long, cell long, far double")
+BLOCKS = "node long, cut long, root long, size long, centre array<double>, radius double, tree binary"
 
 
-def _pack_blocks(cell: tuple, rows: pa.Table) -> pa.Table:
+def _pack_blocks(key: tuple, rows: pa.Table) -> pa.Table:
     """One row: the block's vectors, its tree, ids and counts."""
-    x = unit(np.array(rows["embedding"].to_pylist(), np.float64))
+    given = _matrix(rows["embedding"])
+    x = unit(given)
+    held = given.astype(np.float32) if (given.astype(np.float32) == given).all() else given
     out = io.BytesIO()
-    np.savez(out, x=x, ids=rows["vec_id"].to_numpy(), n=rows["n"].to_numpy(), **build(x))
-    centre = unit(x.mean(axis=0, keepdims=True) + 1e-12)[0]
-    radius = float(_chord(x @ centre).max())
-    return pa.table(
-        {"dim": cell[0:1], "cell": cell[1:2], "block": cell[2:3], "centre": [centre.tolist()], "radius": [radius], "tree": [out.getvalue()]},
-        pa.schema([("dim", pa.int64()), ("cell", pa.int64()), ("block", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("tree", pa.binary())]),
+    small = {k: v if k[0] == "r" else v.astype(np.int32) for k, v in build(x).items()}
+    np.savez(out, given=held, ids=rows["vec_id"].to_numpy(), n=rows["n"].to_numpy(), **small)
+    centre, radius = _ball(x)
+    values = [[k.as_py()] for k in key] + [[rows["root"][0].as_py()], [len(x)], [centre], [radius], [out.getvalue()]]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.float64()), pa.float64(), pa.binary()]
+    return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in BLOCKS.split(", ")])
+
+
+def _unpacked(tree: bytes) -> dict[str, np.ndarray]:
+    block = {k: v if v.dtype != np.int32 else v.astype(np.int64) for k, v in np.load(io.BytesIO(tree)).items()}
+    block["x"] = unit(block.pop("given").astype(np.float64))
+    return block
+
+
+def _gap(a: str, b: str) -> Column:
+    squares = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
+
+
+def _balls(nodes: DataFrame) -> DataFrame:
+    """(node, centre, radius) that cover all balls of (node, centre, radius) with that node."""
+    # The ball around the first one's centre; one row per ball, so groups are small.
+    first = nodes.groupBy("node").agg(F.min_by("centre", F.struct("radius", "centre")).alias("middle"))
+    far = nodes.join(first, "node").groupBy("node").agg(
+        F.first("middle").alias("centre"), F.max(_gap("centre", "middle") + F.col("radius")).alias("radius")
     )
+    return far.select("node", "centre", "radius")
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, limit: float) -> DataFrame:
+    """The pairs (a, b), a <= b, whose nodes (node, centre, radius) can hold a link."""
+    one = nodes.select(F.col("node").alias("a"), F.col("centre").alias("_ca"), F.col("radius").alias("_ra"))
+    two = nodes.select(F.col("node").alias("b"), F.col("centre").alias("_cb"), F.col("radius").alias("_rb"))
+    both = pairs.join(one, "a").join(two, "b")
+    return both.where(_gap("_ca", "_cb") - F.col("_ra") - F.col("_rb") <= limit + SLACK).select("a", "b")
 
 
-def _compared(batch: pa.RecordBatch, cosine: float) -> pa.RecordBatch:
+def near_nodes(steps: list[DataFrame], blocks: DataFrame, limit: float) -> DataFrame:
+    """Dual traversal of the upper levels: pairs (a, b), a <= b, of last nodes that can hold a link.
+
+    The radii of a level cover the blocks below; a pair is looked into only if its parents' pair
+    was kept.
+    """
+    levels = [_balls(blocks.select("node", "centre", "radius"))]
+    for step in reversed(steps):
+        above = levels[0].join(step, "node").select(F.col("parent").alias("node"), "centre", "radius")
+        levels.insert(0, _balls(above))
+    levels = [stored(x, "level") for x in levels]
+    pairs = levels[0].select(F.col("node").alias("a"), F.col("node").alias("b"))
+    for step, nodes in zip(steps, levels[1:]):
+        one = step.select(F.col("parent").alias("a"), F.col("node").alias("_a"))
+        two = step.select(F.col("parent").alias("b"), F.col("node").alias("_b"))
+        children = pairs.join(one, "a").join(two, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <= b")
+        pairs = stored(_near(children, nodes, limit), "node-pairs")
+    return pairs
+
+
+def _compared(cell: tuple, blocks: pa.Table, cosine: float) -> pa.Table:
+    """Links of all near pairs of blocks in one cell of the grid: blocks of its row and its column."""
+    limit = math.sqrt(2.0 - 2.0 * cosine)
     ids, counts, roots = [], [], []
-    for same, one, two in zip(*(c.to_pylist() for c in batch.columns)):
-        a = np.load(io.BytesIO(one))
-        b = a if same else np.load(io.BytesIO(two))
-        a, b = dict(a), dict(b)
-        links_a, links_b, forest = traverse(a["x"], a, a["n"], b["x"], b, b["n"], cosine, same)
-        for block, links, base in [(a, links_a, 0)] + [(b, links_b, len(a["x"]))] * (not same):
-            for i in np.flatnonzero(links):
-                root = forest.find(base + int(i))
-                ids.append(int(block["ids"][i]))
-                counts.append(int(links[i]))
+    held = {}
+    for number, centre, radius, tree in zip(*(blocks[c].to_pylist() for c in ("number", "centre", "radius", "tree"))):
+        held[number] = np.array(centre), radius, _unpacked(tree)
+    row, column = ([n for n in sorted(held) if n // GRID == part.as_py()] for part in cell)
+    for i, j in ((i, j) for i in row for j in column if i <= j):
+        (ca, ra, a), (cb, rb, b) = held[i], held[j]
+        if len(ca) != len(cb) or math.sqrt(((ca - cb) ** 2).sum()) - ra - rb > limit + SLACK:
+            continue
+        links_a, links_b, forest = traverse(a["x"], a, a["n"], b["x"], b, b["n"], cosine, i == j)
+        for block, links, base in [(a, links_a, 0)] + [(b, links_b, len(a["x"]))] * (i != j):
+            for k in np.flatnonzero(links):
+                root = forest.find(base + int(k))
+                ids.append(int(block["ids"][k]))
+                counts.append(int(links[k]))
                 roots.append(int(a["ids"][root] if root < len(a["x"]) else b["ids"][root - len(a["x"])]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(roots, pa.int64())], names=["u", "links", "v"]
-    )
+    return pa.table({"u": pa.array(ids, pa.int64()), "links": pa.array(counts, pa.int64()), "v": pa.array(roots, pa.int64())})
 
 
-def vector_links(prints: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """u, links, v: for each pair of blocks and vector linked in it, its number of links there
-    and a vector it is connected with. ``prints``: vec_id, n (copies), embedding."""
-    spark = prints.sparkSession
-    sizes = {r[0]: r[1] for r in prints.groupBy(F.size("embedding")).count().collect()}  # one per length
-    pivots = {}
-    for dim, n in sizes.items():
-        most = min(PIVOTS, max(1, n // BLOCK))
-        sample = prints.where(F.size("embedding") == dim).select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE)
-        pivots[dim] = pivots_of(unit(np.array([r[0] for r in sample.collect()], np.float64)), most)
-    cells = stored(_assigned(prints.select("vec_id", "n", F.col("embedding").cast("array<double>")), pivots), "cells")
-    found = cells.groupBy("dim", "cell").agg(F.count("*").alias("size"), F.max("far").alias("far"))
-    # One row per pivot.
-    known = [tuple(r) for r in found.collect()]
+def block_table(prints: DataFrame, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The packed blocks, numbered so that neighbours in the tree have neighbouring numbers."""
+    rows, steps = grown(prints, block)
+    most = F.least(F.lit(block), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_VALUES) / F.col("root"))))
+    cuts = rows.groupBy("node", "root").agg(F.count("*").alias("size")).select("node", F.ceil(F.col("size") / most).cast("long").alias("cuts"))
+    cut = rows.join(cuts, "node").withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
+    packed = stored(cut.groupBy("node", "cut").applyInArrow(_pack_blocks, BLOCKS), "packed-blocks")
+    # A block is some thousand vectors; their numbers pass one task.
+    order = Window.orderBy("root", "node", "cut")
+    numbers = packed.select("node", "cut", (F.row_number().over(order) - 1).cast("long").alias("number"))
+    return stored(packed.join(numbers, ["node", "cut"]), "blocks"), steps
+
+
+def near_blocks(blocks: DataFrame, steps: list[DataFrame], cosine: float) -> DataFrame:
+    """Pairs (a, b), a <= b, of the numbers of blocks that can hold a link."""
     limit = math.sqrt(2.0 - 2.0 * cosine)
-    near = []
-    for dim in sizes:
-        mine = [k for k in known if k[0] == dim]
-        centres = pivots[dim][[k[1] for k in mine]]
-        gaps = _chord(centres @ centres.T)
-        for i, p in enumerate(mine):
-            near += [(dim, p[1], q[1]) for j, q in enumerate(mine) if j >= i and gaps[i, j] - p[3] - q[3] <= limit + SLACK]
-    parts = F.broadcast(spark.createDataFrame([(d, c, -(-s // BLOCK)) for d, c, s, _ in known], "dim long, cell long, parts long"))
-    pairs = F.broadcast(spark.createDataFrame(near, "dim long, cell long, other long"))
-    schema = "dim long, cell long, block long, centre array<double>, radius double, tree binary"
-    blocks = stored(
-        cells.join(parts, ["dim", "cell"])
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-        .groupBy("dim", "cell", "block")
-        .applyInArrow(_pack_blocks, schema),
-        "blocks",
-    )
-    heads = blocks.select("dim", "cell", "block", "centre", "radius")
-    other = heads.select("dim", *[F.col(c).alias(f"{c}_2") for c in ("cell", "block", "centre", "radius")])
-    gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre_2", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    todo = (
-        heads.join(pairs, ["dim", "cell"])
-        .join(other.withColumnRenamed("cell_2", "other"), ["dim", "other"])
-        .where((F.col("cell") != F.col("other")) | (F.col("block") <= F.col("block_2")))
-        .where(gap - F.col("radius") - F.col("radius_2") <= limit + SLACK)
-        .select("dim", "cell", "block", "other", "block_2")
-    )
-    same = (F.col("cell") == F.col("other")) & (F.col("block") == F.col("block_2"))
-    one = blocks.select("dim", "cell", "block", F.col("tree").alias("one"))
-    two = blocks.select("dim", F.col("cell").alias("other"), F.col("block").alias("block_2"), F.col("tree").alias("two"))
-    work = todo.withColumn("same", same).join(one, ["dim", "cell", "block"]).join(two, ["dim", "other", "block_2"])
-    dealt = work.select("same", "one", "two").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return map_batches(dealt, lambda: lambda batch: _compared(batch, cosine), "u long, links long, v long", rows=1)
+    nodes = near_nodes(steps, blocks, limit)
+    one = blocks.select(F.col("node").alias("a"), F.col("number").alias("_a"))
+    two = blocks.select(F.col("node").alias("b"), F.col("number").alias("_b"))
+    pairs = nodes.join(one, "a").join(two, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    return _near(pairs, blocks.select(F.col("number").alias("node"), "centre", "radius"), limit)
+
+
+def vector_links(prints: DataFrame, cosine: float = COSINE, block: int | None = None) -> DataFrame:
+    """u, links, v: for each near pair of blocks and vector linked in it, its number of links there
+    and a vector it is connected with. ``prints``: vec_id, n (copies), embedding."""
+    blocks, steps = block_table(prints, block or BLOCK)
+    grid = near_blocks(blocks, steps, cosine).select(F.expr(f"a DIV {GRID}").alias("row"), F.expr(f"b DIV {GRID}").alias("column")).distinct()
+    grid = stored(grid, "grid")
+    packed = blocks.select(F.expr(f"number DIV {GRID}").alias("_part"), "number", "centre", "radius", "tree")
+    across = grid.select("row", "column", F.col("row").alias("_part"))
+    down = grid.where("row <> column").select("row", "column", F.col("column").alias("_part"))
+    sent = across.unionByName(down).join(packed, "_part").drop("_part")
+    return sent.groupBy("row", "column").applyInArrow(lambda cell, rows: _compared(cell, rows, cosine), "u long, links long, v long")
 
 
 def vector_groups(vectors: DataFrame, cosine: float = COSINE, embedding: str = "embedding", vec_id: str = "vec_id") -> DataFrame:

@@ -1,9 +1,11 @@
 """Vectors against brute force, URL rules, and the whole pipeline."""
 
+import io
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -53,6 +55,39 @@ def test_vector_links_are_exact(spark, monkeypatch, block):
     assert rows_of(got, "vec_id", "n_links", "component_id", "kept") == brute(vectors)
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200])
+def test_very_large_and_small_components_link(spark, scale):
+    vectors = [(1, [scale, scale]), (2, [scale, 1.01 * scale]), (3, [1.0, 1.0]), (4, [-scale, scale])]
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = cover_tree.vector_groups(df)
+    assert rows_of(got, "vec_id", "n_links", "component_id") == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
+def test_tree_of_several_levels_prunes_clusters(spark):
+    """Clusters far apart, one of them half of all vectors: most pairs of blocks are dropped."""
+    rng = np.random.default_rng(6)
+    centres = 3 * rng.standard_normal((30, 16))
+    which = np.where(rng.random(2000) < 0.4, 0, rng.integers(0, 30, 2000))
+    rows = centres[which] + rng.standard_normal((2000, 16))
+    prints = spark.createDataFrame([(i, 1, r.tolist()) for i, r in enumerate(rows)], "vec_id bigint, n bigint, embedding array<double>")
+    blocks, steps = cover_tree.block_table(prints, 32)
+    n = blocks.count()
+    assert len(steps) >= 2 and n >= 2000 / 32 and blocks.where("size > 96").isEmpty()
+    assert cover_tree.near_blocks(blocks, steps, 0.95).count() < 0.5 * n * (n + 1) / 2
+    # Each of the pairs left out is apart indeed.
+    units = cover_tree.unit(rows)
+    dots = units @ units.T
+    near = {(r.a, r.b) for r in cover_tree.near_blocks(blocks, steps, 0.95).collect()}
+    home = {}
+    for r in blocks.select("number", "tree").collect():
+        home.update(dict.fromkeys(np.load(io.BytesIO(r.tree))["ids"].tolist(), r.number))
+    for i, j in zip(*np.nonzero(dots >= 0.95)):
+        assert (min(home[i], home[j]), max(home[i], home[j])) in near
+    links = cover_tree.vector_links(prints, 0.95, 32).groupBy("u").agg(F.sum("links").alias("links"))
+    want = {i: int(k) - 1 for i, k in enumerate((dots >= 0.95).sum(axis=1)) if k > 1}
+    assert {r.u: r.links for r in links.collect()} == want
+
+
 def test_no_vectors(spark):
     assert cover_tree.vector_groups(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).isEmpty()
     odd = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id bigint, embedding array<float>")
