@@ -83,8 +83,9 @@ def brute_topics(history, assignments, n, prf, exclude):
     return result
 
 
+@pytest.mark.parametrize("bounded", [False, True])
 @pytest.mark.parametrize("prf,exclude", [(20, True), (4, True), (20, False), (0, True)])
-def test_topic_recommender(spark, pairs, prf, exclude):
+def test_topic_recommender(spark, pairs, prf, exclude, bounded):
     rng = random.Random(3)
     assignments = [(d, t, rng.random()) for d in range(60) for t in rng.sample(range(8), 3)]
     history = {u: {rng.randrange(70) for _ in range(rng.randint(1, 9))} for u in range(12)}
@@ -96,6 +97,7 @@ def test_topic_recommender(spark, pairs, prf, exclude):
             4,
             prf,
             exclude,
+            bounded,
         )
     )
     assert got == brute_topics(history, assignments, 4, prf, exclude)
