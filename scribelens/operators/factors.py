@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribelens.functions.layout import stored
+from scribelens.functions.layout import fan_out, stored
 from scribelens.functions.ranking import stable, top_k
 from scribelens.functions.validate import int32
 from scribelens.session import shared_dir
@@ -18,7 +19,9 @@ from scribelens.session import shared_dir
 BLOCK_ROWS = 4096
 CELLS = 256  # directions of the upper level of the tree of items
 NODES = 1 << 16  # nodes of the lower level, about, at most
-BATCH_USERS = 512  # users scored at once against the head
+BATCH_USERS = 512  # users scored at once, at most
+HELD = 1 << 20  # list entries held for the users scored at once
+SHELF_ROWS = 1 << 16  # items of a shelf, and users that meet it in one group, at most about
 SCORED = "user_id BIGINT, article_id BIGINT, score DOUBLE"
 
 
@@ -131,6 +134,7 @@ class ConeTree:
     cells: Cones
     nodes: Cones
     cell_of: np.ndarray
+    shelf_of: np.ndarray  # neighbouring nodes share a shelf, which users are sent to once
 
     def open_nodes(self, users: np.ndarray, bars: np.ndarray) -> np.ndarray:
         """Which nodes (columns) can hold a score of at least the bar for each user (rows)."""
@@ -197,11 +201,15 @@ def cone_tree(items: DataFrame, block: int) -> tuple[ConeTree, DataFrame]:
     cut = fine.join(counts, ["cell", "part"]).withColumn("cut", F.pmod(F.xxhash64("article_id"), F.col("_cuts")).cast("int"))
     key = ["cell", "part", "cut"]
     summary = cut.groupBy(*key).agg(
-        F.min("part_cos").alias("cos"), F.min("cell_cos").alias("cell_cos"), F.max("norm").alias("norm")
+        F.min("part_cos").alias("cos"), F.min("cell_cos").alias("cell_cos"), F.max("norm").alias("norm"),
+        F.count("*").alias("n"),
     )
     nodes = sorted(summary.collect(), key=lambda r: (r.cell, r.part, r.cut))
     cells = sorted({r.cell for r in nodes})
     of_cell = {c: [r for r in nodes if r.cell == c] for c in cells}
+    sizes_of = np.array([r.n for r in nodes])
+    shelves = max(_ways(items), -(-int(sizes_of.sum()) // SHELF_ROWS))
+    shelf_of = (np.cumsum(sizes_of) - sizes_of) * shelves // sizes_of.sum()
     tree = ConeTree(
         Cones(
             _units(np.array([centre[c] for c in cells]))[0],
@@ -214,51 +222,121 @@ def cone_tree(items: DataFrame, block: int) -> tuple[ConeTree, DataFrame]:
             np.array([r.norm for r in nodes]),
         ),
         np.array([cells.index(r.cell) for r in nodes]),
+        shelf_of,
     )
     numbers = items.sparkSession.createDataFrame(
-        [(r.cell, r.part, r.cut, i) for i, r in enumerate(nodes)], "cell int, part int, cut int, node int"
+        [(r.cell, r.part, r.cut, i, int(shelf_of[i])) for i, r in enumerate(nodes)],
+        "cell int, part int, cut int, node int, shelf int",
     )
-    return tree, cut.join(numbers, key).select("node", "article_id", "v")
+    return tree, cut.join(numbers, key).select("shelf", "node", "article_id", "v")
+
+
+def _ways(df: DataFrame) -> int:
+    """Sides of a grid with about two cells for each core."""
+    return isqrt(2 * df.sparkSession.sparkContext.defaultParallelism) + 1
+
+
+def _batch(n: int) -> int:
+    return max(1, min(BATCH_USERS, HELD // n))
 
 
 def _first_pass(users: DataFrame, head: list, tree: ConeTree | None, n: int) -> DataFrame:
-    """Where the users are read: their lists from the head alone (rows without ``node``), and for
-    each batch of users and node the users to whom the node is open, packed into one row."""
+    """Where the users are read: their lists from the head alone (rows without ``shelf``), and for
+    each batch of users and shelf the users to whom one of its nodes is open, packed into one row."""
     ids = np.array([h[0] for h in head], np.int64)
     vectors = np.array([h[1] for h in head])
 
     def score(batches):
         for batch in batches:
-            for start in range(0, len(batch), BATCH_USERS):
-                part = batch.iloc[start : start + BATCH_USERS]
+            for start in range(0, len(batch), _batch(n)):
+                part = batch.iloc[start : start + _batch(n)]
                 matrix, own = np.stack(part["u"].to_numpy()), part["user_id"].to_numpy()
                 best = _best(matrix, own, vectors, ids, n)
-                yield best.assign(node=pd.array([None] * len(best), "Int32"), users=0, ids=None, vectors=None)
+                yield best.assign(shelf=pd.array([None] * len(best), "Int32"), users=0, ids=None, vectors=None, bars=None)
                 if tree is not None:
                     bars = best.groupby("user_id", sort=False)["score"].min().reindex(own).to_numpy()
-                    yield _packets(matrix, own, tree.open_nodes(matrix, bars))
+                    yield _packets(matrix, own, bars, tree)
 
-    return users.select("user_id", "u").mapInPandas(score, f"{SCORED}, node int, users int, ids binary, vectors binary")
+    return users.select("user_id", "u").mapInPandas(
+        score, f"{SCORED}, shelf int, users int, ids binary, vectors binary, bars binary"
+    )
 
 
-def _packets(matrix: np.ndarray, ids: np.ndarray, is_open: np.ndarray) -> pd.DataFrame:
+def _packets(matrix: np.ndarray, ids: np.ndarray, bars: np.ndarray, tree: ConeTree) -> pd.DataFrame:
     rows = []
-    for node in np.flatnonzero(is_open.any(axis=0)):
-        at = np.flatnonzero(is_open[:, node])
-        rows.append((None, None, None, node, len(at), ids[at].tobytes(), matrix[at].tobytes()))
-    return pd.DataFrame(rows, columns=["user_id", "article_id", "score", "node", "users", "ids", "vectors"])
+    is_open = tree.open_nodes(matrix, bars)
+    for shelf in np.unique(tree.shelf_of):
+        at = np.flatnonzero(is_open[:, tree.shelf_of == shelf].any(axis=1))
+        if len(at):
+            rows.append((None, None, None, shelf, len(at), ids[at].tobytes(), matrix[at].tobytes(), bars[at].tobytes()))
+    return pd.DataFrame(rows, columns=["user_id", "article_id", "score", "shelf", "users", "ids", "vectors", "bars"])
 
 
-def _best_of_node(n: int):
+@dataclass(frozen=True)
+class Shelf:
+    """The items of neighbouring nodes, sorted by node, and a cone around those of each node."""
+
+    article_ids: np.ndarray
+    vectors: np.ndarray
+    starts: np.ndarray
+    cones: Cones
+
+    @staticmethod
+    def of(items: pd.DataFrame) -> Shelf:
+        items = items.sort_values(["node", "article_id"])
+        node, vectors = items["node"].to_numpy(), np.stack(items["v"].to_numpy())
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        units, norms = _units(vectors)
+        centres, _ = _units(np.add.reduceat(units, starts))
+        cosines = (units * np.repeat(centres, np.diff(np.r_[starts, len(node)]), axis=0)).sum(axis=1)
+        cones = Cones(centres, np.minimum.reduceat(cosines, starts), np.maximum.reduceat(norms, starts))
+        return Shelf(items["article_id"].to_numpy(), vectors, np.r_[starts, len(node)], cones)
+
+    def best(self, users: np.ndarray, user_ids: np.ndarray, bars: np.ndarray, n: int) -> pd.DataFrame:
+        """The n best items of each user among those that reach its bar.
+
+        Nodes are taken by falling bound; what is held is cut to n a user when it has grown to
+        four times as many, which raises the bars.
+        """
+        units, norms = _units(users)
+        bounds = self.cones.bounds(units) * norms[:, None]
+        lowest = np.maximum(bars, 0.0) - 1e-8
+        held, grown = [np.zeros((0,), np.int64)] * 2 + [np.zeros(0)], 0
+        parts = [held]
+        for node in np.argsort(-bounds.max(axis=0), kind="stable"):
+            at = np.flatnonzero(bounds[:, node] >= lowest)
+            if not len(at):
+                continue
+            first = self.starts[node]
+            product = users[at] @ self.vectors[first : self.starts[node + 1]].T
+            row, column = np.nonzero(product >= lowest[at][:, None])
+            parts.append([at[row], first + column, np.round(product[row, column], 9)])
+            grown += len(row)
+            if grown > 4 * n * len(users):
+                parts = [self._cut(parts, lowest, n)]
+                grown = len(parts[0][0])
+        row, column, score = self._cut(parts, lowest, n)
+        return pd.DataFrame({"user_id": user_ids[row], "article_id": self.article_ids[column], "score": score})
+
+    def _cut(self, parts: list, lowest: np.ndarray, n: int) -> list[np.ndarray]:
+        row, column, score = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((self.article_ids[column], -score, row))
+        row, column, score = row[order], column[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == n - 1
+        lowest[row[last]] = np.maximum(lowest[row[last]], score[last] - 1e-8)
+        return [row[place < n], column[place < n], score[place < n]]
+
+
+def _best_of_shelf(n: int):
     def score(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if users.empty or items.empty:
             return pd.DataFrame({"user_id": [], "article_id": [], "score": []})
-        items = items.sort_values("article_id")
-        vectors, article_ids = np.stack(items["v"].to_numpy()), items["article_id"].to_numpy()
+        shelf = Shelf.of(items)
         found = []
-        for ids, packed in zip(users["ids"], users["vectors"]):
+        for ids, packed, bars in zip(users["ids"], users["vectors"], users["bars"]):
             ids = np.frombuffer(ids, np.int64)
-            found.append(_best(np.frombuffer(packed).reshape(len(ids), -1), ids, vectors, article_ids, n))
+            found.append(shelf.best(np.frombuffer(packed).reshape(len(ids), -1), ids, np.frombuffer(bars), n))
         return pd.concat(found)
 
     return score
@@ -288,20 +366,21 @@ def factor_topk(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_R
     The ``block`` items with the largest norms (at least n) are scored for every user where the
     users are read, and give each a first list; its last score is a bar. The items below are held
     in a tree of cones (`cone_tree`), of which every node has an upper bound for a user's scores
-    from the angle between them; users descend it in batches, and only nodes that can clear a
-    user's bar are multiplied with that user. Both sides of a node are spread over groups of
-    about a block of users. A node emits n rows per user, never all pairs.
+    from the angle between them; users descend it in batches. Nodes stand on shelves: a user is
+    sent once to each shelf with a node that can clear the user's bar, and there multiplied with
+    such nodes only. Shelves and users meet on a grid, so both are sent as often as the grid is
+    wide, not once per node. A shelf emits at most n rows per user, never all pairs.
 
-    The users' pass is stored, as lists and open nodes are read from it; that and building the
+    The users' pass is stored, as lists and open shelves are read from it; that and building the
     tree are the jobs that run while planning.
     """
     u, head, tree, rest = _prepared(users, items, n, block)
     if not head:
         return users.sparkSession.createDataFrame([], SCORED + ", rank INT")
     passed = stored(_first_pass(u, head, tree, n), "first-pass")
-    every = passed.where("node IS NULL").select("user_id", "article_id", "score")
+    every = passed.where("shelf IS NULL").select("user_id", "article_id", "score")
     if tree is not None:
-        every = every.unionByName(_of_nodes(passed.where("node IS NOT NULL"), rest, n, block))
+        every = every.unionByName(_of_shelves(passed.where("shelf IS NOT NULL"), rest, n))
     ranked = top_k(
         every.select("user_id", "article_id", stable(F.col("score")).alias("score")),
         ["user_id"],
@@ -311,17 +390,24 @@ def factor_topk(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_R
     return ranked.where("score >= 0")
 
 
-def _of_nodes(packets: DataFrame, items: DataFrame, n: int, block: int) -> DataFrame:
-    groups = packets.groupBy("node").agg(F.ceil(F.sum("users") / block).cast("int").alias("_groups"))
+def _of_shelves(packets: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    # A group's lists, too, are held by its task.
+    rows = max(1, min(SHELF_ROWS, 4 * HELD // n))
+    wanted = F.least(F.lit(_ways(packets)), F.count("*"))
+    groups = packets.groupBy("shelf").agg(F.greatest(F.ceil(F.sum("users") / rows), wanted).cast("int").alias("_groups"))
     left = (
-        packets.join(groups, "node")
+        packets.join(F.broadcast(groups), "shelf")
         .withColumn("group", F.pmod(F.xxhash64("ids"), F.col("_groups")).cast("int"))
-        .select(F.col("node").alias("n"), F.col("group").alias("g"), "ids", "vectors")
+        .select(F.col("shelf").alias("s"), F.col("group").alias("g"), "ids", "vectors", "bars")
+    )
+    right = items.join(F.broadcast(groups), "shelf").select(
+        "shelf", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("group"), "node", "article_id", "v"
     )
-    right = items.join(groups, "node").select(
-        "node", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("group"), "article_id", "v"
+    return (
+        fan_out(left, "s", "g").groupBy("s", "g")
+        .cogroup(fan_out(right, "shelf", "group").groupBy("shelf", "group"))
+        .applyInPandas(_best_of_shelf(n), SCORED)
     )
-    return left.groupBy("n", "g").cogroup(right.groupBy("node", "group")).applyInPandas(_best_of_node(n), SCORED)
 
 
 def open_share(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_ROWS) -> float:
@@ -329,7 +415,16 @@ def open_share(users: DataFrame, items: DataFrame, n: int, block: int = BLOCK_RO
     u, head, tree, rest = _prepared(users, items, n, block)
     if tree is None:
         return 0.0
-    visits = _first_pass(u, head, tree, n).where("node IS NOT NULL").groupBy("node").agg(F.sum("users").alias("users"))
+    ids, vectors = np.array([h[0] for h in head], np.int64), np.array([h[1] for h in head])
+
+    def visit(batches):
+        for batch in batches:
+            matrix = np.stack(batch["u"].to_numpy())
+            best = _best(matrix, np.arange(len(batch)), vectors, ids, n).groupby("user_id")["score"].min()
+            open_to = tree.open_nodes(matrix, best.to_numpy()).sum(axis=0)
+            yield pd.DataFrame({"node": np.arange(len(open_to)), "users": open_to})
+
+    visits = u.select("u").mapInPandas(visit, "node int, users bigint").groupBy("node").agg(F.sum("users").alias("users"))
     sizes = rest.groupBy("node").agg(F.count("*").alias("items"))
     multiplied = visits.join(sizes, "node").agg(F.sum(F.col("users") * F.col("items"))).first()[0] or 0
     return multiplied / (u.count() * rest.count())

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from scribelens.operators import factors as M
 from scribelens.operators import neighbours as N
 from scribelens.operators import topics as T
 from scribelens.operators.recommender import BlendRecommender, FixedLists
+from scribelens.session import scratch
 
 LISTS = "source STRING, user_id BIGINT, article_id BIGINT, score DOUBLE"
 
@@ -255,6 +257,22 @@ def test_cones_hold_copies_and_zero_vectors(spark):
         assert got[k] == [(j, pytest.approx(scores[k, j], abs=1e-8)) for j in best if scores[k, j] >= 0]
 
 
+def test_users_are_sent_to_shelves_not_to_nodes(spark):
+    """Independent directions of equal length: every node is open to every user."""
+    rng = np.random.default_rng(4)
+    items = rng.normal(size=(1500, 24))
+    items /= np.sqrt((items * items).sum(axis=1))[:, None]
+    users = rng.normal(size=(200, 24))
+    with scratch(spark) as folder:
+        got = ranked(M.factor_topk(*factor_frames(spark, users, items), 3, 8))
+        written = sum(f.stat().st_size for f in Path(folder).glob("first-pass-*/*.parquet"))
+    scores = np.round(users @ items.T, 9)
+    for k in range(200):
+        best = sorted(range(1500), key=lambda j: (-scores[k, j], j))[:3]
+        assert got[k] == [(j, pytest.approx(scores[k, j], abs=1e-8)) for j in best if scores[k, j] >= 0]
+    assert written < 20 * users.nbytes
+
+
 def hot_edits(spark, users=300):
     """Groups of users with articles of their own, and one article that a third of all edits are of."""
     rng = random.Random(12)
