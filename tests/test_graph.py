@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -7,6 +8,7 @@ from scribelens.operators import categories as C
 from scribelens.operators import closure as G
 from scribelens.operators import similarity as S
 from scribelens.plans.jobs import CategoryModel, build_category_model
+from scribelens.session import scratch
 
 
 def edges(spark, *rows):
@@ -121,6 +123,40 @@ def test_similarity_with_hot_category_and_copies(spark, monkeypatch, threshold):
     assert near == {(3, b) for b in sims[3]}
 
 
+def test_sets_meet_by_two_categories_where_one_is_frequent(spark):
+    """Sets that all have one frequent category in their prefix, and few of which are similar."""
+    rng = random.Random(9)
+    sets = {a: frozenset({0, 1 + a % 20} | {100 + rng.randrange(60) for _ in range(4)}) for a in range(400)}
+    rows = [(a, c, 1.0 if c < 100 else 0.9) for a, cs in sets.items() for c in cs]
+    weighted = spark.createDataFrame(rows, "article_id BIGINT, category_id BIGINT, weight DOUBLE")
+    groups = S.article_sets(weighted)
+    different = S.similar_sets(weighted, groups, 0.6).where("set_a < set_b").collect()
+    weights = {c: w for _, c, w in rows}
+    heads = {r.set_id for r in groups.collect()}
+    assert {(r.set_a, r.set_b): r.similarity for r in different} == pytest.approx(
+        brute_similarity({a: sets[a] for a in heads}, weights, 0.6)
+    )
+    keys = S._keys(S._prefixes(weighted.withColumnRenamed("article_id", "set_id"), 0.6), 0.6)
+    met = keys.groupBy("first", "second").count().selectExpr("sum(count * (count - 1) / 2) AS n").first().n
+    assert met < 400 * 399 / 2 / 4
+
+
+def test_sets_behind_enough_others_are_not_opened(spark):
+    """A user near many sets: only as many as the list is long are opened, and ties keep their order."""
+    members = [(10 * s + i, 10 * s, 5) for s in range(40) for i in range(5)]
+    members = spark.createDataFrame(members, "article_id BIGINT, set_id BIGINT, n_articles BIGINT")
+    similar = [(10 * s, 10 * s, 1.0) for s in range(40)] + [(10 * s, 10 * s + 10, 0.8) for s in range(0, 39, 2)]
+    similar = spark.createDataFrame(similar, "set_a BIGINT, set_b BIGINT, similarity DOUBLE")
+    own = [10 * s + (s % 3) for s in range(40)]
+    history = spark.createDataFrame([(1, a) for a in own], "user_id BIGINT, article_id BIGINT")
+    with scratch(spark) as folder:
+        got = [(r.article_id, r.score) for r in C.category_recommend(history, members, similar, 4).orderBy("rank").collect()]
+        opened = [spark.read.parquet(str(path)).count() for path in Path(folder).glob("opened-*")]
+    score = {10 * s + i: round((1.8 - (10 * s + i in own)) / 40, 9) for s in range(40) for i in range(5)}
+    assert got == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:4]
+    assert opened and opened[0] <= 8
+
+
 def test_model_round_trip(spark, tmp_path):
     e = edges(spark, (3, 2), (2, 1))
     links = spark.createDataFrame(
