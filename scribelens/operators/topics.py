@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, DistributedLDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -13,6 +16,8 @@ from scribelens.functions.ranking import stable, top_k
 TOP_TOPICS = 5
 PRF_THRESHOLD = 20
 CANDIDATE_FACTOR = 3
+MATRIX = 1 << 22  # entries of a matrix in a task
+GROUP_USERS = 8192  # users in a task, at most about
 STEP = 4  # a step of a topic list is so many times as long as the one before
 
 
@@ -221,33 +226,125 @@ def _scores(
 
 
 def _scores_of_all(
-    history: DataFrame, assignments: DataFrame, candidates: DataFrame, known: DataFrame | None
+    history: DataFrame, assignments: DataFrame, candidates: DataFrame, known: DataFrame | None, n: int
 ) -> DataFrame:
-    """Score of every candidate per user; rows of ``known`` are taken out."""
-    # From here on a user has at most one row per topic, so grouping by user is safe, and one
-    # exchange serves the sums, the exclusion and the final ranking.
-    profile = fan_out(topic_profile(history, assignments), "user_id")
-    total = F.sum("weight").over(Window.partitionBy("user_id"))
-    scored = (
-        profile.withColumn("_total", total)
-        .join(candidates, "topic")
-        .select(
-            "user_id",
-            F.col("doc_id").alias("article_id"),
-            (F.col("weight") * F.col("doc_weight") / F.col("_total")).alias("part"),
-            F.lit(False).alias("_seen"),
-        )
-    )
-    if known is not None:
+    """Scores of every candidate per user, of which the ``n`` best of each block of candidates are
+    returned; rows of ``known`` are taken out.
+
+    No row per user and candidate is formed: packed profiles of a group of users meet the matrix of
+    a block of candidates. Profiles are stored, so that their number is known.
+    """
+    profile = topic_profile(history, assignments)
+    users = profile.groupBy("user_id").agg(F.collect_list(F.struct("topic", "weight")).alias("topics"), F.sum("weight").alias("total"))
+    if known is None:
+        users = users.withColumn("seen", F.lit(None).cast("array<bigint>"))
+    else:
         docs = candidates.select(F.col("doc_id").alias("article_id")).distinct()
-        seen = known.join(docs, "article_id", "left_semi").select(
-            "user_id", "article_id", F.lit(0.0).alias("part"), F.lit(True).alias("_seen")
-        )
-        scored = scored.unionByName(fan_out(seen, "user_id"))
-    grouped = scored.groupBy("user_id", "article_id").agg(
-        stable(F.sum("part")).alias("score"), F.max("_seen").alias("_seen")
+        seen = known.join(docs, "article_id", "left_semi").groupBy(F.col("user_id").alias("_user"))
+        seen = seen.agg(F.collect_list("article_id").alias("seen"))
+        users = users.join(seen, F.col("user_id").eqNullSafe(F.col("_user")), "left").drop("_user")
+    # Each topic's weight is its share of the user's, which Spark divides.
+    share = F.transform("topics", lambda t: t["weight"] / F.col("total"))
+    packed = users.select("user_id", F.col("topics.topic").alias("topics"), share.alias("shares"), "seen")
+    packed = stored(packed, "profiles")
+    size = candidates.agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("topic").alias("topics")).first()
+    blocks = max(1, -(-size.docs * size.topics // MATRIX))
+    partitions = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, min(GROUP_USERS, MATRIX // n))
+    count = packed.count()
+    groups = max(-(-count // most), min(-(-partitions // blocks), -(-count // 64)), 1)
+    left = packed.withColumn("g", F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int")).withColumn(
+        "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
-    return grouped.where("NOT _seen").drop("_seen")
+    right = candidates.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn(
+        "g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    )
+    kinds = dict(history.dtypes)["user_id"], dict(candidates.dtypes)["doc_id"]
+    scored = (
+        left.groupBy("b", "g")
+        .cogroup(right.groupBy("b", "g"))
+        .applyInArrow(_best_of_block(n), f"user_id {kinds[0]}, article_id {kinds[1]}, score double")
+    )
+    return scored.withColumn("score", stable(F.col("score")))
+
+
+def _matrix(rows: np.ndarray, topics: np.ndarray, weights: np.ndarray, shape: tuple[int, int]):
+    """Weights by row and topic, where there are any, and where they are not null."""
+    null = np.isnan(weights)
+    dense, some = np.zeros(shape), np.zeros(shape, np.float32)
+    np.add.at(dense, (rows, topics), np.where(null, 0.0, weights))
+    some[rows, topics] = 1
+    valid = some
+    if null.any():
+        valid = np.zeros(shape, np.float32)
+        valid[rows[~null], topics[~null]] = 1
+    return dense, some, valid
+
+
+def _best_of_block(n: int):
+    def score(users: pa.Table, docs: pa.Table) -> pa.Table:
+        found = []
+        if users.num_rows and docs.num_rows:
+            ids = pc.unique(docs["doc_id"].combine_chunks())
+            ids = ids.take(pc.sort_indices(ids, null_placement="at_start"))
+            row = pc.index_in(docs["doc_id"].combine_chunks(), ids).to_numpy(zero_copy_only=False)
+            topics, column = np.unique(docs["topic"].to_numpy(), return_inverse=True)
+            items = _matrix(row, column, docs["doc_weight"].to_numpy(), (len(ids), len(topics)))
+            step = max(1, min(512, MATRIX // (2 * len(ids))))
+            for at in range(0, users.num_rows, step):
+                part = users.slice(at, step).combine_chunks()
+                user, doc, value = _best_of(part, items, ids, topics, n)
+                found.append(
+                    pa.table(
+                        [part["user_id"].take(pa.array(user)), ids.take(pa.array(doc)), pa.array(value, from_pandas=True)],
+                        names=["user_id", "article_id", "score"],
+                    )
+                )
+        if found:
+            return pa.concat_tables(found)
+        empty = pa.array([], users.schema.field("user_id").type), pa.array([], docs.schema.field("doc_id").type)
+        return pa.table([*empty, pa.array([], pa.float64())], names=["user_id", "article_id", "score"])
+
+    return score
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each entry of a column of lists, and the entries."""
+    whole = lists.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(whole)), lengths), whole.flatten()
+
+
+def _best_of(users: pa.Table, items: tuple, ids: pa.Array, topics: np.ndarray, n: int) -> tuple:
+    """Row of the user, place of the document and score of the ``n`` best; ties by document."""
+    dense, some, valid = items
+    row, topic = _flat(users["topics"])
+    weight = _flat(users["shares"])[1].to_numpy(zero_copy_only=False)
+    topic = topic.to_numpy(zero_copy_only=False)
+    place = np.minimum(np.searchsorted(topics, topic), len(topics) - 1)
+    here = topics[place] == topic
+    own = _matrix(row[here], place[here], weight[here], (users.num_rows, len(topics)))
+    # Unrounded here; as far as rounding to 9 digits decides, ties are kept by rounded score.
+    value = own[0] @ dense.T
+    key = np.round(value, 9)
+    if own[2] is not own[1] or valid is not some:
+        null = own[2] @ valid.T == 0
+        value[null], key[null] = np.nan, -1e300
+    # Where users and documents share no topic, and where the document is seen, there is no score.
+    key[own[1] @ some.T == 0] = -np.inf
+    if users["seen"].null_count < users.num_rows:
+        row, seen = _flat(users["seen"])
+        at = pc.index_in(seen.cast(ids.type), ids)
+        held = at.is_valid().to_numpy(zero_copy_only=False)
+        key[row[held], at.drop_null().to_numpy(zero_copy_only=False)] = -np.inf
+    most = min(n, key.shape[1])
+    bar = np.partition(key, -most, axis=1)[:, -most]
+    row, column = np.nonzero((key >= bar[:, None]) & (key > -np.inf))
+    order = np.lexsort((column, -key[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+    row, column = row[keep], column[keep]
+    return row, column, value[row, column]
 
 
 def scoring_work(history: DataFrame, assignments: DataFrame, n: int = 10) -> DataFrame:
@@ -295,7 +392,7 @@ def topic_recommend(
 
     def scores(edits: DataFrame, seen: DataFrame | None, most: int) -> DataFrame:
         if lists is None:
-            return _scores_of_all(edits, assignments, candidates, seen)
+            return _scores_of_all(edits, assignments, candidates, seen, most)
         return _scores(edits, assignments, lists, seen, most)
 
     known = history.select("user_id", "article_id").distinct()

@@ -273,6 +273,26 @@ def test_users_are_sent_to_shelves_not_to_nodes(spark):
     assert written < 20 * users.nbytes
 
 
+def test_topic_scores_are_formed_in_blocks(spark, monkeypatch):
+    """Only the best of a block leave it, not every pair of user and candidate; blocks change no row."""
+    monkeypatch.setattr(T, "MATRIX", 300)
+    rng = np.random.default_rng(8)
+    rows = [(d, int(t), float(rng.random())) for d in range(150) for t in rng.choice(12, 5, replace=False)]
+    assignments = spark.createDataFrame(rows, "doc_id BIGINT, topic INT, weight DOUBLE")
+    edits = [(u, int(a)) for u in range(20) for a in rng.choice(150, 1 + 2 * u, replace=False)] + [(None, 3)]
+    history = spark.createDataFrame(edits, "user_id BIGINT, article_id BIGINT")
+    whole = T.topic_recommend(history, assignments, 30)
+    assert whole.count() and whole.exceptAll(T.topic_recommend(history.where("user_id IS NOT NULL"), assignments, 30, bounded=True)).where(
+        "user_id IS NOT NULL"
+    ).isEmpty()
+    assert whole.where("user_id IS NULL").count() == 30
+    candidates = T._candidates(assignments, 50)
+    formed = T._scores_of_all(history, assignments, candidates, history, 3)
+    assert formed.groupBy("user_id").count().where("count > 3 * 6").isEmpty()
+    seen = formed.join(history, ["user_id", "article_id"], "left_semi")
+    assert seen.isEmpty()
+
+
 def hot_edits(spark, users=300):
     """Groups of users with articles of their own, and one article that a third of all edits are of."""
     rng = random.Random(12)
