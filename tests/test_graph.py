@@ -214,3 +214,16 @@ def test_weights_from_bitmaps(spark):
     of = C.category_weights_of(l, closure)
     assert found(of.select("category_id", "n_articles")) == found(plain.select("category_id", "n_articles"))
     assert {r[0]: r[2] for r in of.collect()} == pytest.approx({r[0]: r[2] for r in plain.collect()})
+
+
+def test_categories_of_articles_are_not_exchanged_as_pairs(spark):
+    e = edges(spark, *[(i, i // 2) for i in range(1, 40)])
+    rows = [(39, 7), (39, 7), (20, 7), (None, 8), (11, None), (50, 9)]
+    l = spark.createDataFrame(rows, "category_id BIGINT, article_id BIGINT")
+    got = C.article_categories(l, G.transitive_closure(e))
+    up = lambda c: {c} | (up(c // 2) if c and c < 40 else set())
+    want = [(a, c) for a, cs in {7: up(39) | up(20), 8: {None}, None: up(11), 9: {50}}.items() for c in cs]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split("), ")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert keys and not any("article_id" in k and "category_id" in k for k in keys)
