@@ -227,3 +227,22 @@ def test_categories_of_articles_are_not_exchanged_as_pairs(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     keys = [x.split("), ")[0] for x in plan.split("hashpartitioning(")[1:]]
     assert keys and not any("article_id" in k and "category_id" in k for k in keys)
+
+
+def test_weights_are_counted_without_bitmaps(spark):
+    """A bitmap of 4 KB for every category and range of articles is more than the articles themselves."""
+    e = edges(spark, (3, 2), (2, 1))
+    links = [(3, 10), (2, 10), (3, 32768 * 50), (7, None), (None, 11)]
+    l = spark.createDataFrame(links, "category_id BIGINT, article_id BIGINT")
+    got = C.category_weights_of(l, G.transitive_closure(e))
+    assert {r.category_id: r.n_articles for r in got.collect()} == {3: 2, 2: 2, 1: 2, 7: 0, None: 1}
+    assert {r.category_id: r.weight for r in got.collect()} == pytest.approx({3: 1 / 3, 2: 1 / 3, 1: 1 / 3, 7: 1.0, None: 2 / 3})
+
+
+def test_weights_are_not_gathered_as_bitmaps(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("bitmap")
+
+    monkeypatch.setattr(C.F, "bitmap_construct_agg", never)
+    e, l = edges(spark, (3, 2)), spark.createDataFrame([(3, 10)], "category_id BIGINT, article_id BIGINT")
+    assert found(C.category_weights_of(l, G.transitive_closure(e)).select("category_id", "n_articles")) == {(3, 1), (2, 1)}
