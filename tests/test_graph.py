@@ -246,3 +246,20 @@ def test_weights_are_not_gathered_as_bitmaps(spark, monkeypatch):
     monkeypatch.setattr(C.F, "bitmap_construct_agg", never)
     e, l = edges(spark, (3, 2)), spark.createDataFrame([(3, 10)], "category_id BIGINT, article_id BIGINT")
     assert found(C.category_weights_of(l, G.transitive_closure(e)).select("category_id", "n_articles")) == {(3, 1), (2, 1)}
+
+
+def test_weights_go_to_the_memberships(spark, monkeypatch):
+    """Memberships are not exchanged by category, whatever Spark takes for small; beyond the bound they are."""
+    members = spark.createDataFrame([(a, c) for a in range(20) for c in range(a % 5 + 1)], "article_id BIGINT, category_id BIGINT")
+    want = {(a, c): 1 - (20 - 4 * c) / 20 for a in range(20) for c in range(a % 5 + 1)}
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for bound, sent in ((1 << 20, True), (1, False)):
+            monkeypatch.setattr(C, "BROADCAST_WEIGHTS", bound)
+            got = C.weighted_memberships(members, C.category_weights(members))
+            assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == sent
+            assert {(r.article_id, r.category_id): r.weight for r in got.collect()} == pytest.approx(want)
+    finally:
+        spark.conf.set(threshold, old)
