@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scribelens.functions.layout import bucket_count, bucketed, stored
 
 VOCABULARY_SIZE = 10_000
-TRACKED = 100  # terms a task keeps for each term of the vocabulary
+TRACKED = 20  # terms a task keeps for each term of the vocabulary: all cores of an executor hold as many
 
 
 def _summaries(tokens: DataFrame, capacity: int) -> DataFrame:

@@ -182,6 +182,14 @@ def test_vocabulary_from_summaries(spark, capacity):
     assert [(r.term, r.n) for r in got] == want and [r.idx for r in got] == list(range(10))
 
 
+def test_tasks_hold_a_bounded_number_of_terms(spark):
+    """By default a task sends at most 40 terms for each of the vocabulary, and the counts stay exact."""
+    docs = [(d, ["hot", "warm"] * 20 + [f"w{d}x{i}" for i in range(40)]) for d in range(60)]
+    tokens = spark.createDataFrame(docs, "doc_id BIGINT, tokens ARRAY<STRING>").coalesce(1)
+    assert K._summaries(tokens, K.TRACKED * 2).count() <= 2 * 20 * 2 + 1
+    assert [(r.term, r.n) for r in K.vocabulary(tokens, 2).orderBy("idx").collect()] == [("hot", 1200), ("warm", 1200)]
+
+
 def test_vocabulary_of_nothing(spark):
     tokens = spark.createDataFrame([(1, [])], "doc_id BIGINT, tokens ARRAY<STRING>")
     assert K.vocabulary(tokens).isEmpty() and K.vocabulary(tokens.limit(0)).isEmpty()
