@@ -22,6 +22,8 @@ NODES = 1 << 16  # nodes of the lower level, about, at most
 BATCH_USERS = 512  # users scored at once, at most
 HELD = 1 << 20  # list entries held for the users scored at once
 SHELF_ROWS = 1 << 16  # items of a shelf, and users that meet it in one group, at most about
+FACTORS_SENT = 1 << 22  # factors that half an iteration of the fit sends, as far as the least number of blocks allows
+LEAST_BLOCKS = 3
 SCORED = "user_id BIGINT, article_id BIGINT, score DOUBLE"
 
 
@@ -37,15 +39,15 @@ def train_factors(
     """Alternating least squares on (user_id, article_id, rating).
 
     ``blocks`` is the number of user and of item blocks, by default one per core and at least
-    ten: a block's factors must fit a task.
+    ten, but fewer where users and items are many: see `_blocks`.
     """
     shared_dir(ratings.sparkSession)  # lets the iterations checkpoint
-    blocks = blocks or max(10, ratings.sparkSession.sparkContext.defaultParallelism)
     data = ratings.select(
         int32(F.col("user_id")).alias("user"),
         int32(F.col("article_id")).alias("item"),
         F.col("rating").cast("float").alias("rating"),
     )
+    blocks = blocks or _blocks(data)
     return ALS(
         implicitPrefs=True,
         rank=rank,
@@ -59,6 +61,18 @@ def train_factors(
     ).fit(data)
 
 
+def _blocks(data: DataFrame) -> int:
+    """How many blocks of (user, item) a fit gets.
+
+    Every iteration sends a factor to nearly all blocks of the other side, so what is exchanged is
+    the number of factors times that of blocks, while a block needs nearly all factors of the other
+    side however many blocks there are. Large tables therefore get fewer blocks, down to a few.
+    """
+    most = max(10, data.sparkSession.sparkContext.defaultParallelism)
+    ids = data.agg(F.approx_count_distinct("user") + F.approx_count_distinct("item")).first()[0]
+    return min(most, max(LEAST_BLOCKS, FACTORS_SENT // max(1, ids)))
+
+
 def user_factors(model: ALSModel) -> DataFrame:
     return model.userFactors.select(
         F.col("id").cast("bigint").alias("user_id"), F.col("features").cast("array<double>")

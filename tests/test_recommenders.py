@@ -154,6 +154,17 @@ def test_als_round_trip(spark, pairs, tmp_path):
     assert ranked(M.recommend_factors(M.train_factors(ratings, rank=4, iterations=3), users, 3)) == first
 
 
+def test_many_factors_are_dealt_to_few_blocks(spark, monkeypatch):
+    ratings = spark.range(200).selectExpr("id % 40 AS user_id", "id % 25 AS article_id", "1.0 + id % 3 AS rating")
+    monkeypatch.setattr(M.ALS, "fit", lambda als, data: (als.getNumUserBlocks(), als.getNumItemBlocks()))
+    assert M.train_factors(ratings) == (10, 10)
+    monkeypatch.setattr(M, "FACTORS_SENT", 350)  # for 65 ids, or about as many
+    assert M.train_factors(ratings) == (5, 5)
+    monkeypatch.setattr(M, "FACTORS_SENT", 65)
+    assert M.train_factors(ratings) == (M.LEAST_BLOCKS, M.LEAST_BLOCKS)
+    assert M.train_factors(ratings, blocks=7) == (7, 7)
+
+
 def test_ids_outside_int_range_fail(spark):
     ratings = spark.createDataFrame([(2**40, 1, 1.0)], "user_id BIGINT, article_id BIGINT, rating DOUBLE")
     with pytest.raises(Exception, match="32-bit"):
