@@ -6,7 +6,8 @@ is a candidate if both its halves are repeated. This goes on until no candidate
 wanted length is reached.
 
 Documents are written once in chunks of bounded size, bucketed by chunk, so every level reads
-them without an exchange. A chunk sends each distinct candidate once: its hash picks a bucket,
+them without an exchange. The hashes of their words are written beside them: no level splits the
+texts again, and only the last step reads them. A chunk sends each distinct candidate once: its hash picks a bucket,
 and of the rest 32 bits travel, sorted and as differences, about two bytes a window. A bucket
 answers each chunk with one bit per window it sent. Two different windows that share these bits
 only let a candidate through; at the last length 96 further bits are compared and the smallest
@@ -54,6 +55,12 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+def hashes(text: str | None) -> bytes:
+    """64 bits for each word."""
+    words = split(text)
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)).tobytes()
+
+
 def _mix(x: np.ndarray, odd: np.uint64) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= odd
@@ -101,11 +108,10 @@ class Chunk:
         self.null = doc.is_null().to_numpy(zero_copy_only=False)
         ids = doc.fill_null(NOBODY).to_numpy()
         by = np.lexsort((rows["row"].to_numpy(), ids))
-        self.ids, self.null, self.texts = ids[by], self.null[by], rows["text"].take(pa.array(by))
-        get = _WORDS.__getitem__
-        hashed = [np.fromiter(map(get, words), np.uint64, len(words)) for t in self.texts for words in [split(t.as_py())]]
-        self.lengths = np.array([len(h) for h in hashed], np.int64)
-        self.words = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        self.order, self.ids, self.null = by, ids[by], self.null[by]
+        hashed = rows["words"].take(pa.array(by)).to_pylist()
+        self.lengths = np.array([len(h) // 8 for h in hashed], np.int64)
+        self.words = np.frombuffer(b"".join(hashed), np.uint64)
         self.ends = np.cumsum(self.lengths)
         self.levels = levels
 
@@ -253,7 +259,7 @@ def _cleaned(rows: pa.Table, replies: pa.Table, levels: list[int], buckets: list
         answers = _masks(replies, buckets)
         gone = own.covered(own.candidates(answers[:-1]), *answers[-1])
     out = []
-    for i, t in enumerate(own.texts):
+    for i, t in enumerate(rows["text"].take(pa.array(own.order))):
         end, size = int(own.ends[i]), int(own.lengths[i])
         words, drop = split(t.as_py()), gone[end - size : end]
         n = int(drop.sum())
@@ -264,7 +270,10 @@ def _cleaned(rows: pa.Table, replies: pa.Table, levels: list[int], buckets: list
 
 
 def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """chunk, row, n_bytes, doc_id, text, bucketed by chunk: consecutive rows of about ``chunk_bytes``."""
+    """chunk, row, n_bytes, words, doc_id, text, bucketed by chunk: consecutive rows of about ``chunk_bytes``.
+
+    ``words`` holds the hashes of the text's words.
+    """
 
     def make():
         from pyspark import TaskContext
@@ -280,8 +289,9 @@ def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_b
                 room, row = room - size, row + 1
                 numbers.append(chunk)
                 rows.append(row)
-            columns = [pa.array(numbers, pa.int64()), pa.array(rows, pa.int64()), batch.column(2), *batch.columns[:2]]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "row", "n_bytes", "doc_id", "text"])
+            words = pa.array([hashes(t.as_py()) for t in batch.column(1)], pa.binary())
+            columns = [pa.array(numbers, pa.int64()), pa.array(rows, pa.int64()), batch.column(2), words, *batch.columns[:2]]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "row", "n_bytes", "words", "doc_id", "text"])
 
         return step
 
@@ -290,7 +300,7 @@ def chunked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_b
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
     )
-    rows = map_batches(given, make, "chunk long, row long, n_bytes long, doc_id long, text string")
+    rows = map_batches(given, make, "chunk long, row long, n_bytes long, words binary, doc_id long, text string")
     return bucketed(rows, "chunks", bucket_count(docs.sparkSession), "chunk")
 
 
@@ -319,7 +329,7 @@ def drop_repeats(
     if levels[-1] != length:
         raise ValueError("the length must be the base times a power of two")
     chunks = chunked(docs, text, doc_id, chunk_bytes)
-    rows = chunks.select("chunk", "row", "doc_id", "text").groupBy("chunk")
+    rows = chunks.select("chunk", "row", "words", "doc_id").groupBy("chunk")
     entries = (chunks.agg(F.sum("n_bytes")).first()[0] or 0) // 6
     least = min(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets: list[int] = []
@@ -334,6 +344,7 @@ def drop_repeats(
             break
         replies = found if replies is None else replies.unionByName(found)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    rows = chunks.select("chunk", "row", "words", "doc_id", "text").groupBy("chunk")
     return _with_replies(rows, replies, _cleaner(levels, buckets, with_text), schema)
 
 

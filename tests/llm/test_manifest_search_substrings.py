@@ -230,3 +230,14 @@ def test_windows_are_doubled():
     assert again[0] == whole[30] and len(set(whole.tolist())) == 81
     packed = np.sort(whole.astype(np.uint32))
     assert (substrings._unpack(substrings._pack(packed)) == packed).all()
+
+
+def test_levels_read_hashes_instead_of_texts(spark):
+    rows = [(2, "a  b a"), (1, None), (None, "é b")]
+    made = substrings.chunked(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1))
+    held = {r.doc_id: np.frombuffer(r.words, np.uint64).tolist() for r in made.collect()}
+    assert held[1] == [] and held[2][0] == held[2][2] != held[2][1] == held[None][1]
+    columns = ["chunk", "row", "words", "doc_id"]  # no text
+    own = substrings.Chunk(made.select(*columns).toArrow(), [5, 10, 20])
+    assert own.ids[:2].tolist() == [1, 2] and own.lengths.tolist() == [0, 3, 2]
+    assert own.words.tolist() == held[2] + held[None]
