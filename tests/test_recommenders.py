@@ -196,6 +196,25 @@ def test_user_knn_matches_brute_force(spark):
     assert N.hits(N.user_knn(edits, active, 4, 6), edits).where("n_hits > 0").isEmpty()
 
 
+@pytest.mark.parametrize("optimizer", ["online", "em"])
+def test_inference_leaves_out_vanished_topics(spark, monkeypatch, optimizer):
+    """The rows of the model's own inference, without it."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(4)
+    data = [(d, Vectors.sparse(90, sorted((i, 1.0 + rng.randrange(4)) for i in rng.sample(range(90), 15)))) for d in range(40)]
+    data += [(None, Vectors.dense([rng.randrange(3) for _ in range(90)])), (50, Vectors.sparse(90, [], [])), (3, data[3][1])]
+    docs = spark.createDataFrame(data, ["doc_id", "features"])
+    model = T.train_topics(docs, 200, 3, seed=7, optimizer=optimizer)
+    own = model.transform(docs).select("doc_id", vector_to_array("topicDistribution").alias("weights"))
+    wanted = sorted(map(tuple, T.top_topics(own).collect()), key=repr)
+    monkeypatch.setattr(type(model), "transform", None)
+    got = sorted(map(tuple, T.infer_topics(model, docs).collect()), key=repr)
+    assert len(got) == 5 * 43 and [r[:2] for r in got] == [r[:2] for r in wanted]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], rel=1e-5)
+
+
 @pytest.mark.parametrize("optimizer", ["online", "em"])
 def test_topic_models_reload(spark, tmp_path, optimizer):
     from pyspark.ml.linalg import Vectors
