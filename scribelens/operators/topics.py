@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scribelens.functions.layout import fan_out, stored
 from scribelens.functions.ranking import stable, top_k
+from scribelens.operators.topic_fit import BlockLDA
 
 TOP_TOPICS = 5
 PRF_THRESHOLD = 20
@@ -45,9 +46,13 @@ def train_topics(
     seed: int = 1,
     optimizer: str = "online",
 ):
-    """Fit a topic model on a seeded sample of (doc_id, features)."""
+    """Fit a topic model on a seeded sample of (doc_id, features).
+
+    Expectation maximisation gives the model in its local form.
+    """
     data = vectors if sample >= 1.0 else vectors.sample(False, sample, seed)
-    lda = LDA(
+    kind = BlockLDA if optimizer == "em" else LDA
+    lda = kind(
         k=topics,
         maxIter=iterations,
         optimizer=optimizer,

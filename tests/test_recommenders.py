@@ -235,6 +235,40 @@ def test_topic_models_reload(spark, tmp_path, optimizer):
     assert all(best[t, k + 1] == sorted(w, reverse=True)[k] for t, w in by_topic.items() for k in range(3))
 
 
+def test_expectation_maximisation_in_blocks(spark, monkeypatch):
+    """The model of `pyspark.ml`, whose own fit over a graph is not run."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.linalg import Vectors
+
+    from scribelens.operators import topic_fit
+
+    rng = random.Random(9)
+    data = [(d, Vectors.sparse(40, sorted((i, 1.0 + rng.randrange(4)) for i in rng.sample(range(40), 1 + d % 20)))) for d in range(150)]
+    data[7] = (7, Vectors.dense([rng.randrange(3) for _ in range(40)]))
+    data += [(None, Vectors.sparse(40, [], [])), (3, data[3][1]), (160, Vectors.sparse(40, [2, 5], [0.0, 1e6]))]
+    docs = spark.createDataFrame(data, ["doc_id", "features"]).repartition(5).cache()
+    wanted = LDA(k=30, maxIter=6, optimizer="em", seed=3).fit(docs)
+    for name, value in {"BLOCK": 16, "HELD": 2, "DRAWN": 3, "STEP": 4, "ROWS": 7, "FAN_IN": 2}.items():
+        monkeypatch.setattr(topic_fit, name, value)
+    monkeypatch.setattr(LDA, "_fit_java", None)
+    model = T.train_topics(docs, 30, 6, seed=3, optimizer="em")
+    assert model.topicsMatrix().toArray() == pytest.approx(wanted.topicsMatrix().toArray(), rel=1e-7)
+    assert [r[:2] for r in model.describeTopics(3).collect()] == [r[:2] for r in wanted.describeTopics(3).collect()]
+    assert list(model.estimatedDocConcentration()) == list(wanted.estimatedDocConcentration())
+
+
+def test_stored_weights_are_exact_to_35_binary_digits():
+    import numpy as np
+
+    from scribelens.operators import topic_fit
+
+    rng = np.random.default_rng(1)
+    weights = 0.125 * (1 + np.exp(rng.uniform(-30, 20, (50, 8))))
+    weights[0] = 0.125
+    again = topic_fit._unpacked(topic_fit._packed(weights, 0.125), 8, 0.125)
+    assert (again[0] == 0.125).all() and again == pytest.approx(weights, rel=2**-36)
+
+
 # How much work the recommenders do
 
 
