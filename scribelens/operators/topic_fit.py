@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scribelens.session import remove, scratch, shared_path
 
 STATE = "terms binary, counts binary, weights binary, sums boolean"
-STATE_BYTES = 5  # a weight of a document
+STATE_BYTES = 6  # a weight of a document
 SUMS = "terms binary, weights binary"
 BLOCK = 1024  # documents multiplied at once
 HELD = 4  # blocks whose documents are sorted at the start
@@ -47,7 +47,7 @@ class BlockLDA(LDA):
         size = vectors.first()["features"].size
         alpha, eta = 50.0 / k + 1.0, 1.1
         tasks = max(1, 2 * STATE_BYTES * dataset.count() // (8 * size))
-        with scratch(spark), _batches(spark):
+        with scratch(spark), _batches(spark, BLOCK):
             state = _written(vectors.coalesce(tasks).mapInArrow(_start(size, k, seed, alpha - 1.0), STATE))
             counts = _added(spark, state, size, k)
             for left in range(self.getMaxIter(), 0, -1):
@@ -62,11 +62,11 @@ class BlockLDA(LDA):
 
 
 @contextmanager
-def _batches(spark) -> Iterator[None]:
-    """Rows of documents are thousands of bytes long: a batch is one block."""
+def _batches(spark, rows: int) -> Iterator[None]:
+    """Rows of documents take thousands of bytes, those of sums a million: batches of fewer rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(BLOCK))
+    spark.conf.set(name, str(rows))
     try:
         yield
     finally:
@@ -87,15 +87,19 @@ def _written(df: DataFrame) -> str:
 def _added(spark, path: str, size: int, k: int) -> np.ndarray:
     """The sums by term of all tasks, in the driver like any model of `pyspark.ml`. Their rows are removed."""
     held = f"{path}/sums=true"
-    sums = spark.read.schema(SUMS).parquet(held).rdd
-    while (partitions := sums.getNumPartitions()) > FAN_IN:
-        fewer = sums.coalesce(-(-partitions // FAN_IN)).mapPartitions(_adder(size, k))
-        fewer.toDF(SUMS).write.parquet(less := shared_path(spark, "topic-sums"))
-        remove(spark, held)
-        sums = spark.read.schema(SUMS).parquet(held := less).rdd
-    added = np.zeros((size, k))
-    for terms, weights in sums.coalesce(1).mapPartitions(_adder(size, k)).collect():
-        added[np.frombuffer(terms, np.int32)] = np.frombuffer(weights).reshape(-1, k)
+    with _batches(spark, 8):
+        while True:
+            sums = spark.read.schema(SUMS).parquet(held)
+            tasks = -(-sums.rdd.getNumPartitions() // FAN_IN)
+            sums = sums.coalesce(max(1, tasks)).mapInArrow(_adder(size, k), SUMS)
+            if tasks <= 1:
+                break
+            sums.write.parquet(less := shared_path(spark, "topic-sums"))
+            remove(spark, held)
+            held = less
+        added = np.zeros((size, k))
+        for row in sums.collect():
+            added[np.frombuffer(row.terms, np.int32)] = np.frombuffer(row.weights).reshape(-1, k)
     remove(spark, held)
     return added
 
@@ -130,19 +134,18 @@ def _values(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(theta: np.ndarray, least: float) -> np.ndarray:
-    """Five bytes a weight: its distance from ``least``, in doubles, without the last 17 bits.
+    """Six bytes a weight: its distance from ``least``, in doubles, without the last 9 bits.
 
-    That keeps 35 binary digits of a weight up to 2^32 times ``least``.
+    That keeps 43 binary digits of a weight up to 2^32 times ``least``.
     """
-    code = (np.ascontiguousarray(theta).view(np.uint64) - np.float64(least).view(np.uint64) + np.uint64(1 << 16)) >> np.uint64(17)
-    low = code.astype(np.uint32).view(np.uint8)
-    return np.hstack([low, (code >> np.uint64(32)).astype(np.uint8)])
+    code = (np.ascontiguousarray(theta).view(np.uint64) - np.float64(least).view(np.uint64) + np.uint64(1 << 8)) >> np.uint64(9)
+    return np.hstack([code.astype(np.uint32).view(np.uint8), (code >> np.uint64(32)).astype(np.uint16).view(np.uint8)])
 
 
 def _unpacked(rows: np.ndarray, k: int, least: float) -> np.ndarray:
     low = np.ascontiguousarray(rows[:, : 4 * k]).view(np.uint32).astype(np.uint64)
-    code = (rows[:, 4 * k :].astype(np.uint64) << np.uint64(32)) | low
-    return ((code << np.uint64(17)) + np.float64(least).view(np.uint64)).view(np.float64)
+    high = np.ascontiguousarray(rows[:, 4 * k :]).view(np.uint16).astype(np.uint64)
+    return ((((high << np.uint64(32)) | low) << np.uint64(9)) + np.float64(least).view(np.uint64)).view(np.float64)
 
 
 def _document_rows(terms: np.ndarray, counts: np.ndarray, ends: np.ndarray, theta: np.ndarray, least: float) -> pa.RecordBatch:
@@ -166,13 +169,15 @@ def _ending(sums: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _adder(size: int, k: int):
-    def run(rows: Iterator[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, met = np.zeros((size, k)), np.zeros(size, bool)
-        for terms, weights in rows:
-            at = np.frombuffer(terms, np.int32)
-            sums[at] += np.frombuffer(weights).reshape(-1, k)
-            met[at] = True
-        yield from _sum_rows(sums, met)
+        for batch in batches:
+            for terms, weights in zip(*batch.columns):
+                at = np.frombuffer(terms.as_buffer(), np.int32)
+                sums[at] += np.frombuffer(weights.as_buffer()).reshape(-1, k)
+                met[at] = True
+        for row in _sum_rows(sums, met):
+            yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary()) for value in row], names=["terms", "weights"])
 
     return run
 

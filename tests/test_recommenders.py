@@ -257,16 +257,14 @@ def test_expectation_maximisation_in_blocks(spark, monkeypatch):
     assert list(model.estimatedDocConcentration()) == list(wanted.estimatedDocConcentration())
 
 
-def test_stored_weights_are_exact_to_35_binary_digits():
-    import numpy as np
-
+def test_stored_weights_are_exact_to_43_binary_digits():
     from scribelens.operators import topic_fit
 
     rng = np.random.default_rng(1)
     weights = 0.125 * (1 + np.exp(rng.uniform(-30, 20, (50, 8))))
     weights[0] = 0.125
     again = topic_fit._unpacked(topic_fit._packed(weights, 0.125), 8, 0.125)
-    assert (again[0] == 0.125).all() and again == pytest.approx(weights, rel=2**-36)
+    assert (again[0] == 0.125).all() and again == pytest.approx(weights, rel=2**-44)
 
 
 # How much work the recommenders do
