@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.common import _py2java
-from pyspark.ml.linalg import DenseMatrix, DenseVector
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +105,16 @@ def _added(spark, path: str, size: int, k: int) -> np.ndarray:
 
 
 def _model(spark, counts: np.ndarray, alpha: float, eta: float, seed: int) -> LocalLDAModel:
-    sc, jvm = spark.sparkContext, spark._jvm
+    """The local form of a model, for which the counts go to the JVM a few topics at a time."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
     size, k = counts.shape
+    values = gateway.new_array(jvm.double, size * k)
+    for topic in range(0, k, 16):
+        some = counts[:, topic : topic + 16].T.astype(">f8")
+        jvm.java.nio.ByteBuffer.wrap(bytearray(some.tobytes())).asDoubleBuffer().get(values, topic * size, some.size)
     linalg = jvm.org.apache.spark.mllib.linalg
-    topics = linalg.Matrices.fromML(_py2java(sc, DenseMatrix(size, k, counts.ravel(order="F"))))
-    prior = linalg.Vectors.fromML(_py2java(sc, DenseVector(np.full(k, alpha))))
+    prior = linalg.Vectors.fromML(_py2java(spark.sparkContext, DenseVector(np.full(k, alpha))))
+    topics = linalg.Matrices.dense(size, k, values)
     local = jvm.org.apache.spark.mllib.clustering.LocalLDAModel(topics, prior, eta, GAMMA_SHAPE).setSeed(seed)
     uid = LocalLDAModel.__name__ + "_" + shared_path(spark, "")[-12:]
     return LocalLDAModel(jvm.org.apache.spark.ml.clustering.LocalLDAModel(uid, size, local, spark._jsparkSession))
