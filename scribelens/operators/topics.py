@@ -63,17 +63,22 @@ def train_topics(
     return lda.fit(data)
 
 
-def infer_topics(model, vectors: DataFrame, top: int = TOP_TOPICS) -> DataFrame:
+def infer_topics(model, vectors: DataFrame, top: int | None = TOP_TOPICS, documents: int | None = None) -> DataFrame:
     """Assignments of any document set, also one the model was not trained on.
 
     The rows are those of `top_topics` over ``model.transform``, whose inference this repeats from
-    the same start. It leaves out a document's vanished topics, soon nearly all of them.
+    the same start. It leaves out a document's vanished topics, soon nearly all of them. With
+    ``top=None`` a document is assigned to all topics. With ``documents`` a task returns only the
+    strongest ones of each topic among its own: all that `top_documents` can choose from.
     """
     spark = vectors.sparkSession
     table = spark.sparkContext.broadcast(_inference_table(spark, model))
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "topic", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beta, alpha, start = table.value
+        strongest = None
         for batch in batches:
             docs, topics, weights = [], [], []
             for row, vector in enumerate(batch.column(1)):
@@ -86,12 +91,26 @@ def infer_topics(model, vectors: DataFrame, top: int = TOP_TOPICS) -> DataFrame:
                 weights.append(found[best])
             if docs:
                 columns = [batch.column(0).take(pa.array(np.concatenate(docs))), *map(pa.array, map(np.concatenate, (topics, weights)))]
-                yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int32()), columns[2]], names=["doc_id", "topic", "weight"])
+                assigned = pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int32()), columns[2]], names=names)
+                if documents is None:
+                    yield assigned
+                else:
+                    strongest = _strongest([assigned] if strongest is None else [*strongest.to_batches(), assigned], documents)
+        if strongest is not None:
+            yield from strongest.to_batches()
 
-    kind = vectors.schema["doc_id"].dataType.simpleString()
     return vectors.select("doc_id", "features").mapInArrow(run, f"doc_id {kind}, topic int, weight double")
 
 
+def _strongest(batches: list[pa.RecordBatch], documents: int) -> pa.Table:
+    """So many documents of each topic, in the order of `top_docs_per_topic`."""
+    rows = pa.Table.from_batches(batches)
+    keys = [("topic", "ascending"), ("weight", "descending"), ("doc_id", "ascending")]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start")).combine_chunks()
+    topic = rows["topic"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(topic)) - np.searchsorted(topic, topic) < documents)).combine_chunks()
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     """Of positive numbers: six steps up, then the asymptotic series."""
     pairs, twice, far = x * (x + 5.0), 2.0 * x + 5.0, x + 6.0

@@ -49,6 +49,11 @@ def test_described_topics(spark):
     assert len(rows) == 3 * 400 and {r["rank"] for r in rows} == {1, 2, 3}
 
 
+def test_every_topic_has_its_strongest_documents(spark):
+    rows = all_queries()["top_documents"](spark, FOLDER).collect()
+    assert len(rows) == 3 * 400 and {r["rank"] for r in rows} == {1, 2, 3}
+
+
 def test_factor_lists_survive_reloading(spark):
     first = {(r.user_id, r["rank"]): r.article_id for r in all_queries()["als_recommend"](spark, FOLDER).collect()}
     again = {(r.user_id, r["rank"]): r.article_id for r in all_queries()["als_reload_recommend"](spark, FOLDER).collect()}

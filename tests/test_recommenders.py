@@ -215,6 +215,28 @@ def test_inference_leaves_out_vanished_topics(spark, monkeypatch, optimizer):
     assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], rel=1e-5)
 
 
+@pytest.mark.parametrize("optimizer", ["online", "em"])
+def test_strongest_documents_come_from_all_topics(spark, optimizer):
+    """Also of topics that are among the five strongest of few documents or none."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(6)
+    data = [(d, Vectors.sparse(50, sorted((i, 1.0 + rng.randrange(4)) for i in rng.sample(range(50), 9)))) for d in range(60)]
+    data += [(None, data[5][1]), (70, data[5][1]), (5, data[5][1]), (80, Vectors.sparse(50, [], []))]
+    docs = spark.createDataFrame(data, ["doc_id", "features"]).repartition(3).cache()
+    model = T.train_topics(docs, 40, 3, seed=7, optimizer=optimizer)
+    every = T.infer_topics(model, docs, None)
+    assert every.count() == 64 * 40
+    own = model.transform(docs).select("doc_id", vector_to_array("topicDistribution").alias("weights"))
+    wanted = T.top_documents(T.top_topics(own, 40), 3).orderBy("topic", "rank").collect()
+    cut = T.infer_topics(model, docs, None, 3)
+    assert cut.count() <= 3 * 3 * 40 and cut.exceptAll(every).isEmpty()
+    got = T.top_documents(cut, 3).orderBy("topic", "rank").collect()
+    assert len(got) == 3 * 40 and [r.weight for r in got] == pytest.approx([r.weight for r in wanted], rel=1e-5)
+    assert T.top_documents(every, 3).exceptAll(T.top_documents(cut, 3)).isEmpty()
+
+
 @pytest.mark.parametrize("optimizer", ["online", "em"])
 def test_topic_models_reload(spark, tmp_path, optimizer):
     from pyspark.ml.linalg import Vectors
