@@ -1,9 +1,10 @@
-"""Topic models by expectation maximisation, without a graph of documents and terms."""
+"""Topic models, by expectation maximisation without a graph of documents and terms, and from batches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scribelens.operators.topic_inference import GAMMA_SHAPE, draws, variational, weights_of
 from scribelens.session import remove, scratch, shared_path
 
 STATE = "terms binary, counts binary, weights binary, sums boolean"
@@ -26,7 +28,6 @@ DRAWN = 64  # entries drawn at once
 STEP = 256  # rows of weights gathered at once
 ROWS = 256  # terms in a row of sums
 FAN_IN = 16  # tables of sums that a task adds up
-GAMMA_SHAPE = 100.0  # of the local form of a model, as `pyspark.ml` sets it
 
 
 class BlockLDA(LDA):
@@ -61,6 +62,65 @@ class BlockLDA(LDA):
         return self._copyValues(_model(spark, counts, alpha, eta, seed))
 
 
+class BatchLDA(LDA):
+    """The fit of `pyspark.ml` with the optimizer "online" and its default priors, from the same start
+    and over the same batches.
+
+    That one infers the topics of a batch's documents with all topics to the end. Here a document's
+    vanished topics are left out (see `variational`), and there are as many tasks as cores at most,
+    so that the sums by term, of which each task has its own, do not grow with the documents.
+    """
+
+    def _fit(self, dataset: DataFrame) -> LocalLDAModel:
+        spark, k = dataset.sparkSession, self.getK()
+        vectors = dataset.select(F.col(self.getFeaturesCol()).alias("features"))
+        documents, size = dataset.count(), vectors.first()["features"].size
+        alpha = eta = 1.0 / k
+        random = spark._jvm.java.util.Random(self.getSeed())
+        counts = np.ascontiguousarray(draws(spark, random.nextLong(), size * k).reshape(k, size).T)
+        share, done = self.getSubsamplingRate(), 0
+        whole = documents / ceil(share * documents)
+        rows = vectors._jdf.toJavaRDD()
+        with scratch(spark):
+            for _ in range(self.getMaxIter()):
+                batch = rows.sample(True, share, random.nextLong())
+                if batch.isEmpty():
+                    continue
+                done += 1
+                seed = random.nextLong()
+                parts = batch.getNumPartitions()
+                starts = np.array([draws(spark, seed + part, k) for part in range(parts)])
+                table = spark.sparkContext.broadcast((weights_of(counts), np.full(k, alpha), starts))
+                frame = DataFrame(spark._jsparkSession.createDataFrame(batch, vectors._jdf.schema()), spark)
+                frame = frame.select("features", F.spark_partition_id().alias("part"))
+                frame = frame.coalesce(max(1, min(parts, spark.sparkContext.defaultParallelism)))
+                with _batches(spark, BLOCK):
+                    found = _written(frame.mapInArrow(_batch_sums(table), STATE))
+                sums = _added(spark, found, size, k)
+                remove(spark, found)
+                if sums.any():
+                    rate = (self.getLearningOffset() + done) ** -self.getLearningDecay()
+                    sums *= table.value[0]
+                    counts = (1.0 - rate) * counts + rate * (sums * whole + eta)
+                table.destroy()
+        return self._copyValues(_model(spark, counts, alpha, eta, random.nextLong()))
+
+
+def _batch_sums(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beta, alpha, starts = table.value
+        sums, met = np.zeros(beta.shape), np.zeros(len(beta), bool)
+        for batch in batches:
+            for (terms, counts), part in zip(_entries(batch), batch.column(1).to_pylist()):
+                if len(terms):
+                    left, _, theta, own = variational(beta[terms], counts, alpha, starts[part])
+                    sums[terms[:, None], left] += (counts / (own @ theta + 1e-100))[:, None] * theta
+                    met[terms] = True
+        yield from _ending(sums, met)
+
+    return run
+
+
 @contextmanager
 def _batches(spark, rows: int) -> Iterator[None]:
     """Rows of documents take thousands of bytes, those of sums a million: batches of fewer rows."""

@@ -7,21 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import LDA, DistributedLDAModel, LocalLDAModel
+from pyspark.ml.clustering import DistributedLDAModel, LocalLDAModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribelens.functions.layout import fan_out, stored
 from scribelens.functions.ranking import stable, top_k
-from scribelens.operators.topic_fit import BlockLDA
+from scribelens.operators.topic_fit import BatchLDA, BlockLDA
+from scribelens.operators.topic_inference import inference_table, inferred
 
 TOP_TOPICS = 5
 PRF_THRESHOLD = 20
 CANDIDATE_FACTOR = 3
 MATRIX = 1 << 22  # entries of a matrix in a task
 GROUP_USERS = 8192  # users in a task, at most about
-GAMMA_SHAPE = 100.0  # of the weights from which `pyspark.ml` starts the inference of a document
-NEGLIGIBLE = 1e-130  # see `_inferred`
 STEP = 4  # a step of a topic list is so many times as long as the one before
 
 
@@ -51,7 +50,7 @@ def train_topics(
     Expectation maximisation gives the model in its local form.
     """
     data = vectors if sample >= 1.0 else vectors.sample(False, sample, seed)
-    kind = BlockLDA if optimizer == "em" else LDA
+    kind = {"em": BlockLDA, "online": BatchLDA}[optimizer]
     lda = kind(
         k=topics,
         maxIter=iterations,
@@ -72,7 +71,7 @@ def infer_topics(model, vectors: DataFrame, top: int | None = TOP_TOPICS, docume
     strongest ones of each topic among its own: all that `top_documents` can choose from.
     """
     spark = vectors.sparkSession
-    table = spark.sparkContext.broadcast(_inference_table(spark, model))
+    table = spark.sparkContext.broadcast(inference_table(spark, model))
     kind = vectors.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "topic", "weight"]
 
@@ -84,7 +83,7 @@ def infer_topics(model, vectors: DataFrame, top: int | None = TOP_TOPICS, docume
             for row, vector in enumerate(batch.column(1)):
                 terms = vector["indices"].values  # none in a dense vector
                 counts = vector["values"].values.to_numpy()
-                found = _inferred(beta if terms is None else beta[terms.to_numpy()], counts, alpha, start)
+                found = inferred(beta if terms is None else beta[terms.to_numpy()], counts, alpha, start)
                 best = np.argsort(-found, kind="stable")[:top]
                 docs.append(np.full(len(best), row))
                 topics.append(best)
@@ -111,60 +110,6 @@ def _strongest(batches: list[pa.RecordBatch], documents: int) -> pa.Table:
     return rows.filter(pa.array(np.arange(len(topic)) - np.searchsorted(topic, topic) < documents)).combine_chunks()
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    """Of positive numbers: six steps up, then the asymptotic series."""
-    pairs, twice, far = x * (x + 5.0), 2.0 * x + 5.0, x + 6.0
-    steps = twice / pairs + twice / (pairs + 4.0) + twice / (pairs + 6.0)
-    r = 1.0 / (far * far)
-    series = 0.0
-    for c in (1 / 12, -691 / 32760, 1 / 132, -1 / 240, 1 / 252, -1 / 120, 1 / 12):
-        series = r * (c + series)
-    return np.log(far) - 0.5 / far - series - steps
-
-
-def _inference_table(spark, model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What inference needs of a model: weights by term and topic, the prior, and the start."""
-    counts = model.topicsMatrix().toArray()
-    beta = np.ascontiguousarray(np.exp(_digamma(counts) - _digamma(counts.sum(axis=0))))
-    alpha = np.array(model.estimatedDocConcentration().toArray())
-    jvm = spark._jvm
-    # The seed of a model's inference is not that of its fit. One below 2^31 would be taken for a
-    # 32-bit seed, so its halves are given, as the generator splits a long.
-    number = model._java_obj.oldLocalModel().seed()
-    seed = spark.sparkContext._gateway.new_array(jvm.int, 2)
-    seed[0], seed[1] = (int(h) for h in np.array([number >> 32, number], np.int64).astype(np.int32))
-    random = jvm.breeze.stats.distributions.RandBasis(jvm.org.apache.commons.math3.random.MersenneTwister(seed))
-    start = jvm.breeze.stats.distributions.Gamma(GAMMA_SHAPE, 1.0 / GAMMA_SHAPE, random)
-    return beta, alpha, np.array([start.draw() for _ in alpha])
-
-
-def _inferred(beta: np.ndarray, counts: np.ndarray, alpha: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Topic weights of a document, by the variational inference of `pyspark.ml`.
-
-    A term's norm is at least 1e-100, so a topic whose ``theta`` is below `NEGLIGIBLE` adds nothing
-    that a double can hold, neither to a norm nor to its own prior: it keeps its prior, and with
-    it a ``theta`` as small, for good. Its column is left out from then on.
-    """
-    if not counts.any():
-        return np.zeros(len(alpha))
-    gamma, prior, left = start, alpha, np.arange(len(alpha))
-    rest, change = 0.0, np.inf
-    theta = np.exp(_digamma(gamma) - _digamma(gamma.sum()))
-    while change > 1e-3:
-        last = gamma
-        gamma = theta * ((counts / (beta @ theta + 1e-100)) @ beta) + prior
-        change = np.abs(gamma - last).sum() / len(alpha)
-        theta = np.exp(_digamma(gamma) - _digamma(gamma.sum() + rest))
-        held = (theta >= NEGLIGIBLE) | (gamma != prior)
-        if 4 * np.count_nonzero(held) < 3 * len(held):
-            rest += prior[~held].sum()
-            gamma, theta, prior, left = gamma[held], theta[held], prior[held], left[held]
-            beta = np.ascontiguousarray(beta[:, held])
-    found = alpha.copy()
-    found[left] = gamma
-    return found / found.sum()
-
-
 def save_topics(model, assignments: DataFrame, path: str) -> None:
     save_topic_model(model, path)
     save_assignments(assignments, path)

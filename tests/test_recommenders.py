@@ -279,6 +279,26 @@ def test_expectation_maximisation_in_blocks(spark, monkeypatch):
     assert list(model.estimatedDocConcentration()) == list(wanted.estimatedDocConcentration())
 
 
+@pytest.mark.parametrize("topics, seed", [(30, 3), (120, 2**40 + 7)])
+def test_fit_from_batches(spark, monkeypatch, topics, seed):
+    """The model of `pyspark.ml` with the optimizer "online", whose own fit is not run."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(9)
+    data = [(d, Vectors.sparse(40, sorted((i, 1.0 + rng.randrange(4)) for i in rng.sample(range(40), 1 + d % 20)))) for d in range(150)]
+    data[7] = (7, Vectors.dense([rng.randrange(3) for _ in range(40)]))
+    data += [(None, Vectors.sparse(40, [], [])), (3, data[3][1]), (160, Vectors.sparse(40, [2, 5], [0.0, 7.0]))]
+    docs = spark.createDataFrame(data, ["doc_id", "features"]).repartition(6).cache()
+    wanted = LDA(k=topics, maxIter=6, optimizer="online", seed=seed, optimizeDocConcentration=False).fit(docs)
+    monkeypatch.setattr(LDA, "_fit_java", None)
+    model = T.train_topics(docs, topics, 6, seed=seed)
+    assert model.topicsMatrix().toArray() == pytest.approx(wanted.topicsMatrix().toArray(), rel=1e-6)
+    assert list(model.estimatedDocConcentration()) == list(wanted.estimatedDocConcentration())
+    seeds = [m._java_obj.oldLocalModel().seed() for m in (model, wanted)]
+    assert seeds[0] == seeds[1]
+
+
 def test_stored_weights_are_exact_to_43_binary_digits():
     from scribelens.operators import topic_fit
 
