@@ -157,6 +157,38 @@ def test_sets_behind_enough_others_are_not_opened(spark):
     assert opened and opened[0] <= 8
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 19])
+def test_a_set_with_enough_articles_closes_those_of_lower_score(spark, monkeypatch, sent):
+    """Rows equal those of all pairs, however sets and users meet; few sets are opened."""
+    monkeypatch.setattr(C, "BROADCAST_SETS", sent)
+    rng = random.Random(5)
+    sizes = {100 * s: rng.choice([1, 2, 9]) for s in range(30)}
+    sizes.update({3000: 12, 3100: 12, 3200: 12, 3300: 12})
+    rows = [(s + i, s, k) for s, k in sizes.items() for i in range(k)]
+    members = spark.createDataFrame(rows, "article_id BIGINT, set_id BIGINT, n_articles BIGINT")
+    sims = {(s, s): 1.0 for s, k in sizes.items() if k > 1}
+    sims.update({tuple(sorted(rng.sample(range(0, 3000, 100), 2))): rng.choice([0.5, 0.75]) for _ in range(60)})
+    sims.update({(3000, 3100): 0.9, (3000, 3200): 0.8, (3000, 3300): 0.7})
+    similar = spark.createDataFrame([(a, b, s) for (a, b), s in sims.items()], "set_a BIGINT, set_b BIGINT, similarity DOUBLE")
+    articles = [a for a, s, _ in rows if s < 3000]
+    history = {u: rng.choices(articles, k=1 + 3 * u) + [9999] for u in range(8)} | {50: [3000, 3000, 3001], None: articles[:3]}
+    frame = spark.createDataFrame([(u, a) for u, h in history.items() for a in h], "user_id BIGINT, article_id BIGINT")
+    with scratch(spark) as folder:
+        found = C.category_recommend(frame, members, similar, 6).orderBy("user_id", "rank").collect()
+        opened = [spark.read.parquet(str(path)).where("user_id = 50").count() for path in Path(folder).glob("opened-*")]
+    assert opened == [1]
+    of = {a: s for a, s, _ in rows}
+    for user, own in history.items():
+        score = defaultdict(float)
+        for a in own:
+            for b in of:
+                if a in of and a != b:
+                    score[b] += sims.get((min(of[a], of[b]), max(of[a], of[b])), 0.0) / len(own)
+        best = sorted(((b, round(s, 9)) for b, s in score.items() if round(s, 9) > 0), key=lambda x: (-x[1], x[0]))[:6]
+        got = [(r.article_id, pytest.approx(r.score, abs=1e-8)) for r in found if r.user_id == user]
+        assert got == (best if user is not None else [])
+
+
 def test_model_round_trip(spark, tmp_path):
     e = edges(spark, (3, 2), (2, 1))
     links = spark.createDataFrame(
