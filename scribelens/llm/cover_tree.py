@@ -9,10 +9,10 @@ covering radius. Inside a block the levels go on, down to single vectors.
 
 Both sides descend together, level by level, as tables of node pairs: a pair is dropped when its
 centres are farther apart than both radii and the threshold together. The pairs of blocks left
-over lie on a grid whose cells hold `GRID` times `GRID` of them, so a block is sent once for
-`GRID` partners. Inside, pairs of nodes that lie within the threshold as a whole are linked by
-their sizes without looking further, and what is left at the last level is compared vector by
-vector in double precision. A task gives back the number of links of each vector and a spanning
+over lie on a grid whose cells hold `GRID` times `GRID` of them or more, so a block is sent once for
+as many partners. Inside, most pairs of nodes are dropped by a bound from some components; those
+that lie within the threshold as a whole are linked by their sizes without looking further, and
+what is left at the last level is compared vector by vector in double precision. A task gives back the number of links of each vector and a spanning
 forest of the links, never the pairs themselves.
 
 Equal vectors are one row with a count throughout.
@@ -37,10 +37,12 @@ BLOCK = 4096  # vectors per block, about; fewer where they are long
 BLOCK_VALUES = 1 << 20  # components in a block, about
 FANOUT, SAMPLED = 64, 8  # centres a node is cut by, at most, and vectors drawn for each
 ROUNDS = 7  # cuts on the way down, at most
-GRID = 8  # blocks on each side of a cell of the grid of block pairs
+GRID, MOST_GRID, SIDES = 8, 24, 8  # blocks on each side of a cell of the grid of block pairs: more, up to a bound, for more than so many cells a side
 RADII = (1.0, 0.5, 0.25, 0.125)
 SLACK = 1e-7  # keeps rounding from pruning or including a pair that the exact test decides
 CHUNK = 1 << 20  # distances held at once
+FEW = 1 / 16  # pairs of a chunk that are looked at one by one, at most
+ROUNDED = 1e-4  # more than single precision is off by in a bound
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -129,6 +131,27 @@ def _expand(a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarr
     return first_a[a][pair] + place // nb[pair], first_b[b][pair] + place % nb[pair]
 
 
+def _bounds(x: np.ndarray, rx: np.ndarray, y: np.ndarray, ry: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Short rows for nodes with centres ``x`` and ``y``: where the product of two is below the
+    last value, their centres are farther apart than their radii and the limit together.
+
+    A product of unit rows is at most that of some components, the strongest here, plus that of the
+    lengths of what is left. The bar that it has to reach, ``1 - (limit + rx + ry)^2 / 2``, is a
+    sum of products too.
+    """
+    dimensions = x.shape[1]
+    strongest = np.argsort(-np.square(x).sum(axis=0) - np.square(y).sum(axis=0), kind="stable")
+    some = strongest[: int(dimensions / 20 + 4 * math.sqrt(dimensions / 20) + 6)]
+
+    def short(rows: np.ndarray, radii: np.ndarray, first: bool) -> np.ndarray:
+        parts = rows[:, some]
+        left = np.sqrt(np.maximum(1.0 - np.square(parts).sum(axis=1), 0.0))
+        own, one = radii * (radii / 2 + limit), np.ones(len(rows))
+        return np.column_stack([parts, left, radii, *((own, one) if first else (one, own))]).astype(np.float32)
+
+    return short(x, rx, True), short(y, ry, False), 1.0 - limit * limit / 2 - SLACK - ROUNDED
+
+
 def traverse(x: np.ndarray, tx: dict, nx: np.ndarray, y: np.ndarray, ty: dict, ny: np.ndarray, cosine: float, same: bool):
     """Links between the unit rows x and y with multiplicities nx and ny.
 
@@ -188,20 +211,31 @@ def traverse(x: np.ndarray, tx: dict, nx: np.ndarray, y: np.ndarray, ty: dict, n
             a = np.concatenate([f[0] for f in found]) if found else a[:0]
             b = np.concatenate([f[1] for f in found]) if found else b[:0]
 
-    top_x, top_y = x[tx["c0"]], y[ty["c0"]]
+    # Upper levels that join few nodes prune little, as their radii are wide.
+    pairs = [len(tx[f"c{level}"]) * len(ty[f"c{level}"]) for level in range(last)]
+    top = max(level for level in range(last) if pairs[level] <= 2 * pairs[0])
+    top_x, top_y, radii_x, radii_y = x[tx[f"c{top}"]], y[ty[f"c{top}"]], tx[f"r{top}"], ty[f"r{top}"]
     step = max(1, CHUNK // max(1, len(top_y)))
+    bound_x, bound_y, least = _bounds(top_x, radii_x, top_y, radii_y, limit + SLACK)
     for start in range(0, len(top_x), step):
-        dots = top_x[start : start + step] @ top_y.T
-        reach = tx["r0"][start : start + step, None] + ty["r0"][None, :]
-        near = dots >= 1.0 - np.square(limit + SLACK + reach) / 2.0 - SLACK
-        a, b = np.nonzero(near)
+        part = top_x[start : start + step]
+        possible = np.flatnonzero((bound_x[start : start + step] @ bound_y.T).ravel() >= least)
+        if len(possible) <= FEW * len(part) * len(top_y):
+            a, b = np.divmod(possible, len(top_y))
+            close = np.concatenate([np.einsum("ij,ij->i", part[a[i : i + CHUNK // 16]], top_y[b[i : i + CHUNK // 16]]) for i in range(0, len(a), CHUNK // 16)] or [np.zeros(0)])
+            near = close >= 1.0 - np.square(limit + SLACK + radii_x[start + a] + radii_y[b]) / 2.0 - SLACK
+            a, b, close = a[near], b[near], close[near]
+        else:
+            dots = part @ top_y.T
+            reach = radii_x[start : start + step, None] + radii_y[None, :]
+            a, b = np.nonzero(dots >= 1.0 - np.square(limit + SLACK + reach) / 2.0 - SLACK)
+            close = dots[a, b]
         a += start
         if same:
             once = a <= b
-            a, b = a[once], b[once]
-        close = dots[a - start, b]
-        a, b = settle(0, a, b, close)
-        descend(0, a, b)
+            a, b, close = a[once], b[once], close[once]
+        a, b = settle(top, a, b, close)
+        descend(top, a, b)
     if same:
         links_x += links_y
     return links_x, links_y, forest
@@ -350,14 +384,14 @@ def near_nodes(steps: list[DataFrame], blocks: DataFrame, limit: float) -> DataF
     return pairs
 
 
-def _compared(cell: tuple, blocks: pa.Table, cosine: float) -> pa.Table:
+def _compared(cell: tuple, blocks: pa.Table, cosine: float, side: int) -> pa.Table:
     """Links of all near pairs of blocks in one cell of the grid: blocks of its row and its column."""
     limit = math.sqrt(2.0 - 2.0 * cosine)
     ids, counts, roots = [], [], []
     held = {}
     for number, centre, radius, tree in zip(*(blocks[c].to_pylist() for c in ("number", "centre", "radius", "tree"))):
         held[number] = np.array(centre), radius, _unpacked(tree)
-    row, column = ([n for n in sorted(held) if n // GRID == part.as_py()] for part in cell)
+    row, column = ([n for n in sorted(held) if n // side == part.as_py()] for part in cell)
     for i, j in ((i, j) for i in row for j in column if i <= j):
         (ca, ra, a), (cb, rb, b) = held[i], held[j]
         if len(ca) != len(cb) or math.sqrt(((ca - cb) ** 2).sum()) - ra - rb > limit + SLACK:
@@ -399,13 +433,15 @@ def vector_links(prints: DataFrame, cosine: float = COSINE, block: int | None =
     """u, links, v: for each near pair of blocks and vector linked in it, its number of links there
     and a vector it is connected with. ``prints``: vec_id, n (copies), embedding."""
     blocks, steps = block_table(prints, block or BLOCK)
-    grid = near_blocks(blocks, steps, cosine).select(F.expr(f"a DIV {GRID}").alias("row"), F.expr(f"b DIV {GRID}").alias("column")).distinct()
+    # A block is sent once to each cell of its row and column, so many blocks have wider cells.
+    side = max(GRID, min(MOST_GRID, -(-blocks.count() // SIDES)))
+    grid = near_blocks(blocks, steps, cosine).select(F.expr(f"a DIV {side}").alias("row"), F.expr(f"b DIV {side}").alias("column")).distinct()
     grid = stored(grid, "grid")
-    packed = blocks.select(F.expr(f"number DIV {GRID}").alias("_part"), "number", "centre", "radius", "tree")
+    packed = blocks.select(F.expr(f"number DIV {side}").alias("_part"), "number", "centre", "radius", "tree")
     across = grid.select("row", "column", F.col("row").alias("_part"))
     down = grid.where("row <> column").select("row", "column", F.col("column").alias("_part"))
     sent = across.unionByName(down).join(packed, "_part").drop("_part")
-    return sent.groupBy("row", "column").applyInArrow(lambda cell, rows: _compared(cell, rows, cosine), "u long, links long, v long")
+    return sent.groupBy("row", "column").applyInArrow(lambda cell, rows: _compared(cell, rows, cosine, side), "u long, links long, v long")
 
 
 def vector_groups(vectors: DataFrame, cosine: float = COSINE, embedding: str = "embedding", vec_id: str = "vec_id") -> DataFrame:

@@ -94,6 +94,33 @@ def test_no_vectors(spark):
     assert rows_of(cover_tree.vector_groups(odd), "vec_id", "n_links", "kept") == [(1, 0, True), (2, 0, True)]
 
 
+@pytest.mark.parametrize("few", [0.0, 1.0])
+@pytest.mark.parametrize("dimensions", [2, 7, 64, 130])
+def test_bounds_drop_only_pairs_without_links(monkeypatch, few, dimensions):
+    """Independent directions are nearly all dropped by a few components; links are those of all pairs."""
+    monkeypatch.setattr(cover_tree, "FEW", few)
+    rng = np.random.default_rng(dimensions)
+    rows = rng.normal(size=(300, dimensions))
+    rows[200:260] = rows[:60] + 0.04 * rng.normal(size=(60, dimensions))
+    rows[260:] = rows[0] + rng.uniform(0, 0.6, (40, 1)) * rng.normal(size=(40, dimensions))
+    rows = cover_tree.unit(rows[rng.permutation(300)])
+    x, y = rows[:150], rows[150:]
+    limit = np.sqrt(0.1) + cover_tree.SLACK
+    radii = rng.choice([0.0, 0.0, 0.1, 0.9], (2, 150))
+    a, b, least = cover_tree._bounds(x, radii[0], y, radii[1], limit)
+    possible = a @ b.T >= least
+    near = np.sqrt(np.maximum(2 - 2 * x @ y.T, 0)) <= limit + radii[0][:, None] + radii[1]
+    assert not (near & ~possible).any()
+    if dimensions == 64:
+        assert possible[radii[0] == 0][:, radii[1] == 0].mean() < 0.1 and a.shape[1] < dimensions / 3
+    ones = np.ones(150, np.int64)
+    links = cover_tree.traverse(x, cover_tree.build(x), ones, y, cover_tree.build(y), ones, 0.95, False)[:2]
+    hit = x @ y.T >= 0.95
+    assert (links[0] == hit.sum(axis=1)).all() and (links[1] == hit.sum(axis=0)).all()
+    inside = cover_tree.traverse(x, cover_tree.build(x), ones, x, cover_tree.build(x), ones, 0.95, True)[0]
+    assert (inside == (x @ x.T >= 0.95).sum(axis=1) - 1).all()
+
+
 def test_tree_covers_every_row():
     x = cover_tree.unit(np.array(made(1)))
     tree = cover_tree.build(x)
