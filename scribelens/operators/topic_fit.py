@@ -111,11 +111,13 @@ def _batch_sums(table):
         beta, alpha, starts = table.value
         sums, met = np.zeros(beta.shape), np.zeros(len(beta), bool)
         for batch in batches:
-            for (terms, counts), part in zip(_entries(batch), batch.column(1).to_pylist()):
-                if len(terms):
-                    left, _, theta, own = variational(beta[terms], counts, alpha, starts[part])
-                    sums[terms[:, None], left] += (counts / (own @ theta + 1e-100))[:, None] * theta
-                    met[terms] = True
+            documents = [
+                (terms, counts, starts[part]) for (terms, counts), part in zip(_entries(batch), batch.column(1).to_pylist()) if len(terms)
+            ]
+            for one in variational(documents, beta, alpha):
+                terms = documents[one.number][0]
+                sums[terms[:, None], one.left] += (one.counts / (one.beta @ one.theta + 1e-100))[:, None] * one.theta
+                met[terms] = True
         yield from _ending(sums, met)
 
     return run

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 
 GAMMA_SHAPE = 100.0  # of the weights from which `pyspark.ml` starts
-NEGLIGIBLE = 1e-130  # see `variational`
+NEGLIGIBLE = 1e-130  # see `Inference`
 DRAWN = 1 << 16  # weights drawn at once
+ENOUGH = 1e-3  # mean change of ``gamma`` that ends inference
+NARROW = 48  # topics of a document that goes on together with others, at most
+TOGETHER = 1 << 18  # weights by term and topic of such documents
+HELD = 1 << 22  # such weights that wait
 ROWS = 256  # terms whose weights are computed at once
 
 
@@ -54,34 +61,112 @@ def inference_table(spark, model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return beta, alpha, draws(spark, model._java_obj.oldLocalModel().seed(), len(alpha))
 
 
-def variational(beta: np.ndarray, counts: np.ndarray, alpha: np.ndarray, start: np.ndarray) -> tuple:
-    """Of a document: the topics left, their ``gamma`` and ``theta``, and the rows of ``beta`` for them.
+@dataclass
+class Inference:
+    """A document under inference: the topics that are left, and the rows of ``beta`` for them."""
+
+    number: int
+    beta: np.ndarray
+    counts: np.ndarray
+    left: np.ndarray
+    prior: np.ndarray
+    gamma: np.ndarray
+    theta: np.ndarray
+    rest: float = 0.0  # of the prior of those that have vanished
+    change: float = np.inf
+
+    def drop_vanished(self) -> None:
+        """A term's norm is at least 1e-100, so a topic whose ``theta`` is below `NEGLIGIBLE` adds
+        nothing that a double can hold, neither to a norm nor to its own prior: it keeps its prior,
+        and with it a ``theta`` as small, for good. Its column is left out from then on."""
+        held = (self.theta >= NEGLIGIBLE) | (self.gamma != self.prior)
+        if 4 * np.count_nonzero(held) < 3 * len(held):
+            self.rest += self.prior[~held].sum()
+            self.gamma, self.theta, self.prior, self.left = self.gamma[held], self.theta[held], self.prior[held], self.left[held]
+            self.beta = np.ascontiguousarray(self.beta[:, held])
+
+
+def variational(documents: Iterable[tuple], beta: np.ndarray, alpha: np.ndarray) -> Iterator[Inference]:
+    """Of documents (terms or None for all, counts, start): what is left when inference ends, in any order.
 
-    A term's norm is at least 1e-100, so a topic whose ``theta`` is below `NEGLIGIBLE` adds nothing
-    that a double can hold, neither to a norm nor to its own prior: it keeps its prior, and with
-    it a ``theta`` as small, for good. Its column is left out from then on.
+    Each document is inferred alone until it has few topics left, and from then on together with
+    others, so that small steps are not lost in calls.
     """
-    gamma, prior, left = start, alpha, np.arange(len(alpha))
-    rest, change = 0.0, np.inf
-    theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-    while change > 1e-3:
+    held, size = [], 0
+    for number, (terms, counts, start) in enumerate(documents):
+        own = beta if terms is None else beta[terms]
+        one = Inference(number, own, counts, np.arange(len(alpha)), alpha, start, np.exp(digamma(start) - digamma(start.sum())))
+        while one.change > ENOUGH and len(one.left) > NARROW:
+            last = one.gamma
+            one.gamma = one.theta * ((counts / (one.beta @ one.theta + 1e-100)) @ one.beta) + one.prior
+            one.change = np.abs(one.gamma - last).sum() / len(alpha)
+            one.theta = np.exp(digamma(one.gamma) - digamma(one.gamma.sum() + one.rest))
+            one.drop_vanished()
+        if one.change <= ENOUGH:
+            yield one
+            continue
+        held.append(one)
+        size += one.beta.size
+        if size >= HELD:
+            yield from _ended(held, len(alpha))
+            held, size = [], 0
+    yield from _ended(held, len(alpha))
+
+
+def _ended(held: list[Inference], topics: int) -> Iterator[Inference]:
+    """Documents of about as many terms go on together; those that are left meet anew."""
+    while held:
+        held.sort(key=lambda one: len(one.counts))
+        begin = 0
+        while begin < len(held):
+            end, width = begin + 1, len(held[begin].left)
+            while end < len(held) and (end + 1 - begin) * len(held[end].counts) * max(width, len(held[end].left)) <= TOGETHER:
+                width = max(width, len(held[end].left))
+                end += 1
+            _go_on(held[begin:end], topics)
+            begin = end
+        yield from (one for one in held if one.change <= ENOUGH)
+        held = [one for one in held if one.change > ENOUGH]
+
+
+def _go_on(some: list[Inference], topics: int) -> None:
+    """Until half of the documents are done. What pads a document's terms and topics counts as nothing."""
+    terms, width = max(len(one.counts) for one in some), max(len(one.left) for one in some)
+    beta, counts = np.zeros((len(some), terms, width)), np.zeros((len(some), terms))
+    gamma, prior, theta, held = np.ones((len(some), width)), np.ones((len(some), width)), np.zeros((len(some), width)), np.zeros((len(some), width))
+    rest = np.array([one.rest for one in some])
+    for i, one in enumerate(some):
+        n = len(one.left)
+        beta[i, : len(one.counts), :n], counts[i, : len(one.counts)] = one.beta, one.counts
+        gamma[i, :n], prior[i, :n], theta[i, :n], held[i, :n] = one.gamma, one.prior, one.theta, 1.0
+    active = np.arange(len(some))
+    while 2 * len(active) > len(some):
         last = gamma
-        gamma = theta * ((counts / (beta @ theta + 1e-100)) @ beta) + prior
-        change = np.abs(gamma - last).sum() / len(alpha)
-        theta = np.exp(digamma(gamma) - digamma(gamma.sum() + rest))
-        held = (theta >= NEGLIGIBLE) | (gamma != prior)
-        if 4 * np.count_nonzero(held) < 3 * len(held):
-            rest += prior[~held].sum()
-            gamma, theta, prior, left = gamma[held], theta[held], prior[held], left[held]
-            beta = np.ascontiguousarray(beta[:, held])
-    return left, gamma, theta, beta
-
-
-def inferred(beta: np.ndarray, counts: np.ndarray, alpha: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Topic weights of a document."""
-    if not counts.any():
-        return np.zeros(len(alpha))
-    left, gamma, _, _ = variational(beta, counts, alpha, start)
-    found = alpha.copy()
-    found[left] = gamma
-    return found / found.sum()
+        norms = np.matmul(beta, theta[:, :, None])[:, :, 0] + 1e-100
+        gamma = theta * np.matmul((counts / norms)[:, None, :], beta)[:, 0] + prior
+        change = np.abs(gamma - last).sum(axis=1) / topics
+        expected = digamma(np.column_stack([gamma, (gamma * held).sum(axis=1) + rest]))
+        theta = held * np.exp(expected[:, :-1] - expected[:, -1:])
+        for i in active[change[active] <= ENOUGH]:
+            _keep(some[i], gamma[i], theta[i], change[i])
+        active = active[change[active] > ENOUGH]
+    for i in active:
+        _keep(some[i], gamma[i], theta[i], change[i])
+        some[i].drop_vanished()
+
+
+def _keep(one: Inference, gamma: np.ndarray, theta: np.ndarray, change: float) -> None:
+    n = len(one.left)
+    one.gamma, one.theta, one.change = gamma[:n].copy(), theta[:n].copy(), float(change)
+
+
+def inferred(documents: list[tuple], beta: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Topic weights of documents, a row each; those of one without counts are 0."""
+    found = np.zeros((len(documents), len(alpha)))
+    some = [i for i, (_, counts, _) in enumerate(documents) if counts.any()]
+    for one in variational((documents[i] for i in some), beta, alpha):
+        row = found[some[one.number]]
+        row[:] = alpha
+        row[one.left] = one.gamma
+        row /= row.sum()
+    return found

@@ -21,6 +21,7 @@ PRF_THRESHOLD = 20
 CANDIDATE_FACTOR = 3
 MATRIX = 1 << 22  # entries of a matrix in a task
 GROUP_USERS = 8192  # users in a task, at most about
+INFERRED = 1024  # documents inferred at once
 STEP = 4  # a step of a topic list is so many times as long as the one before
 
 
@@ -79,18 +80,18 @@ def infer_topics(model, vectors: DataFrame, top: int | None = TOP_TOPICS, docume
         beta, alpha, start = table.value
         strongest = None
         for batch in batches:
-            docs, topics, weights = [], [], []
-            for row, vector in enumerate(batch.column(1)):
-                terms = vector["indices"].values  # none in a dense vector
-                counts = vector["values"].values.to_numpy()
-                found = inferred(beta if terms is None else beta[terms.to_numpy()], counts, alpha, start)
-                best = np.argsort(-found, kind="stable")[:top]
-                docs.append(np.full(len(best), row))
-                topics.append(best)
-                weights.append(found[best])
-            if docs:
-                columns = [batch.column(0).take(pa.array(np.concatenate(docs))), *map(pa.array, map(np.concatenate, (topics, weights)))]
-                assigned = pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int32()), columns[2]], names=names)
+            for at in range(0, batch.num_rows, INFERRED):
+                some = batch.slice(at, INFERRED)
+                given = []
+                for vector in some.column(1):
+                    terms = vector["indices"].values  # none in a dense vector
+                    given.append((None if terms is None else terms.to_numpy(), vector["values"].values.to_numpy(), start))
+                found = inferred(given, beta, alpha)
+                best = np.argsort(-found, axis=1, kind="stable")[:, :top]
+                row = np.repeat(np.arange(len(best)), best.shape[1])
+                weights = pa.array(np.take_along_axis(found, best, axis=1).ravel())
+                columns = [some.column(0).take(pa.array(row)), pa.array(best.ravel().astype(np.int32)), weights]
+                assigned = pa.RecordBatch.from_arrays(columns, names=names)
                 if documents is None:
                     yield assigned
                 else:

@@ -279,6 +279,29 @@ def test_expectation_maximisation_in_blocks(spark, monkeypatch):
     assert list(model.estimatedDocConcentration()) == list(wanted.estimatedDocConcentration())
 
 
+@pytest.mark.parametrize("together", [1, 500, 1 << 18])
+def test_documents_are_inferred_together(monkeypatch, together):
+    """However they meet, each document ends after its own number of steps, with all topics or few."""
+    from scribelens.operators import topic_inference
+
+    monkeypatch.setattr(topic_inference, "TOGETHER", together)
+    monkeypatch.setattr(topic_inference, "HELD", 20 * together)
+    rng = np.random.default_rng(3)
+    beta = topic_inference.weights_of(rng.gamma(0.05, 40.0, (60, 90)) + 0.01)
+    alpha, start = np.full(90, 1 / 90), rng.gamma(100.0, 0.01, 90)
+    terms = [np.sort(rng.choice(60, 1 + d % 25, replace=False)) for d in range(40)] + [None, np.array([], int), np.array([3])]
+    counts = [rng.integers(1, 6, 60 if t is None else len(t)).astype(float) for t in terms]
+    counts[-1][:] = 0
+    found = topic_inference.inferred([(t, c, start) for t, c in zip(terms, counts)], beta, alpha)
+    for t, c, row in zip(terms, counts, found):
+        own, gamma, change = beta if t is None else beta[t], start, 1.0
+        while change > 1e-3:
+            theta = np.exp(topic_inference.digamma(gamma) - topic_inference.digamma(gamma.sum()))
+            last, gamma = gamma, theta * ((c / (own @ theta + 1e-100)) @ own) + alpha
+            change = np.abs(gamma - last).mean()
+        assert row == pytest.approx(gamma / gamma.sum() if c.any() else 0 * gamma, rel=1e-6, abs=1e-12)
+
+
 @pytest.mark.parametrize("topics, seed", [(30, 3), (120, 2**40 + 7)])
 def test_fit_from_batches(spark, monkeypatch, topics, seed):
     """The model of `pyspark.ml` with the optimizer "online", whose own fit is not run."""
