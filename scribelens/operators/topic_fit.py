@@ -14,7 +14,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribelens.operators.topic_inference import GAMMA_SHAPE, draws, variational, weights_of
+from scribelens.operators.topic_inference import GAMMA_SHAPE, digamma_of_fit, draws, variational, weights_of
 from scribelens.session import remove, scratch, shared_path
 
 STATE = "terms binary, counts binary, weights binary, sums boolean"
@@ -90,7 +90,7 @@ class BatchLDA(LDA):
                 seed = random.nextLong()
                 parts = batch.getNumPartitions()
                 starts = np.array([draws(spark, seed + part, k) for part in range(parts)])
-                table = spark.sparkContext.broadcast((weights_of(counts), np.full(k, alpha), starts))
+                table = spark.sparkContext.broadcast((weights_of(counts, digamma_of_fit), np.full(k, alpha), starts))
                 frame = DataFrame(spark._jsparkSession.createDataFrame(batch, vectors._jdf.schema()), spark)
                 frame = frame.select("features", F.spark_partition_id().alias("part"))
                 frame = frame.coalesce(max(1, min(parts, spark.sparkContext.defaultParallelism)))
@@ -114,7 +114,7 @@ def _batch_sums(table):
             documents = [
                 (terms, counts, starts[part]) for (terms, counts), part in zip(_entries(batch), batch.column(1).to_pylist()) if len(terms)
             ]
-            for one in variational(documents, beta, alpha):
+            for one in variational(documents, beta, alpha, digamma_of_fit):
                 terms = documents[one.number][0]
                 sums[terms[:, None], one.left] += (one.counts / (one.beta @ one.theta + 1e-100))[:, None] * one.theta
                 met[terms] = True

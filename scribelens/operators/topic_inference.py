@@ -28,6 +28,13 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(far) - 0.5 / far - series - steps
 
 
+def digamma_of_fit(x: np.ndarray) -> np.ndarray:
+    """As the fit of `pyspark.ml` has it: one term of its series, which begins at 49, has the other sign."""
+    far = x + np.maximum(np.ceil(49.0 - x), 0.0)
+    far *= far
+    return digamma(x) - 1.0 / (60.0 * far * far)
+
+
 def draws(spark, seed: int, count: int) -> np.ndarray:
     """The first weights that `pyspark.ml` draws with a seed."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
@@ -45,7 +52,7 @@ def draws(spark, seed: int, count: int) -> np.ndarray:
     return found
 
 
-def weights_of(counts: np.ndarray) -> np.ndarray:
+def weights_of(counts: np.ndarray, digamma=digamma) -> np.ndarray:
     """By term and topic, from a model's counts."""
     beta, whole = np.empty(counts.shape), digamma(counts.sum(axis=0))
     for at in range(0, len(counts), ROWS):
@@ -86,7 +93,7 @@ class Inference:
             self.beta = np.ascontiguousarray(self.beta[:, held])
 
 
-def variational(documents: Iterable[tuple], beta: np.ndarray, alpha: np.ndarray) -> Iterator[Inference]:
+def variational(documents: Iterable[tuple], beta: np.ndarray, alpha: np.ndarray, digamma=digamma) -> Iterator[Inference]:
     """Of documents (terms or None for all, counts, start): what is left when inference ends, in any order.
 
     Each document is inferred alone until it has few topics left, and from then on together with
@@ -108,12 +115,12 @@ def variational(documents: Iterable[tuple], beta: np.ndarray, alpha: np.ndarray)
         held.append(one)
         size += one.beta.size
         if size >= HELD:
-            yield from _ended(held, len(alpha))
+            yield from _ended(held, len(alpha), digamma)
             held, size = [], 0
-    yield from _ended(held, len(alpha))
+    yield from _ended(held, len(alpha), digamma)
 
 
-def _ended(held: list[Inference], topics: int) -> Iterator[Inference]:
+def _ended(held: list[Inference], topics: int, digamma) -> Iterator[Inference]:
     """Documents of about as many terms go on together; those that are left meet anew."""
     while held:
         held.sort(key=lambda one: len(one.counts))
@@ -123,13 +130,13 @@ def _ended(held: list[Inference], topics: int) -> Iterator[Inference]:
             while end < len(held) and (end + 1 - begin) * len(held[end].counts) * max(width, len(held[end].left)) <= TOGETHER:
                 width = max(width, len(held[end].left))
                 end += 1
-            _go_on(held[begin:end], topics)
+            _go_on(held[begin:end], topics, digamma)
             begin = end
         yield from (one for one in held if one.change <= ENOUGH)
         held = [one for one in held if one.change > ENOUGH]
 
 
-def _go_on(some: list[Inference], topics: int) -> None:
+def _go_on(some: list[Inference], topics: int, digamma) -> None:
     """Until half of the documents are done. What pads a document's terms and topics counts as nothing."""
     terms, width = max(len(one.counts) for one in some), max(len(one.left) for one in some)
     beta, counts = np.zeros((len(some), terms, width)), np.zeros((len(some), terms))

@@ -316,7 +316,7 @@ def test_fit_from_batches(spark, monkeypatch, topics, seed):
     wanted = LDA(k=topics, maxIter=6, optimizer="online", seed=seed, optimizeDocConcentration=False).fit(docs)
     monkeypatch.setattr(LDA, "_fit_java", None)
     model = T.train_topics(docs, topics, 6, seed=seed)
-    assert model.topicsMatrix().toArray() == pytest.approx(wanted.topicsMatrix().toArray(), rel=1e-6)
+    assert model.topicsMatrix().toArray() == pytest.approx(wanted.topicsMatrix().toArray(), rel=1e-10)
     assert list(model.estimatedDocConcentration()) == list(wanted.estimatedDocConcentration())
     seeds = [m._java_obj.oldLocalModel().seed() for m in (model, wanted)]
     assert seeds[0] == seeds[1]
